@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from ledgerkeep.plans import QUERIES, SQL
-from ledgerkeep.plans import knowledge, retention  # noqa: F401
+from ledgerkeep.plans import knowledge, retention, search  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
