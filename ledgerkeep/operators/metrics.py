@@ -349,3 +349,59 @@ def answer_categories(rows: DataFrame) -> DataFrame:
         ),
     )
     return joined.select("case_id", "condition", F.explode(F.array_compact(labels)).alias("category"))
+
+
+def overlap_by_join(words: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Multiset overlap and F1 for texts of any length. ``words``: keys, side ('answer' or 'gold'), word.
+
+    Words are counted by (keys, word) with partial aggregation, so one huge text never sits in one task.
+    """
+    keys = list(keys)
+    answer, gold = F.count_if(F.col("side") == "answer"), F.count_if(F.col("side") == "gold")
+    counts = words.groupBy(*keys, "word").agg(answer.alias("a"), gold.alias("g"))
+    common = F.sum(F.least("a", "g"))
+    f1 = F.when(common > 0, 2.0 * common / (F.sum("a") + F.sum("g"))).otherwise(0.0)
+    return counts.groupBy(*keys).agg(common.alias("common"), f1.alias("token_f1"))
+
+
+def format_sensitivity(rows: DataFrame) -> DataFrame:
+    """Exact match of the whole answer and of its first line, and how many answers have several lines."""
+    return rows.groupBy("condition").agg(
+        F.avg("exact_match").alias("strict_em"),
+        F.avg("first_line_em").alias("first_line_em"),
+        F.count_if(F.contains("generated_answer", F.lit("\n"))).alias("multiline_answers"),
+    )
+
+
+def score_table(rows: DataFrame, splits: Sequence[str], measure: str = "exact_match") -> DataFrame:
+    """Mean per condition, averaged inside trajectories first, with one column per split."""
+    inside = rows.groupBy("split", "condition", "trajectory_id").agg(F.avg(measure).alias("v"))
+    return inside.groupBy("condition").pivot("split", list(splits)).agg(F.avg("v"))
+
+
+def changed_answers(first: DataFrame, second: DataFrame, keys: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """How many answers differ between two runs on the same keys; NULL equals NULL."""
+    keys = list(keys)
+    joined = first.join(second.select(*keys, F.col("answer").alias("_again")), keys)
+    return joined.groupBy(*groups).agg(
+        F.count("*").alias("answers"), F.count_if(~F.col("answer").eqNullSafe(F.col("_again"))).alias("changed")
+    )
+
+
+def cost_rollup(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Generations, seconds, tokens and the share of valid rows."""
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("generations"),
+        F.sum("seconds").alias("seconds"),
+        F.sum("tokens").alias("tokens"),
+        F.avg(F.col("valid").cast("int")).alias("valid_fraction"),
+    )
+
+
+def endpoint_slope(rows: DataFrame, keys: Sequence[str], size: str, value: str) -> DataFrame:
+    """Change of a value per 1,000 records between the smallest and the largest size; 0 for a single size."""
+    ends = rows.groupBy(*keys).agg(
+        F.min_by(value, size).alias("v0"), F.max_by(value, size).alias("v1"), F.min(size).alias("s0"), F.max(size).alias("s1")
+    )
+    slope = F.coalesce(F.try_divide(F.col("v1") - F.col("v0"), (F.col("s1") - F.col("s0")) / 1000), F.lit(0.0))
+    return ends.select(*keys, slope.alias("slope"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerkeep.functions.hashing import draw32
 from ledgerkeep.operators.ordered import MIN_HOT_ROWS, rank_in_group, running_sum
+from ledgerkeep.operators.sizing import broadcast_if_small
 
 LOOKUP_VALUES = 100_000
 
@@ -142,3 +143,29 @@ def paired_differences(trajectories: DataFrame, contrasts: Sequence[tuple[str, s
         .otherwise(F.col("a") - F.col("b"))
         .alias("difference"),
     )
+
+
+def exact_percentiles(
+    rows: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], min_rows: int = MIN_HOT_ROWS
+) -> DataFrame:
+    """Percentiles with linear interpolation: keys, fraction, percentile.
+
+    Values are counted before they are ordered, and the running count is cut into bands for hot groups, so no task
+    holds all values of a group.
+    """
+    keys = list(keys)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    summed = running_sum(counts, keys, [F.col(value)], F.col("_c"), "_upto", min_rows)
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    spots = totals.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn(
+        "_at", (F.col("_n") - 1) * F.col("fraction")
+    )
+    joined = summed.join(broadcast_if_small(spots), keys)
+    low, high = F.floor("_at"), F.ceil("_at")
+    picked = joined.groupBy(*keys, "fraction").agg(
+        F.first("_at").alias("_at"),
+        F.min(F.when(F.col("_upto") > low, F.col(value))).alias("_lo"),
+        F.min(F.when(F.col("_upto") > high, F.col(value))).alias("_hi"),
+    )
+    weight = F.col("_at") - F.floor("_at")
+    return picked.select(*keys, "fraction", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * weight).alias("percentile"))

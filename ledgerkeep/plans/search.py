@@ -250,8 +250,9 @@ def b14(spark, sf):
 
 @query(
     "h34_threshold_calibration",
-    with_sql(VEC, PAIRS, """grid(t) AS (VALUES (CAST(0.25 AS DOUBLE)), (0.3), (0.35)), ord AS (SELECT memory_id, canonical_id, CAST(row_number() OVER (ORDER BY memory_id DESC) AS BIGINT) AS p FROM emb),
-      nbrs AS (SELECT g.t, o.p, coalesce(list(n.p) FILTER (WHERE n.p IS NOT NULL), CAST([] AS BIGINT[])) AS nb FROM grid g CROSS JOIN ord o LEFT JOIN prs e ON e.a = o.memory_id AND e.s >= g.t LEFT JOIN ord n ON n.memory_id = e.b GROUP BY 1, 2),
+    with_sql(VEC, PAIRS, """grid(t) AS (VALUES (CAST(0.25 AS DOUBLE)), (0.3), (0.35)), near AS MATERIALIZED (SELECT a, b, s FROM prs WHERE s >= 0.25), ord AS MATERIALIZED (SELECT memory_id, canonical_id, CAST(row_number() OVER (ORDER BY memory_id DESC) AS BIGINT) AS p FROM emb),
+      hits AS (SELECT g.t, e.a, list(n.p) AS nb FROM near e JOIN ord n ON n.memory_id = e.b JOIN grid g ON e.s >= g.t GROUP BY 1, 2),
+      nbrs AS MATERIALIZED (SELECT g.t, o.p, coalesce(h.nb, CAST([] AS BIGINT[])) AS nb FROM grid g CROSS JOIN ord o LEFT JOIN hits h ON h.t = g.t AND h.a = o.memory_id),
       walk AS (SELECT t, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM grid UNION ALL SELECT w.t, k + 1, CASE WHEN list_has_any(kept, nb) THEN kept ELSE list_append(kept, k + 1) END FROM walk w JOIN nbrs n ON n.t = w.t AND n.p = k + 1),
       fin AS (SELECT t, arg_max(kept, k) AS kept FROM walk GROUP BY 1),
       posn AS (SELECT f.t, o.memory_id, row_number() OVER (PARTITION BY f.t ORDER BY CAST(NOT list_contains(f.kept, o.p) AS INT), o.p) AS pos FROM fin f, ord o),
@@ -542,7 +543,7 @@ def f4(spark, sf):
 @query("f5_recency_rank", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) - 1 AS recency_rank FROM events")
 def f5(spark, sf):
     e = table(spark, sf, "events", "event_id", "user_id", "ts")
-    ranked = rank_in_group(e, ["user_id"], [-F.unix_micros("ts"), F.col("event_id")])
+    ranked = rank_in_group(e, ["user_id"], [-F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")])
     return ranked.select("event_id", "user_id", (F.col("rank") - 1).alias("recency_rank"))
 
 
