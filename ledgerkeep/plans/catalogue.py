@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from ledgerkeep.plans import QUERIES, SQL
-from ledgerkeep.plans import answers, knowledge, retention, search  # noqa: F401
+from ledgerkeep.plans import answers, knowledge, learning, retention, search, streams  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
