@@ -43,6 +43,15 @@ def ingest(lines: DataFrame, accepted: str, rejected: str) -> DataStreamWriter:
     return lines.writeStream.foreachBatch(sink)
 
 
+def _combine(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    return pdf.groupby(keys, as_index=False).agg(seq=("seq", "min"), copies=("copies", "sum"))
+
+
+def _combine_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield _combine(pdf, ["memory_id", "payload_hash"])
+
+
 class FirstPayload(StatefulProcessor):
     """Per id the first payload seen; later rows are retries of it or conflicts with it."""
 
@@ -53,9 +62,9 @@ class FirstPayload(StatefulProcessor):
         first = self._first.get()[0] if self._first.exists() else None
         counts: dict[str, tuple[int, int]] = {}
         for pdf in rows:
-            for payload, seqs in pdf.groupby("payload_hash")["seq"]:
-                low, n = counts.get(payload, (seqs.iloc[0], 0))
-                counts[payload] = (min(low, seqs.min()), n + len(seqs))
+            for payload, low, n in _combine(pdf, ["payload_hash"]).itertuples(index=False):
+                seen = counts.get(payload)
+                counts[payload] = (min(low, seen[0]), n + seen[1]) if seen else (low, n)
         fresh = first is None
         if fresh:
             first = min(counts, key=lambda p: counts[p][0])
@@ -84,10 +93,12 @@ WRITE_OUTCOME = "memory_id string, payload_hash string, first_seq bigint, accept
 def idempotent_writes(writes: DataFrame) -> DataFrame:
     """Outcome rows of a stream of writes (seq, memory_id, payload). State holds one hash per id; ids never expire.
 
-    Needs the RocksDB state store. Rows of one id are ordered by seq inside a batch.
+    Needs the RocksDB state store. Repeats collapse in each Arrow batch before the shuffle, so an id retried very
+    often still reaches its state in few rows. Inside a micro-batch the smallest seq counts as first.
     """
-    hashed = writes.select("seq", "memory_id", F.sha2("payload", 256).alias("payload_hash"))
-    return hashed.groupBy("memory_id").transformWithStateInPandas(FirstPayload(), WRITE_OUTCOME, "Append", "None")
+    hashed = writes.select("memory_id", F.sha2("payload", 256).alias("payload_hash"), "seq", F.lit(1).cast("long").alias("copies"))
+    combined = hashed.mapInPandas(_combine_batches, hashed.schema)
+    return combined.groupBy("memory_id").transformWithStateInPandas(FirstPayload(), WRITE_OUTCOME, "Append", "None")
 
 
 def active_view_sink(records: DataFrame, folder: str) -> DataStreamWriter:
