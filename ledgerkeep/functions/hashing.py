@@ -51,14 +51,23 @@ def bag_of_words(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def dense_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Dense unit vectors (key, vector); texts without tokens get the zero vector."""
+    """Dense unit vectors (key, vector); texts without tokens get the zero vector.
+
+    The used buckets are sorted and the gaps between them filled with zeros, one pass per vector.
+    """
     sparse = bag_of_words(df, key, text).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("weights")
+        F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("entries")
     )
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), n)
+
+    def filled(e: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("entries", i - 1)["bucket"], F.lit(-1))
+        return F.concat(zeros(e.bucket - before - 1), F.array(e.weight))
+
+    tail = zeros(F.lit(DIMENSION - 1) - F.element_at("entries", -1)["bucket"])
+    vector = F.concat(F.flatten(F.transform("entries", filled)), tail)
     return df.select(key).join(sparse, key, "left").select(
-        key,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(DIMENSION - 1)),
-            lambda b: F.coalesce(F.try_element_at(F.col("weights"), b), F.lit(0.0)),
-        ).alias("vector"),
+        key, F.when(F.col("entries").isNull(), zeros(F.lit(DIMENSION))).otherwise(vector).alias("vector")
     )

@@ -56,7 +56,7 @@ def retrieve_from_sets(
 
 def covers(groups: Column, ids: Column) -> Column:
     """Some alternative support set lies completely inside ``ids``."""
-    return F.exists(groups, lambda g: F.size(F.array_except(g, ids)) == 0)
+    return F.exists(groups, lambda g: F.forall(g, lambda m: F.array_contains(ids, m)))
 
 
 def cheapest_support(groups: Column, costs: Column) -> Column:

@@ -17,23 +17,26 @@ FAILURES = ("correct", "budget_infeasible", "support_not_retained", "support_not
 # --- plans ------------------------------------------------------------------------------------------------
 
 
-def plan_metrics(plans: DataFrame, responses: DataFrame, snapshots: DataFrame, positives: DataFrame) -> DataFrame:
+def plan_metrics(responses: DataFrame, snapshots: DataFrame, positives: DataFrame) -> DataFrame:
     """One row per plan: response means over the window's queries plus cost and retention measures.
 
-    ``positives`` has snapshot_id and positive_ids, the memories with a positive label.
+    ``responses`` carry the plans of their kept set (``shared_conditions``). ``positives`` has snapshot_id and
+    positive_ids, the memories with a positive label.
     """
     means = responses.groupBy("snapshot_id", "storage_ids", "seed").agg(
         F.avg("exact_match").alias("exact_match"),
         F.avg("token_f1").alias("token_f1"),
         F.avg("memory_tokens").alias("read_tokens"),
+        F.first("plans").alias("plans"),
     )
-    kept = F.size(F.array_intersect("positive_ids", "storage_ids"))
-    return (
-        plans.join(means, ["snapshot_id", "storage_ids", "seed"])
-        .join(snapshots.select("snapshot_id", "trajectory_id", "scenario"), "snapshot_id")
+    kept = F.size(F.filter("positive_ids", lambda m: F.array_contains("storage_ids", m)))
+    measured = (
+        means.join(snapshots.select("snapshot_id", "trajectory_id", "scenario"), "snapshot_id")
         .join(positives, "snapshot_id", "left")
         .select(
-            *plans.columns,
+            "snapshot_id",
+            "storage_ids",
+            "seed",
             "trajectory_id",
             "scenario",
             "exact_match",
@@ -41,8 +44,10 @@ def plan_metrics(plans: DataFrame, responses: DataFrame, snapshots: DataFrame, p
             "read_tokens",
             (F.size("storage_ids") == 0).cast("double").alias("empty_rate"),
             F.when(F.size("positive_ids") > 0, kept / F.size("positive_ids")).alias("positive_coverage"),
+            "plans",
         )
     )
+    return measured.select("*", F.inline("plans")).drop("plans")
 
 
 PLAN_MEASURES = ("exact_match", "token_f1", "store_tokens", "read_tokens", "empty_rate", "positive_coverage")
@@ -115,36 +120,37 @@ def win_tie_loss(trajectories: DataFrame, ours: str, baseline: str) -> DataFrame
 def failure_table(rows: DataFrame) -> DataFrame:
     """Attribute each answer to the first step that lost its support.
 
-    ``rows``: candidate, budget_tokens, store_tokens, storage_ids, context_ids, supports, costs (map id → cost),
-    exact_match. The full plan is exempt from the budget.
+    ``rows``: storage_ids, context_ids, supports, costs (map id → cost), exact_match, and candidate, budget_tokens,
+    store_tokens either as columns or inside ``plans`` (``shared_conditions``). What depends on the kept set only is
+    computed before the plans fan out. The full plan is exempt from the budget.
     """
-    full = F.col("candidate") == "full"
-    minimum = cheapest_support(F.col("supports"), F.col("costs"))
-    feasible = full | (minimum <= F.col("budget_tokens"))
-    stored = covers(F.col("supports"), F.col("storage_ids"))
-    read = covers(F.col("supports"), F.col("context_ids"))
-    used = F.when(~full & (F.col("budget_tokens") > 0), F.col("store_tokens") / F.col("budget_tokens"))
+    known = rows.select(
+        "*",
+        cheapest_support(F.col("supports"), F.col("costs")).alias("minimum_support_tokens"),
+        covers(F.col("supports"), F.col("storage_ids")).alias("support_retained"),
+        covers(F.col("supports"), F.col("context_ids")).alias("support_retrieved"),
+        F.array_min(F.map_values("costs")).alias("cheapest_memory"),
+        F.size("storage_ids").cast("long").alias("record_count"),
+    ).drop("supports", "costs", "context_ids", "storage_ids")
+    if "plans" in rows.columns:
+        known = known.select("*", F.inline("plans")).drop("plans")
+    full, budget, right = F.col("candidate") == "full", F.col("budget_tokens"), F.col("exact_match") == 1
+    used = F.when(~full & (budget > 0), F.col("store_tokens") / budget)
     return (
-        rows.withColumn("minimum_support_tokens", minimum)
-        .withColumn("support_feasible", feasible)
-        .withColumn("support_retained", stored)
-        .withColumn("support_retrieved", read)
+        known.withColumn("support_feasible", full | (F.col("minimum_support_tokens") <= budget))
         .withColumn(
             "category",
-            F.when(F.col("exact_match") == 1, FAILURES[0])
+            F.when(right, FAILURES[0])
             .when(~F.col("support_feasible"), FAILURES[1])
             .when(~F.col("support_retained"), FAILURES[2])
             .when(~F.col("support_retrieved"), FAILURES[3])
             .otherwise(FAILURES[4]),
         )
-        .withColumn("correct_without_support", (F.col("exact_match") == 1) & ~F.col("support_retrieved"))
-        .withColumn("hit_but_wrong", F.col("support_retrieved") & (F.col("exact_match") != 1))
-        .withColumn("record_count", F.size("storage_ids").cast("long"))
+        .withColumn("correct_without_support", right & ~F.col("support_retrieved"))
+        .withColumn("hit_but_wrong", F.col("support_retrieved") & ~right)
         .withColumn("budget_utilization", used)
-        .withColumn("unused_tokens", F.when(~full, F.col("budget_tokens") - F.col("store_tokens")))
-        .withColumn(
-            "nothing_fits", (~full & (F.array_min(F.map_values("costs")) > F.col("budget_tokens"))).cast("int")
-        )
+        .withColumn("unused_tokens", F.when(~full, budget - F.col("store_tokens")))
+        .withColumn("nothing_fits", (~full & (F.col("cheapest_memory") > budget)).cast("int"))
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerkeep.operators.ordered import MIN_HOT_ROWS
 from ledgerkeep.operators.stats import exact_percentiles
+from ledgerkeep.session import cut
 
 # The feature whitelist and the ablation groups.
 FEATURES = (
@@ -74,6 +75,8 @@ def sufficient_statistics(
 ) -> Statistics:
     """One pass over the labelled rows (features, target, uncertain). Uncertain labels are refused."""
     features = tuple(features)
+    # two readers: the medians and the statistics; what was computed to get here is not computed twice
+    rows = cut(rows.select(*features, "target", *(["uncertain"] if "uncertain" in rows.columns else [])))
     fills = medians(rows, features, min_rows)
     x = imputed(features, fills)
     pairs = list(combinations_with_replacement(range(len(features)), 2))

@@ -233,6 +233,17 @@ def unique_conditions(plans: DataFrame) -> DataFrame:
     return plans.select("snapshot_id", "storage_ids", "seed").distinct()
 
 
+def shared_conditions(plans: DataFrame) -> DataFrame:
+    """Unique conditions with the plans that share each one, as a short array (candidates × ratios × seeds at most).
+
+    The plans travel with their kept set through evaluation, so nothing is joined back afterwards.
+    """
+    keys = ["snapshot_id", "storage_ids", "seed"]
+    return plans.groupBy(*keys).agg(
+        F.collect_list(F.struct(*[c for c in plans.columns if c not in keys])).alias("plans")
+    )
+
+
 def pending(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work left to do, and finished work nobody asked for."""
     left = expected.join(done, keys, "left_anti").select(*keys, F.lit("pending").alias("state"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerkeep.functions.hashing import draw32
 from ledgerkeep.operators.ordered import MIN_HOT_ROWS, rank_in_group, running_sum
 from ledgerkeep.operators.sizing import broadcast_if_small
+from ledgerkeep.session import cut
 
 LOOKUP_VALUES = 100_000
 
@@ -26,7 +27,7 @@ def average_ranks(rows: DataFrame, value: str, name: str, min_rows: int = MIN_HO
 
     Values are counted first, so a hot group shrinks to its distinct values before it is ordered.
     """
-    counts = rows.groupBy("snapshot_id", value).agg(F.count("*").alias("_ties"))
+    counts = cut(rows.groupBy("snapshot_id", value).agg(F.count("*").alias("_ties")))
     summed = running_sum(counts, ["snapshot_id"], [F.col(value)], F.col("_ties"), "_upto", min_rows)
     ranks = summed.select("snapshot_id", value, (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(name))
     return rows.join(ranks, ["snapshot_id", value])
@@ -154,7 +155,7 @@ def exact_percentiles(
     holds all values of a group.
     """
     keys = list(keys)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    counts = cut(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")))
     summed = running_sum(counts, keys, [F.col(value)], F.col("_c"), "_upto", min_rows)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     spots = totals.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn(

@@ -14,7 +14,7 @@ from ledgerkeep.plans import knowledge as kn
 from ledgerkeep.plans import orderlog as ol
 from ledgerkeep.plans import query
 from ledgerkeep.plans.sqltext import with_sql
-from ledgerkeep.sources.tables import table
+from ledgerkeep.sources.tables import spread, table
 
 PUNCT = tx.PUNCTUATION.replace("'", "''")
 
@@ -87,13 +87,13 @@ def d6_long(spark, sf):
 
 @query("d7_storage_bytes", "SELECT doc_id, CAST(strlen(to_json({'content': text, 'memory_id': CAST(doc_id AS VARCHAR)})) + 3 AS BIGINT) AS cost FROM documents")
 def d7(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf, "documents", "doc_id", "text"))
     return docs.select("doc_id", tx.storage_bytes(F.col("doc_id"), F.col("text")).alias("cost"))
 
 
 @query("d8_word_counts", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents")
 def d8(spark, sf):
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", tx.word_count(F.col("text")).alias("words"))
+    return spread(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", tx.word_count(F.col("text")).alias("words"))
 
 
 @query("d9_context_cost", with_sql(bk.ITEMS, "SELECT snapshot_id, CAST(sum(cost) + count(*) - 1 AS BIGINT) AS context_cost FROM items GROUP BY 1"))
@@ -133,7 +133,7 @@ def d11(spark, sf):
 
 @query("d12_first_lines", "SELECT doc_id, md5(trim(split_part(ltrim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10), 1), ' ')) AS first_line, contains(ltrim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10)) AS completed FROM documents")
 def d12(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf, "documents", "doc_id", "text"))
     return docs.select(
         "doc_id",
         F.md5(tx.first_line(F.col("text")).cast("binary")).alias("first_line"),
@@ -185,7 +185,7 @@ def d14(spark, sf):
 
 @query("d15_leakage_keys", "SELECT k AS text_key, count(*) AS copies FROM (SELECT md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g'))) AS k FROM documents) GROUP BY 1 HAVING count(*) > 1")
 def d15(spark, sf):
-    docs = table(spark, sf, "documents", "text")
+    docs = spread(table(spark, sf, "documents", "text"))
     return docs.groupBy(F.md5(tx.leakage_key(F.col("text")).cast("binary")).alias("text_key")).agg(F.count("*").alias("copies")).where("copies > 1")
 
 

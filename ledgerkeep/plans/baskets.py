@@ -138,7 +138,7 @@ def respond(spark: SparkSession, sf: str, conditions: DataFrame, seeds: tuple[in
     if "seed" not in conditions.columns:
         read = read.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])))
     gold = F.size("ids")
-    common = F.size(F.array_intersect("ids", "context_ids"))
+    common = F.size(F.filter("ids", lambda m: F.array_contains("context_ids", m)))
     return (
         read.join(o, "snapshot_id")
         .withColumn("exact_match", (covers(F.col("supports"), F.col("context_ids")) & ~fails).cast("int"))

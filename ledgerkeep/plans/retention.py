@@ -274,18 +274,19 @@ pt AS (SELECT candidate, budget_ratio, trajectory_id, scenario, avg(em) AS em, a
 SUMMARY_CTES = (*bk.PLANS, bk.QUERIES, bk.RANKINGS, bk.responses_sql("plans"), POSITIVES, METRICS)
 
 
-def responses(spark, sf, plans):
-    return bk.respond(spark, sf, sel.unique_conditions(plans))
+def responses(spark, sf):
+    """Answers of every distinct kept set, each with the plans that chose it."""
+    return bk.respond(spark, sf, sel.shared_conditions(bk.plans(spark, sf)))
 
 
-def trajectories(spark, sf):
-    """The plan table is written once: it feeds both the responses and the summary."""
+def measured_plans(spark, sf):
     rows = bk.items(spark, sf)
-    plans = cut(bk.plans(spark, sf))
     positives = rows.where(F.col("flag") == "R").groupBy("snapshot_id").agg(F.collect_list("memory_id").alias("positive_ids"))
-    return met.per_trajectory(
-        met.plan_metrics(plans, responses(spark, sf, plans), bk.snapshots(spark, sf, rows), positives)
-    )
+    return met.plan_metrics(responses(spark, sf), bk.snapshots(spark, sf, rows), positives)
+
+
+def trajectories(spark, sf):
+    return met.per_trajectory(measured_plans(spark, sf))
 
 
 def rounded(df, columns, digits=6):
@@ -380,10 +381,9 @@ FAIL_CTES = (*bk.PLANS, bk.QUERIES, bk.RANKINGS, bk.responses_sql("plans"), FAIL
 
 def failures(spark, sf):
     rows = bk.items(spark, sf)
-    plans = cut(bk.plans(spark, sf))
     costs = rows.groupBy("snapshot_id").agg(F.map_from_entries(F.collect_list(F.struct("memory_id", "cost"))).alias("costs"))
     joined = (
-        plans.join(responses(spark, sf, plans), ["snapshot_id", "storage_ids", "seed"])
+        responses(spark, sf)
         .join(costs, "snapshot_id")
         .join(bk.snapshots(spark, sf, rows).select("snapshot_id", "trajectory_id", "scenario"), "snapshot_id")
     )
@@ -605,13 +605,9 @@ def h28(spark, sf):
       "SELECT cohort, candidate, budget_ratio, count(*) AS trajectory_count, round(avg(em), 6) AS exact_match, round(avg(st), 6) AS store_tokens FROM cpt GROUP BY 1,2,3"),
 )
 def h29(spark, sf):
-    rows = bk.items(spark, sf)
-    plans = cut(bk.plans(spark, sf))
-    snaps = bk.snapshots(spark, sf, rows)
+    snaps = bk.snapshots(spark, sf)
     cohort = F.when(F.col("split") == "test", "independent").otherwise("development")
-    positives = rows.where(F.col("flag") == "R").groupBy("snapshot_id").agg(F.collect_list("memory_id").alias("positive_ids"))
-    table = met.plan_metrics(plans, responses(spark, sf, plans), snaps, positives)
-    tagged = table.join(snaps.select("snapshot_id", cohort.alias("cohort")), "snapshot_id")
+    tagged = measured_plans(spark, sf).join(snaps.select("snapshot_id", cohort.alias("cohort")), "snapshot_id")
     inside = tagged.groupBy("cohort", "candidate", "budget_ratio", "trajectory_id", "scenario").agg(
         F.avg("exact_match").alias("em"), F.avg("store_tokens").alias("st")
     )

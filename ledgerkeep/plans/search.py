@@ -17,7 +17,7 @@ from ledgerkeep.operators.ordered import rank_in_group
 from ledgerkeep.plans import query
 from ledgerkeep.plans.sqltext import with_sql
 from ledgerkeep.session import cut
-from ledgerkeep.sources.tables import table
+from ledgerkeep.sources.tables import spread, table
 
 NEAR = 0.3  # the driver vectors are far apart; the reference thresholds of 0.8 to 0.98 would find nothing
 
@@ -289,20 +289,20 @@ def bag_sql(name: str, source: str, key: str) -> str:
 
 @query("d1_tokens", with_sql(bag_sql("b", "documents", "doc_id"), "SELECT k AS doc_id, tok AS token, count(*) AS hits FROM b_t GROUP BY 1, 2"))
 def d1(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf, "documents", "doc_id", "text"))
     return docs.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("hits"))
 
 
 @query("d2_hash_buckets", with_sql(bag_sql("b", "documents", "doc_id"), "SELECT bucket, count(DISTINCT tok) AS tokens FROM (SELECT tok, CAST('0x'||substr(sha256(tok), 7, 2) AS INT) AS bucket FROM b_t) GROUP BY 1"))
 def d2(spark, sf):
-    docs = table(spark, sf, "documents", "text")
+    docs = spread(table(spark, sf, "documents", "text"))
     words = docs.select(F.explode(tx.tokens(F.col("text"))).alias("token")).distinct()
     return words.groupBy(token_bucket(F.col("token")).alias("bucket")).agg(F.count("*").alias("tokens"))
 
 
 @query("d3_hashed_bag", with_sql(bag_sql("b", "documents", "doc_id"), "SELECT k AS doc_id, bucket, round(w, 9) AS weight FROM b"))
 def d3(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf, "documents", "doc_id", "text"))
     return bag_of_words(docs, "doc_id", "text").withColumn("weight", F.round("weight", 9))
 
 
@@ -310,7 +310,7 @@ QUERY_PREFIX = "Query: "
 
 
 def doc_search(spark, sf, k):
-    docs = dense_vectors(table(spark, sf, "documents", "doc_id", "text").withColumnRenamed("doc_id", "memory_id"), "memory_id", "text")
+    docs = dense_vectors(spread(table(spark, sf, "documents", "doc_id", "text")).withColumnRenamed("doc_id", "memory_id"), "memory_id", "text")
     asks = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit(QUERY_PREFIX), "text").alias("text"))
     return sim.top_k(docs, dense_vectors(asks, "query_id", "text"), k)
 
@@ -336,7 +336,7 @@ ctxf AS (SELECT * FROM ctx WHERE k = len(e))"""
 
 
 def doc_costs(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf, "documents", "doc_id", "text"))
     return docs.select(F.col("doc_id").alias("memory_id"), tx.storage_bytes(F.col("doc_id"), F.col("text")).alias("cost"))
 
 
@@ -349,7 +349,7 @@ def e2(spark, sf):
 
 @query("h2_retrieved_tokens", with_sql(*DOC_SEARCH, "SELECT round(avg(t), 6) AS retrieved_tokens, count(*) AS queries FROM (SELECT query_id, sum(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))) AS t FROM dtop JOIN documents ON doc_id = memory_id WHERE rank <= 5 GROUP BY 1)"))
 def h2(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("memory_id"), tx.word_count(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf, "documents", "doc_id", "text")).select(F.col("doc_id").alias("memory_id"), tx.word_count(F.col("text")).alias("tokens"))
     per_query = doc_search(spark, sf, 5).join(docs, "memory_id").groupBy("query_id").agg(F.sum("tokens").alias("t"))
     return per_query.agg(F.round(F.avg("t"), 6).alias("retrieved_tokens"), F.count("*").alias("queries"))
 
@@ -389,7 +389,7 @@ chk AS (SELECT page_id, toks, CAST(i.i * {CHUNK - OVERLAP} AS BIGINT) AS "start"
 
 
 def pages(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf, "documents", "doc_id", "text"))
     return docs.select(F.col("doc_id").alias("page_id"), F.filter(F.split(F.trim("text"), "\\s+"), lambda w: w != "").alias("token_ids"))
 
 
@@ -504,7 +504,7 @@ HISTORY = (
 
 def conversation(spark, sf):
     """(memories, history, decisions) of the conversations."""
-    turns = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = spread(table(spark, sf, "conversations")).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     vec = dense_vectors(turns, "id", "text")
     rows = turns.join(vec, "id").withColumnRenamed("conv_id", "snapshot_id").withColumnRenamed("turn", "event_order")
     cost = tx.storage_bytes(F.col("id"), F.col("text")).alias("cost")

@@ -14,7 +14,7 @@ from ledgerkeep.plans.answers import ANSWER_CTES, answered
 from ledgerkeep.plans.search import bag_sql
 from ledgerkeep.plans.sqltext import with_sql
 from ledgerkeep.session import staging_path
-from ledgerkeep.sources.tables import table
+from ledgerkeep.sources.tables import spread, table
 from ledgerkeep.streaming import log_stream as ls
 
 
@@ -84,7 +84,7 @@ def letter_counts(texts: pd.Series) -> np.ndarray:
     with_sql("v AS (SELECT doc_id, [len(text) - len(replace(text, c, '')) for c in ['a', 'e', 'i', 'o']] AS vec FROM documents)", "SELECT doc_id AS memory_id, array_to_string(vec, ',') AS vector FROM v"),
 )
 def o1(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"))
+    docs = spread(table(spark, sf, "documents", "doc_id", "text")).select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"))
     stored = spark.createDataFrame([], "memory_id bigint, embedding_version string, vector array<double>")
     vectors = models.embed_missing(docs, stored, "letters", 4, letter_counts)
     return vectors.select("memory_id", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
