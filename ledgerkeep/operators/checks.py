@@ -189,10 +189,9 @@ def phase_order_violations(answers: DataFrame, expected_phase: DataFrame, keys:
     """
     keys = list(keys)
     tagged = answers.join(expected_phase.select(*keys).distinct().withColumn("_sealed", F.lit(True)), keys, "left")
-    hindsight = tagged.where(F.col("_sealed").isNull()).agg(F.min("seq").alias("first_hindsight"))
-    return tagged.where(F.col("_sealed")).crossJoin(F.broadcast(hindsight)).where(
-        F.col("seq") > F.col("first_hindsight")
-    ).select(*keys, "seq")
+    hindsight = tagged.where(F.col("_sealed").isNull()).agg(F.min("seq").alias("n")).first().n
+    late = F.lit(False) if hindsight is None else F.col("seq") > hindsight
+    return tagged.where(F.col("_sealed") & late).select(*keys, "seq")
 
 
 def mixed_hashes(answers: DataFrame, column: str, expected: str) -> DataFrame:

@@ -71,8 +71,9 @@ def reliability_gate(
     )
     seeds = gaps.agg(F.count_distinct("seed").alias("seeds"))
     ready = F.col("labels_certain") & (F.col("seeds") >= 2) & (F.col("memory_dependency") >= minimum_dependency)
-    # three one-row tables side by side
-    return dependency.crossJoin(certain).crossJoin(seeds).withColumn("ready", F.coalesce(ready, F.lit(False)))
+    one = F.lit(1).alias("one")  # three one-row tables side by side
+    row = dependency.select("*", one).join(certain.select("*", one), "one").join(seeds.select("*", one), "one").drop("one")
+    return row.withColumn("ready", F.coalesce(ready, F.lit(False)))
 
 
 def label_distribution(labels: DataFrame) -> DataFrame:

@@ -266,9 +266,7 @@ def recall_loss(summary: DataFrame, keys: Sequence[str], metric: str = "recall_a
     full = summary.where(F.col("policy") == "full").select(*keys, F.col(metric).alias("full_metric"))
     rest = summary.where(F.col("policy") != "full")
     loss = (F.col("full_metric") - F.col(metric)) * 100 * 0.1 / (1 - F.col("budget_ratio"))
-    return rest.join(full, list(keys)).withColumn("loss_per_tenth", loss) if keys else rest.crossJoin(
-        F.broadcast(full)
-    ).withColumn("loss_per_tenth", loss)
+    return rest.join(full, list(keys)).withColumn("loss_per_tenth", loss)
 
 
 def mean_and_spread(rows: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:

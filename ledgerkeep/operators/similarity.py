@@ -19,7 +19,7 @@ from ledgerkeep.operators.sizing import broadcast_if_small, largest_group
 from ledgerkeep.session import cut
 
 MIN_NORM = 1e-12
-QUERY_BLOCK = 1024
+BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 2048
 BATCH_ROWS = 4096
 PAIRS_PER_ROW = 64
@@ -34,52 +34,68 @@ def _unit(vectors) -> np.ndarray:
 # --- search -----------------------------------------------------------------------------------------------
 
 
-def _query_blocks(queries: DataFrame) -> list[tuple[list, np.ndarray]]:
-    """The query vectors in blocks of bounded size; each block is one broadcast."""
-    n = queries.count()
-    blocks = max(1, -(-2 * n // QUERY_BLOCK)) if n > QUERY_BLOCK else 1
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    if blocks > 1:
-        numbered = cut(numbered)
-    out = []
-    for b in range(blocks):
-        rows = numbered.where(F.col("_block") == b).orderBy("query_id").toPandas()
-        if len(rows):
-            out.append((rows["query_id"].tolist(), _unit(rows["vector"])))
-    return out
-
-
-def _scan(records: DataFrame, queries: DataFrame, reduce_to: int | None) -> DataFrame:
-    types = dict(records.dtypes), dict(queries.dtypes)
-    schema = f"query_id {types[1]['query_id']}, memory_id {types[0]['memory_id']}, score double"
-    spark, parts = records.sparkSession, []
-    for ids, matrix in _query_blocks(queries):
-        shared = spark.sparkContext.broadcast((np.array(ids), matrix))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                ids = batch["memory_id"].to_numpy()
+def _partial(scores: np.ndarray, memory: np.ndarray, names: np.ndarray, keep: int | None) -> pd.DataFrame:
+    """Scores of records (rows) by queries (columns) as rows; at most ``keep`` per query, ties by id."""
+    if keep is None or len(memory) <= keep:
+        return pd.DataFrame(
+            {"query_id": np.tile(names, len(memory)), "memory_id": np.repeat(memory, len(names)), "score": scores.ravel()}
+        )
+    rows = np.concatenate([np.lexsort((memory, -scores[:, j]))[:keep] for j in range(len(names))])
+    columns = np.repeat(np.arange(len(names)), keep)
+    return pd.DataFrame({"query_id": names[columns], "memory_id": memory[rows], "score": scores[rows, columns]})
+
+
+def _scan(records: DataFrame, queries: DataFrame, keep: int | None) -> DataFrame:
+    """Up to ``BROADCAST_QUERIES`` queries go to every task at once; more meet the records block by block."""
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    return _scan_broadcast(records, queries, keep) if few else _scan_blocks(records, queries, keep)
+
+
+def _scan_schema(records: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, memory_id {dict(records.dtypes)['memory_id']}, score double"
+
+
+def _scan_broadcast(records: DataFrame, queries: DataFrame, keep: int | None) -> DataFrame:
+    rows = queries.orderBy("query_id").toPandas()  # bounded by the caller's check
+    shared = records.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["vector"])))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = shared.value
+        for batch in batches:
+            if len(batch) and len(names):
                 scores = np.round(_unit(batch["vector"]) @ q.T, SCORE_DIGITS)
-                if reduce_to is None or len(ids) <= reduce_to:
-                    yield pd.DataFrame(
-                        {"query_id": np.tile(names, len(ids)), "memory_id": np.repeat(ids, len(names)), "score": scores.ravel()}
-                    )
-                    continue
-                picks = [np.lexsort((ids, -scores[:, j]))[:reduce_to] for j in range(len(names))]
-                rows = np.concatenate(picks)
-                columns = np.repeat(np.arange(len(names)), reduce_to)
-                yield pd.DataFrame({"query_id": names[columns], "memory_id": ids[rows], "score": scores[rows, columns]})
-
-        parts.append(records.select("memory_id", "vector").mapInPandas(scan, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+                yield _partial(scores, batch["memory_id"].to_numpy(), names, keep)
+
+    return records.select("memory_id", "vector").mapInPandas(scan, _scan_schema(records, queries))
+
+
+def _scan_blocks(records: DataFrame, queries: DataFrame, keep: int | None, block_rows: int | None = None) -> DataFrame:
+    """Record block × query block products in tasks, for query sets too large to broadcast."""
+    size = block_rows or BLOCK_ROWS
+    scope = F.lit(0).alias("scope")
+    r = _blocked(records.select(scope, "memory_id", "vector"), ["scope"], size)
+    q = _blocked(queries.select(scope, F.col("query_id").alias("memory_id"), "vector"), ["scope"], size)
+    rb = r.groupBy("scope").agg(F.first("_blocks").alias("_other"))
+    qb = q.groupBy("scope").agg(F.first("_blocks").alias("_other"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_other") - 1))
+    types = dict(records.dtypes)["memory_id"], dict(queries.dtypes)["query_id"]
+    left = r.join(F.broadcast(qb), "scope").select(
+        "memory_id", F.lit(None).cast(types[1]).alias("query_id"), F.lit(False).alias("asks"), "vector", F.col("_b").alias("_i"), every.alias("_j")
+    )
+    right = q.join(F.broadcast(rb), "scope").select(
+        F.lit(None).cast(types[0]).alias("memory_id"), F.col("memory_id").alias("query_id"), F.lit(True).alias("asks"), "vector", every.alias("_i"), F.col("_b").alias("_j")
+    )
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, known = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(asks) or not len(known):
+            return pd.DataFrame({"query_id": [], "memory_id": [], "score": []})
+        scores = np.round(_unit(known["vector"]) @ _unit(asks["vector"]).T, SCORE_DIGITS)
+        as_type = {"memory_id": known["memory_id"], "query_id": asks["query_id"]}
+        ids = {k: v.astype("int64") if v.dtype.kind == "f" else v for k, v in as_type.items()}
+        return _partial(scores, ids["memory_id"].to_numpy(), ids["query_id"].to_numpy(), keep)
+
+    return left.unionByName(right).groupBy("_i", "_j").applyInPandas(meet, _scan_schema(records, queries))
 
 
 def score_all(records: DataFrame, queries: DataFrame) -> DataFrame:
@@ -122,8 +138,7 @@ def vector_violations(vectors: DataFrame, dimension: int, tolerance: float = 1e-
 def _blocked(df: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     """Add the number of blocks of the row's group and the row's block."""
     sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
-    joined = df.join(broadcast_if_small(sizes), keys) if keys else df.crossJoin(F.broadcast(sizes))
-    return joined.withColumn("_b", F.pmod(F.xxhash64("memory_id"), F.col("_blocks")).cast("int"))
+    return df.join(broadcast_if_small(sizes), keys).withColumn("_b", F.pmod(F.xxhash64("memory_id"), F.col("_blocks")).cast("int"))
 
 
 def similar_pairs(df: DataFrame, keys: list[str], threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -185,7 +200,7 @@ def first_match(rows: DataFrame, reps: DataFrame, keys: list[str], threshold: fl
     sizes_r = right.groupBy(*keys).agg(F.first("_blocks").alias("_rb"))
 
     def attach(df: DataFrame, sizes: DataFrame) -> DataFrame:
-        return df.join(broadcast_if_small(sizes), keys) if keys else df.crossJoin(F.broadcast(sizes))
+        return df.join(broadcast_if_small(sizes), keys)
 
     l2 = attach(left, sizes_r).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_rb") - 1))).select(
         *keys, "memory_id", "vector", F.lit(None).cast("long").alias("priority"), F.col("_b").alias("_i"), "_j"

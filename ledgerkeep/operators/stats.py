@@ -13,6 +13,7 @@ from ledgerkeep.operators.sizing import broadcast_if_small
 from ledgerkeep.session import cut
 
 LOOKUP_VALUES = 100_000
+REPEAT_CHUNKS = 64
 
 
 def prediction_errors(rows: DataFrame) -> DataFrame:
@@ -83,7 +84,10 @@ def paired_bootstrap(
         arrays = differences.groupBy(*keys).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("trajectory_id", "difference"))), lambda e: e.difference).alias("d")
         )
-        draws = arrays.select(*keys, "d", repeat).repartition(*keys, "repeat")
+        # the array is shuffled once per chunk of repeats, not once per repeat
+        chunk = F.explode(F.sequence(F.lit(0), F.lit(min(repeats, REPEAT_CHUNKS) - 1))).alias("chunk")
+        step = F.sequence(F.col("chunk"), F.lit(repeats - 1), F.lit(min(repeats, REPEAT_CHUNKS)))
+        draws = arrays.select(*keys, "d", chunk).repartition(*keys, "chunk").select(*keys, "d", F.explode(step).alias("repeat"))
         total = F.aggregate(
             F.sequence(F.lit(0), F.size("d") - 1),
             F.lit(0.0),
@@ -105,8 +109,7 @@ def paired_bootstrap(
             .agg((F.sum(F.col("times") * F.col("difference")) / F.sum("times")).alias("m"))
         )
     ends = means.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    joined = ends.join(sizes, keys) if keys else ends.crossJoin(sizes)
-    return joined.select(
+    return ends.join(sizes, keys).select(
         *keys,
         F.col("n").alias("trajectory_count"),
         "mean_difference",

@@ -63,8 +63,9 @@ def test_top_k_with_ties(data, spark, monkeypatch):
     queries = spark.createDataFrame([(j, v[j].tolist()) for j in (0, 70, 200)], "query_id long, vector array<double>")
     sims = np.round(v @ v.T, 12)
     expected = {(q, rank + 1): int(i) for q in (0, 70, 200) for rank, i in enumerate(np.lexsort((np.arange(len(v)), -sims[:, q]))[:7])}
-    for block in (1024, 1):
-        monkeypatch.setattr(sim, "QUERY_BLOCK", block)
+    for most in (4096, 2):  # broadcast, then blocks
+        monkeypatch.setattr(sim, "BROADCAST_QUERIES", most)
+        monkeypatch.setattr(sim, "BLOCK_ROWS", 2048 if most == 4096 else 100)
         got = {(r.query_id, r.rank): r.memory_id for r in sim.top_k(df.repartition(5), queries, 7).collect()}
         assert got == expected
 
