@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerkeep.functions.text import parse_rating
 from ledgerkeep.operators.evaluation import covers, ranked_lists, retrieve_from_sets
 from ledgerkeep.operators.selection import Candidate, history_candidates, plan_table
+from ledgerkeep.session import cut
 from ledgerkeep.sources.tables import table
 
 RATIOS = (0.1, 0.25, 0.5, 0.75)
@@ -32,14 +33,21 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(
         F.sum("l_quantity").cast("long").alias("cost"),
         F.sum(net).alias("net"),
-        F.max("l_returnflag").alias("flag"),
-        F.max("l_linestatus").alias("status"),
+        # one-letter codes: a numeric maximum stays in the hash aggregate, a string one would sort
+        F.chr(F.max(F.ascii("l_returnflag"))).alias("flag"),
+        F.chr(F.max(F.ascii("l_linestatus"))).alias("status"),
         F.max(F.unix_date(F.to_date("l_shipdate"))).cast("long").alias("event_order"),
         F.count("*").alias("copies"),
         F.min(F.round(F.col("l_discount") * 100).cast("long")).alias("disc"),
     )
 
 
+def staged_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows, written once for queries that read them in several places: the lines are then scanned and
+    summed once, not once per reader."""
+    return cut(items(spark, sf))
+
+
 ITEMS = """
 items AS (
   SELECT l_orderkey AS snapshot_id, CAST(l_linenumber AS BIGINT) AS memory_id,
@@ -129,10 +137,12 @@ ranks AS (
 """
 
 
-def respond(spark: SparkSession, sf: str, conditions: DataFrame, seeds: tuple[int, ...] = (0,)) -> DataFrame:
+def respond(
+    spark: SparkSession, sf: str, conditions: DataFrame, seeds: tuple[int, ...] = (0,), rows: DataFrame | None = None
+) -> DataFrame:
     """Answers for kept sets. An answer is right if a support set was read and the reader does not fail:
     reader 0 fails on pending orders, reader 1 on urgent ones."""
-    read = retrieve_from_sets(conditions, rankings(spark, sf), TOP_K, READ_BUDGET)
+    read = retrieve_from_sets(conditions, rankings(spark, sf, rows), TOP_K, READ_BUDGET)
     o = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").withColumnRenamed("o_orderkey", "snapshot_id")
     fails = F.when(F.col("seed") == 0, F.col("o_orderstatus") == "P").otherwise(F.col("o_orderpriority") == "1-URGENT")
     if "seed" not in conditions.columns:
@@ -209,8 +219,8 @@ def candidates() -> list[Candidate]:
     return [*history_candidates(RANDOM_SEEDS), Candidate("importance", rating)]
 
 
-def plans(spark: SparkSession, sf: str) -> DataFrame:
-    return plan_table(features(spark, sf), candidates(), RATIOS)
+def plans(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return plan_table(features(spark, sf, rows), candidates(), RATIOS)
 
 
 SCORED = """

@@ -129,7 +129,7 @@ NESTED_MEMORY = "memory_id bigint, canonical_id string, leakage_group string, co
 
 def nested_snapshots(spark, sf):
     """Snapshots as the nested rows they are exchanged in; an order's lines are few by construction."""
-    rows = bk.items(spark, sf)
+    rows = bk.staged_items(spark, sf)
     text = F.concat(F.col("flag"), F.lit(" line of "), F.col("net").cast("string"))
     memories = rows.groupBy("snapshot_id").agg(
         F.array_sort(
@@ -240,14 +240,18 @@ viol AS (SELECT b.seq, b.memory_id, 'duplicate_id' AS reason FROM bad b JOIN fir
   UNION ALL SELECT b.seq, b.memory_id, 'already_replaced' FROM bad b JOIN takes t ON t.supersedes = b.supersedes WHERE b.seq > t.s)"""
 
 
+def staged_damaged(spark, sf):
+    return cut(ol.damaged(spark, sf).select("seq", "memory_id", "supersedes"))
+
+
 @query("c3_replay_violations", with_sql(ol.LOG, ol.DAMAGED, VIOLATIONS, "SELECT * FROM viol"))
 def c3(spark, sf):
-    return mem.replay_violations(ol.damaged(spark, sf))
+    return mem.replay_violations(staged_damaged(spark, sf))
 
 
 @query("c3_first_violation", with_sql(ol.LOG, ol.DAMAGED, VIOLATIONS, "SELECT min(seq) AS seq FROM viol"))
 def c3_first(spark, sf):
-    return mem.first_violation(mem.replay_violations(ol.damaged(spark, sf)))
+    return mem.first_violation(mem.replay_violations(staged_damaged(spark, sf)))
 
 
 @query(
@@ -331,7 +335,7 @@ def c10(spark, sf):
     with_sql(ol.LOG, CONSOLIDATE, "SELECT 'merged-'||l.memory_id AS memory_id, m.memory_id AS source_id FROM latest l JOIN mem m USING (subject, relation) WHERE l.rn = 1"),
 )
 def c10_provenance(spark, sf):
-    records = _records(spark, sf)
+    records = cut(_records(spark, sf))
     return mem.provenance(records, mem.consolidate(records))
 
 
@@ -372,8 +376,8 @@ shown AS (
 
 
 def cases(spark, sf):
-    """A case is a superseding record with the one it replaced."""
-    rows = ol.log(spark, sf)
+    """A case is a superseding record with the one it replaced. The log is read three times, so it is written once."""
+    rows = cut(ol.log(spark, sf).select("seq", "memory_id", "content", "event_order", "supersedes", "relation", "source"))
     struct = F.struct("memory_id", "content", "event_order")
     new = rows.where(F.col("supersedes").isNotNull()).select(
         F.col("seq").alias("case_id"), "relation", "supersedes", struct.alias("current"), (F.col("event_order") % 2 == 1).alias("swap")
@@ -572,9 +576,9 @@ def b9(spark, sf):
 )
 def b10(spark, sf):
     """Audited under a tighter budget than they were made with, with damaged scores and run times."""
-    rows = bk.items(spark, sf)
+    rows = bk.staged_items(spark, sf)
     full = rows.groupBy("snapshot_id").agg(F.array_sort(F.collect_list("memory_id")).alias("storage_ids"))
-    answers = bk.respond(spark, sf, full).join(bk.snapshots(spark, sf, rows).select("snapshot_id", "scenario"), "snapshot_id")
+    answers = bk.respond(spark, sf, full, rows=rows).join(bk.snapshots(spark, sf, rows).select("snapshot_id", "scenario"), "snapshot_id")
     size = F.size("ranking_ids")
     ranking = F.transform("ranking_ids", lambda m, i: F.struct(m.alias("memory_id"), (size - i).cast("double").alias("score")))
     seen = answers.select(

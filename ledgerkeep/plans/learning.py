@@ -20,8 +20,8 @@ LABELLED = (*rt.LABEL_CTES, bk.FEATURES, TARGETS, "lbl AS (SELECT f.*, t.target,
 
 def labelled(spark, sf):
     """Features, leave-one-out targets and split of every memory."""
-    rows = bk.items(spark, sf)
-    targets = lab.loo_labels(rt.utilities(spark, sf, (0,))).withColumnRenamed("loo_value", "target")
+    rows = bk.staged_items(spark, sf)
+    targets = lab.loo_labels(rt.utilities(spark, sf, (0,), rows)).withColumnRenamed("loo_value", "target")
     feats = bk.features(spark, sf, rows)
     splits = bk.snapshots(spark, sf, rows).select("snapshot_id", "split")
     return feats.join(targets, ["snapshot_id", "memory_id"]).join(splits, "snapshot_id")
@@ -71,14 +71,14 @@ ONE_FEATURE = """fit AS (SELECT count(*) AS n, avg(cost) AS m, CASE WHEN stddev_
 pred AS (SELECT l.*, (l.cost - m) / s * (n * c / s / (n + 1.0)) + b - 0.1 AS predicted FROM lbl l, fit)"""
 
 
-def one_feature_model(spark, sf):
-    rows = training(spark, sf).withColumn("memory_tokens", F.col("cost"))
+def one_feature_model(rows):
+    rows = rows.where("split = 'train'").withColumn("memory_tokens", F.col("cost"))
     return pr.solve_ridge(pr.sufficient_statistics(rows, ("memory_tokens",)), ("memory_tokens",), 1.0)
 
 
 @query("i4_ridge_one_feature", with_sql(*LABELLED, ONE_FEATURE, "SELECT 'memory_tokens' AS feature, round(n * c / s / (n + 1.0), 9) AS weight, round(b, 9) AS intercept FROM fit"))
 def i4_one(spark, sf):
-    table = pr.model_table(spark, [one_feature_model(spark, sf)])
+    table = pr.model_table(spark, [one_feature_model(labelled(spark, sf))])
     return table.select("feature", F.round("weight", 9).alias("weight"), F.round("intercept", 9).alias("intercept"))
 
 
@@ -96,9 +96,9 @@ def i5(spark, sf):
 
 def predicted(spark, sf):
     """Predictions shifted down by a constant storage price, so that some are negative."""
-    model = one_feature_model(spark, sf)
-    rows = labelled(spark, sf).withColumn("memory_tokens", F.col("cost"))
-    return rows.withColumn("predicted", pr.prediction(model) - 0.1)
+    rows = cut(labelled(spark, sf))
+    model = one_feature_model(rows)
+    return rows.withColumn("memory_tokens", F.col("cost")).withColumn("predicted", pr.prediction(model) - 0.1)
 
 
 @query("i6_ablation_models")

@@ -115,7 +115,7 @@ def g9(spark, sf):
              f"SELECT DISTINCT snapshot_id, {IDS} AS storage_ids, seed, 'pending' AS state FROM plans p WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.snapshot_id = p.snapshot_id AND d.storage_ids = p.storage_ids)"),
 )
 def g21(spark, sf):
-    plans = bk.plans(spark, sf)
+    plans = cut(bk.plans(spark, sf))
     done = sel.unique_conditions(plans.where(F.col("candidate").isin("recency", "full")))
     todo = sel.pending(sel.unique_conditions(plans), done, ["snapshot_id", "storage_ids", "seed"])
     return todo.withColumn("storage_ids", bk.ids_text("storage_ids"))
@@ -130,8 +130,9 @@ def g21(spark, sf):
              f"SELECT snapshot_id, {IDS} AS storage_ids, query_id, array_to_string(context_ids, ',') AS context_ids, memory_tokens FROM resp"),
 )
 def e5(spark, sf):
-    conditions = sel.unique_conditions(bk.plans(spark, sf))
-    read = retrieve_from_sets(conditions, bk.rankings(spark, sf), bk.TOP_K, bk.READ_BUDGET)
+    rows = bk.staged_items(spark, sf)
+    conditions = sel.unique_conditions(bk.plans(spark, sf, rows))
+    read = retrieve_from_sets(conditions, bk.rankings(spark, sf, rows), bk.TOP_K, bk.READ_BUDGET)
     return read.select(
         "snapshot_id",
         bk.ids_text("storage_ids").alias("storage_ids"),
@@ -159,16 +160,16 @@ UTILITIES = """utils AS (
 LABEL_CTES = (bk.ITEMS, bk.SNAPSHOTS, bk.QUERIES, bk.RANKINGS, ALLS, DELETED, TWO_SEEDS, CONDS, bk.responses_sql("conds"), UTILITIES)
 
 
-def full_and_deleted(spark, sf, seeds=(0, 1)):
-    rows = bk.items(spark, sf)
+def full_and_deleted(spark, sf, seeds=(0, 1), rows=None):
+    rows = bk.staged_items(spark, sf) if rows is None else rows
     everything = rows.groupBy("snapshot_id").agg(F.array_sort(F.collect_list("memory_id")).alias("storage_ids"))
-    full = bk.respond(spark, sf, everything, seeds)
-    deleted = bk.respond(spark, sf, sel.deletion_plans(rows).drop("seed"), seeds)
+    full = bk.respond(spark, sf, everything, seeds, rows)
+    deleted = bk.respond(spark, sf, sel.deletion_plans(rows).drop("seed"), seeds, rows)
     return full, deleted
 
 
-def utilities(spark, sf, seeds=(0, 1)):
-    return lab.deletion_utilities(*full_and_deleted(spark, sf, seeds))
+def utilities(spark, sf, seeds=(0, 1), rows=None):
+    return lab.deletion_utilities(*full_and_deleted(spark, sf, seeds, rows))
 
 
 @query(
@@ -220,11 +221,11 @@ def h8(spark, sf):
        (SELECT bool_and(NOT uncertain) AS labels_certain, count(*) AS labels FROM labels JOIN snaps USING (snapshot_id) WHERE split <> 'test') l"""),
 )
 def h9(spark, sf):
-    rows = bk.items(spark, sf)
+    rows = bk.staged_items(spark, sf)
     snaps = bk.snapshots(spark, sf, rows).select("snapshot_id", "trajectory_id", "split")
-    full, deleted = full_and_deleted(spark, sf)
+    full, deleted = full_and_deleted(spark, sf, rows=rows)
     nothing = rows.select("snapshot_id").distinct().withColumn("storage_ids", F.expr("cast(array() as array<bigint>)"))
-    empty = bk.respond(spark, sf, nothing, (0, 1)).select("snapshot_id", "query_id", "seed", F.col("exact_match").alias("e"))
+    empty = bk.respond(spark, sf, nothing, (0, 1), rows).select("snapshot_id", "query_id", "seed", F.col("exact_match").alias("e"))
     gaps = full.join(empty, ["snapshot_id", "query_id", "seed"]).join(snaps, "snapshot_id").select(
         "trajectory_id", "split", "seed", (F.col("exact_match") - F.col("e")).alias("value")
     )
@@ -247,8 +248,8 @@ HINDSIGHT_SCORED = """hscored AS (SELECT i.snapshot_id, i.memory_id, i.cost, 'hi
 
 
 def hindsight(spark, sf, rows=None):
-    rows = bk.items(spark, sf) if rows is None else rows
-    labels = lab.loo_labels(utilities(spark, sf, (0,)))
+    rows = bk.staged_items(spark, sf) if rows is None else rows
+    labels = lab.loo_labels(utilities(spark, sf, (0,), rows))
     scored = rows.join(labels, ["snapshot_id", "memory_id"])
     return sel.plan_table(scored, [sel.Candidate("hindsight_loo", F.col("loo_value"), positive_only=True)], bk.RATIOS)
 
@@ -274,15 +275,15 @@ pt AS (SELECT candidate, budget_ratio, trajectory_id, scenario, avg(em) AS em, a
 SUMMARY_CTES = (*bk.PLANS, bk.QUERIES, bk.RANKINGS, bk.responses_sql("plans"), POSITIVES, METRICS)
 
 
-def responses(spark, sf):
+def responses(spark, sf, rows):
     """Answers of every distinct kept set, each with the plans that chose it."""
-    return bk.respond(spark, sf, sel.shared_conditions(bk.plans(spark, sf)))
+    return bk.respond(spark, sf, sel.shared_conditions(bk.plans(spark, sf, rows)), rows=rows)
 
 
-def measured_plans(spark, sf):
-    rows = bk.items(spark, sf)
+def measured_plans(spark, sf, rows=None):
+    rows = bk.staged_items(spark, sf) if rows is None else rows
     positives = rows.where(F.col("flag") == "R").groupBy("snapshot_id").agg(F.collect_list("memory_id").alias("positive_ids"))
-    return met.plan_metrics(responses(spark, sf), bk.snapshots(spark, sf, rows), positives)
+    return met.plan_metrics(responses(spark, sf, rows), bk.snapshots(spark, sf, rows), positives)
 
 
 def trajectories(spark, sf):
@@ -380,10 +381,10 @@ FAIL_CTES = (*bk.PLANS, bk.QUERIES, bk.RANKINGS, bk.responses_sql("plans"), FAIL
 
 
 def failures(spark, sf):
-    rows = bk.items(spark, sf)
+    rows = bk.staged_items(spark, sf)
     costs = rows.groupBy("snapshot_id").agg(F.map_from_entries(F.collect_list(F.struct("memory_id", "cost"))).alias("costs"))
     joined = (
-        responses(spark, sf)
+        responses(spark, sf, rows)
         .join(costs, "snapshot_id")
         .join(bk.snapshots(spark, sf, rows).select("snapshot_id", "trajectory_id", "scenario"), "snapshot_id")
     )
@@ -497,11 +498,11 @@ SCORES = """scores AS (SELECT s.*, r.em, r.f1 FROM sets s JOIN (SELECT snapshot_
 SUBSET_CTES = (bk.ITEMS, bk.SNAPSHOTS, bk.RATIO_SQL, bk.QUERIES, bk.RANKINGS, SETS, SETCONDS, bk.responses_sql("setconds"), SCORES)
 
 
-def subset_scores(spark, sf):
+def subset_scores(spark, sf, rows=None):
     """Observed window score of every kept set. The answers carry set cost and value along, so no join is needed."""
-    rows = bk.items(spark, sf)
+    rows = bk.staged_items(spark, sf) if rows is None else rows
     sub.check_enumeration(rows)
-    answers = bk.respond(spark, sf, sub.enumerate_subsets(rows, F.col("net")))
+    answers = bk.respond(spark, sf, sub.enumerate_subsets(rows, F.col("net")), rows=rows)
     return answers.groupBy("snapshot_id", "mask").agg(
         F.first("storage_ids").alias("storage_ids"),
         F.first("store_tokens").alias("store_tokens"),
@@ -546,7 +547,7 @@ def g18(spark, sf):
       FROM bn b JOIN heur h ON h.snapshot_id = b.snapshot_id AND h.budget_ratio = b.budget_ratio GROUP BY 1,2"""),
 )
 def h26(spark, sf):
-    rows = bk.items(spark, sf)
+    rows = bk.staged_items(spark, sf)
     greedy = sel.plan_table(rows, [sel.Candidate("net", F.col("net"))], bk.RATIOS)
     sums = greedy.select("snapshot_id", "budget_ratio", F.explode_outer("storage_ids").alias("memory_id")).join(
         rows.select("snapshot_id", "memory_id", "net"), ["snapshot_id", "memory_id"], "left"
@@ -554,7 +555,7 @@ def h26(spark, sf):
     heuristic = sums.groupBy("snapshot_id", "budget_ratio").agg(
         F.coalesce(F.sum("net"), F.lit(0)).cast("double").alias("heuristic_sum")
     )
-    table = sub.tie_table(subset_scores(spark, sf), "value_sum", "exact_match", bk.RATIOS, heuristic)
+    table = sub.tie_table(subset_scores(spark, sf, rows), "value_sum", "exact_match", bk.RATIOS, heuristic)
     table = rounded(table, ["optimal_sum", "heuristic_sum", "sum_gap"], 2)
     return rounded(table, ["tie_outcome_min", "tie_outcome_max", "selected_outcome", "best_outcome"], 9).withColumn(
         "selected_ids", bk.ids_text("selected_ids")
@@ -574,9 +575,10 @@ roles AS (SELECT *, CASE WHEN list_contains(supports, [memory_i]) AND list_conta
 
 
 def interaction_rows(spark, sf):
-    asks = bk.queries(bk.items(spark, sf))
+    rows = bk.staged_items(spark, sf)
+    asks = bk.queries(rows)
     supports = asks.groupBy("snapshot_id").agg(F.max_by("supports", "query_id").alias("support_sets"))
-    return sub.interactions(subset_scores(spark, sf), "exact_match", supports)
+    return sub.interactions(subset_scores(spark, sf, rows), "exact_match", supports)
 
 
 @query(
@@ -605,9 +607,10 @@ def h28(spark, sf):
       "SELECT cohort, candidate, budget_ratio, count(*) AS trajectory_count, round(avg(em), 6) AS exact_match, round(avg(st), 6) AS store_tokens FROM cpt GROUP BY 1,2,3"),
 )
 def h29(spark, sf):
-    snaps = bk.snapshots(spark, sf)
+    rows = bk.staged_items(spark, sf)
+    snaps = bk.snapshots(spark, sf, rows)
     cohort = F.when(F.col("split") == "test", "independent").otherwise("development")
-    tagged = measured_plans(spark, sf).join(snaps.select("snapshot_id", cohort.alias("cohort")), "snapshot_id")
+    tagged = measured_plans(spark, sf, rows).join(snaps.select("snapshot_id", cohort.alias("cohort")), "snapshot_id")
     inside = tagged.groupBy("cohort", "candidate", "budget_ratio", "trajectory_id", "scenario").agg(
         F.avg("exact_match").alias("em"), F.avg("store_tokens").alias("st")
     )
@@ -627,7 +630,7 @@ def h29(spark, sf):
       UNION ALL SELECT snapshot_id, query_id, 'context_deletion', d, array_to_string(list_filter(context_ids, lambda x: x <> d), ',') FROM (SELECT *, unnest(support) AS d FROM base)"""),
 )
 def g19(spark, sf):
-    rows = bk.items(spark, sf)
+    rows = bk.staged_items(spark, sf)
     everything = rows.groupBy("snapshot_id").agg(F.array_sort(F.collect_list("memory_id")).alias("storage_ids"))
-    full = bk.respond(spark, sf, everything).join(bk.snapshots(spark, sf, rows).select("snapshot_id", "scenario"), "snapshot_id")
+    full = bk.respond(spark, sf, everything, rows=rows).join(bk.snapshots(spark, sf, rows).select("snapshot_id", "scenario"), "snapshot_id")
     return context_controls(full, "2-HIGH").withColumn("ids", bk.ids_text("ids"))
