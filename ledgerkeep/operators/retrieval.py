@@ -83,7 +83,10 @@ def history_reads(
 
 
 def _history_blocks(memories: DataFrame, history: DataFrame, top_k: int, block_rows: int) -> DataFrame:
-    """Partial results of memory block × query block; rows without a query carry a memory's maximum."""
+    """Partial results of memory block × query block; result rows without a query carry a memory's maximum.
+
+    Input rows fill the id they do not have: a NULL would turn large integer ids into floats inside pandas.
+    """
     key = ["snapshot_id"]
     m = _blocked(memories.select("snapshot_id", "memory_id", "event_order", "vector"), key, block_rows)
     q = _blocked(
@@ -93,12 +96,13 @@ def _history_blocks(memories: DataFrame, history: DataFrame, top_k: int, block_r
     qb = q.groupBy("snapshot_id").agg(F.first("_blocks").alias("_qb"))
     ids = dict(memories.dtypes), dict(history.dtypes)
     m2 = m.join(broadcast_if_small(qb), key).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1))).select(
-        "snapshot_id", "memory_id", F.lit(None).cast(ids[1]["query_id"]).alias("query_id"), "event_order", "vector", F.col("_b").alias("_i"), "_j"
+        "snapshot_id", "memory_id", F.lit(0).cast(ids[1]["query_id"]).alias("query_id"), F.lit(False).alias("asks"), "event_order", "vector", F.col("_b").alias("_i"), "_j"
     )
     q2 = q.join(broadcast_if_small(mb), key).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_mb") - 1))).select(
         "snapshot_id",
-        F.lit(None).cast(ids[0]["memory_id"]).alias("memory_id"),
+        F.lit(0).cast(ids[0]["memory_id"]).alias("memory_id"),
         F.col("memory_id").alias("query_id"),
+        F.lit(True).alias("asks"),
         "event_order",
         "vector",
         "_i",
@@ -106,8 +110,7 @@ def _history_blocks(memories: DataFrame, history: DataFrame, top_k: int, block_r
     )
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["query_id"].notna()
-        qs, ms = pdf[asks], pdf[~asks].sort_values("memory_id")
+        qs, ms = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("memory_id")
         out = {"snapshot_id": [], "query_id": [], "memory_id": [], "score": []}
         if not len(qs) or not len(ms):
             return pd.DataFrame(out)
@@ -119,7 +122,8 @@ def _history_blocks(memories: DataFrame, history: DataFrame, top_k: int, block_r
         rows = np.repeat(np.arange(len(names)), order.shape[1])
         hit = pd.DataFrame({"snapshot_id": sid, "query_id": names[rows], "memory_id": mids[order.ravel()], "score": scores[rows, order.ravel()]})
         peak = pd.DataFrame({"snapshot_id": sid, "query_id": None, "memory_id": mids, "score": scores.max(axis=0)})
-        both = pd.concat([hit, peak])
+        # as objects, so that the missing query of a peak does not turn integer ids into floats
+        both = pd.concat([hit.astype({"query_id": object}), peak.astype({"query_id": object})])
         return both[np.isfinite(both["score"])]
 
     schema = f"snapshot_id {ids[0]['snapshot_id']}, query_id {ids[1]['query_id']}, memory_id {ids[0]['memory_id']}, score double"

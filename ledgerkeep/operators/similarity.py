@@ -78,12 +78,13 @@ def _scan_blocks(records: DataFrame, queries: DataFrame, keep: int | None, block
     rb = r.groupBy("scope").agg(F.first("_blocks").alias("_other"))
     qb = q.groupBy("scope").agg(F.first("_blocks").alias("_other"))
     every = F.explode(F.sequence(F.lit(0), F.col("_other") - 1))
+    # the unused id is filled, not NULL: a NULL would turn large integer ids into floats inside pandas
     types = dict(records.dtypes)["memory_id"], dict(queries.dtypes)["query_id"]
     left = r.join(F.broadcast(qb), "scope").select(
-        "memory_id", F.lit(None).cast(types[1]).alias("query_id"), F.lit(False).alias("asks"), "vector", F.col("_b").alias("_i"), every.alias("_j")
+        "memory_id", F.lit(0).cast(types[1]).alias("query_id"), F.lit(False).alias("asks"), "vector", F.col("_b").alias("_i"), every.alias("_j")
     )
     right = q.join(F.broadcast(rb), "scope").select(
-        F.lit(None).cast(types[0]).alias("memory_id"), F.col("memory_id").alias("query_id"), F.lit(True).alias("asks"), "vector", every.alias("_i"), F.col("_b").alias("_j")
+        F.lit(0).cast(types[0]).alias("memory_id"), F.col("memory_id").alias("query_id"), F.lit(True).alias("asks"), "vector", every.alias("_i"), F.col("_b").alias("_j")
     )
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,9 +92,7 @@ def _scan_blocks(records: DataFrame, queries: DataFrame, keep: int | None, block
         if not len(asks) or not len(known):
             return pd.DataFrame({"query_id": [], "memory_id": [], "score": []})
         scores = np.round(_unit(known["vector"]) @ _unit(asks["vector"]).T, SCORE_DIGITS)
-        as_type = {"memory_id": known["memory_id"], "query_id": asks["query_id"]}
-        ids = {k: v.astype("int64") if v.dtype.kind == "f" else v for k, v in as_type.items()}
-        return _partial(scores, ids["memory_id"].to_numpy(), ids["query_id"].to_numpy(), keep)
+        return _partial(scores, known["memory_id"].to_numpy(), asks["query_id"].to_numpy(), keep)
 
     return left.unionByName(right).groupBy("_i", "_j").applyInPandas(meet, _scan_schema(records, queries))
 

@@ -19,7 +19,7 @@ from ledgerkeep.plans.sqltext import with_sql
 from ledgerkeep.session import cut
 from ledgerkeep.sources.tables import spread, table
 
-NEAR = 0.3  # the driver vectors are far apart; the reference thresholds of 0.8 to 0.98 would find nothing
+NEAR = 0.3  # the driver vectors are far apart; thresholds of 0.8 to 0.98 would find nothing
 
 
 # --- vectors: each label's centroid asks for its members ---------------------------------------------------

@@ -89,8 +89,9 @@ def test_semantic_order_example(spark):
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_history_blocks_equal_the_join(spark, limit):
     rng = np.random.default_rng(4)
-    m = [("s", i, int(rng.integers(100)), rng.normal(size=4).tolist(), 3) for i in range(60)]
-    q = [("s", i, int(rng.integers(100)), rng.normal(size=4).tolist()) for i in range(40)]
+    big = 2**60  # ids beyond the exact range of doubles
+    m = [("s", big + i, int(rng.integers(100)), rng.normal(size=4).tolist(), 3) for i in range(60)]
+    q = [("s", big + i, int(rng.integers(100)), rng.normal(size=4).tolist()) for i in range(40)]
     memories = spark.createDataFrame(m, "snapshot_id string, memory_id long, event_order long, vector array<double>, cost long")
     history = spark.createDataFrame(q, "snapshot_id string, query_id long, event_order long, vector array<double>")
     hits, best = ret.history_reads(memories, history, 3, pair_limit=limit, block_rows=16)
