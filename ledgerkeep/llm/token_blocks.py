@@ -38,7 +38,7 @@ BLOCK = 128
 SEGMENT_IDS = 1 << 16
 PERCENTILE = 0.9
 #: Words a task remembers with their ids, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 SEGMENTS = "part int, seq int, first long, n_ids int, doc_ids array<long>, doc_lens array<int>, payload binary"
 DOCUMENTS = "part int, first long, doc_id long, n_tokens long, ids_crc32 long"
