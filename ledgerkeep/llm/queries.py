@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerkeep.llm import simhash, token_blocks
+from ledgerkeep.llm import decontaminate, mixing, quality, simhash, token_blocks
 from ledgerkeep.session import staging_path
 from ledgerkeep.sources.tables import table
 
@@ -46,3 +46,32 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents", "doc_id", "text"), size=3, radius=3)
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labels", "doc_id", "quality"))
+
+
+#: Shares of words by language that the mix aims at.
+TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled table of the mixing classifier: documents that ``labels`` covers, their language as the domain."""
+    covered = labels.where("doc_id is not null").select("doc_id").distinct()
+    return docs.join(covered, "doc_id", "left_semi").select("doc_id", "text", F.col("lang").alias("domain"))
+
+
+@query("op7_domain_mixing")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "text", "lang")
+    labelled = labelled_domains(docs, table(spark, sf, "labels", "doc_id"))
+    mixed = mixing.mix(docs, labelled, TARGETS, keep=["doc_id"])
+    return mixed.select("doc_id", "tokens", *(F.round(f"p_{d}", 6).alias(f"p_{d}") for d in sorted(TARGETS)), F.round("rate", 6).alias("rate"), "copies")
+
+
+@query("op8_benchmark_decontamination")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"))
