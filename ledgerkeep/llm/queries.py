@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerkeep.llm import decontaminate, mixing, quality, simhash, token_blocks
+from ledgerkeep.llm import chat, decontaminate, language, licenses, line_dedup, mixing, multi_index, quality, simhash, token_blocks
 from ledgerkeep.session import staging_path
 from ledgerkeep.sources.tables import table
 
@@ -75,3 +75,52 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark", "item_id", "text"))
     return found.select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"))
+
+
+#: Units as in operators: sentences of lines, A-Z lower-cased, white space collapsed, least words six.
+OP2_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+')) AS piece,
+           generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+'), 1) AS nth
+    FROM documents),
+placed AS (
+    SELECT doc_id, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY nth) - length(piece) AS unit_begin, length(piece) AS size,
+           trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain
+    FROM cut),
+ranked AS (
+    SELECT doc_id, unit_begin, unit_begin + size AS unit_end, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit_begin) OVER w AS kept_begin,
+           row_number() OVER w AS nth
+    FROM placed WHERE length(plain) - length(replace(plain, ' ', '')) + CAST(plain <> '' AS INT) >= 6
+    WINDOW w AS (PARTITION BY plain ORDER BY doc_id, unit_begin))
+SELECT doc_id, CAST(unit_begin AS INT) AS unit_begin, CAST(unit_end AS INT) AS unit_end, kept_doc_id, CAST(kept_begin AS INT) AS kept_begin
+FROM ranked WHERE nth > 1
+"""
+
+
+@query("op2_line_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.repeats(table(spark, sf, "documents", "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    return found.select("doc_id", F.col("begin").alias("unit_begin"), F.col("end").alias("unit_end"), "kept_doc_id", "kept_begin")
+
+
+@query("op3_prefix_targets")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.expand(table(spark, sf, "conversations", "conv_id", "turn", "role", "text").union(own)))
+
+
+@query("op4_multi_index")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings", "vec_id", "embedding")
+    return multi_index.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query("op9_language_ppm")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return language.languages(table(spark, sf, "documents", "doc_id", "text", "lang"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents", "doc_id", "text")).drop("blocks")
