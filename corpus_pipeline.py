@@ -28,7 +28,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def domain_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated at rates of at least one, so that languages meet their shares and none is lost."""
     labelled = labelled_domains(docs, table(spark, sf_dir, "labels", "doc_id"))
-    return mixing.repeat(mixing.mix(docs, labelled, TARGETS, least=1.0), docs.columns)
+    mixed = mixing.mix(docs, labelled, TARGETS, least=1.0, prefix="__mix_")
+    return mixing.repeat(mixed, docs.columns, "__mix_copies")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

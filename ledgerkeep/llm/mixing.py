@@ -86,7 +86,14 @@ def _rate(steps: list[np.ndarray], least: float) -> Column:
 
 
 def mix(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], least: float = 0.0, total: float | None = None, keep: list[str] | None = None, rounds: int = ROUNDS
+    docs: DataFrame,
+    labelled: DataFrame,
+    weights: dict[str, float],
+    least: float = 0.0,
+    total: float | None = None,
+    keep: list[str] | None = None,
+    rounds: int = ROUNDS,
+    prefix: str = "",
 ) -> DataFrame:
     """Rates and copies of every row of ``docs`` such that expected domain totals meet ``weights``.
 
@@ -94,13 +101,14 @@ def mix(
     are at least ``least``. ``total`` is the words to reach; by default the present total, or the smallest at which
     rates of ``least`` leave no domain above its target. ``keep`` names the columns carried along (default: all).
     Adds ``tokens``, ``p_<domain>``, ``rate`` and ``copies`` (rate rounded up or down by a draw from the row's hash, so
-    that it holds on average). If the targets cannot be met, the rates are the least-squares ones.
+    that it holds on average), each name after ``prefix``; a carried column of such a name gives way to it. If the targets cannot be met, the rates are the least-squares ones.
 
     A null or empty text has the prior as posterior and adds no words. Repeated rows get equal rates. Empty tables give
     an empty result.
     """
     domains = sorted(weights)
-    keep = list(docs.columns) if keep is None else keep
+    made = {prefix + n for n in ("tokens", "rate", "copies", *(f"p_{d}" for d in domains))}
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     share = np.array([weights[d] for d in domains], dtype=float)
     if not domains or (share < 0).any() or share.sum() <= 0:
         raise ValueError("weights must be nonnegative and not all zero")
@@ -131,10 +139,11 @@ def mix(
             if np.abs(reached - before).max() <= TOLERANCE * 0.01 * max(total, 1.0):
                 break  # the projection holds: no rate moves any more
     rate = _rate(steps, least)
-    named = scored.select(*keep, "__draw", t.alias("tokens"), *(p[k].alias(f"p_{d}") for k, d in enumerate(domains)), rate.alias("rate"))
-    return named.withColumn("copies", F.floor(F.col("rate") + F.col("__draw")).cast("long")).drop("__draw")
+    named = scored.select(*keep, "__draw", t.alias(f"{prefix}tokens"), *(p[k].alias(f"{prefix}p_{d}") for k, d in enumerate(domains)), rate.alias(f"{prefix}rate"))
+    return named.withColumn(f"{prefix}copies", F.floor(F.col(f"{prefix}rate") + F.col("__draw")).cast("long")).drop("__draw")
 
 
-def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def repeat(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
     """Each row as often as its ``copies`` say, with ``columns`` only."""
-    return mixed.where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    n = F.col(copies).cast("int")
+    return mixed.where(n > 0).select(*columns, F.explode(F.sequence(F.lit(1), n)).alias("__n")).select(*columns)

@@ -181,16 +181,16 @@ def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.where(~held_out(F.col("doc_id"))).join(told, "doc_id", "left").select("__x", "known")
 
 
-def scored(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns ``keep`` of feature rows, and ``score``."""
+def scored(rows: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
+    """The columns ``keep`` of feature rows, and their score as column ``name``."""
     fields = [f for f in rows.schema.fields if f.name in keep]
     names = [f.name for f in fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{name}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(_matrix(batch)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], [*names, name])
 
     return rows.select(*names, "__x").mapInArrow(run, schema)
 
@@ -213,4 +213,4 @@ def good(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Data
     """
     rows = stage(extract(docs.select("doc_id", "text"), "doc_id"), "features")
     model = train(stage(with_labels(rows, labels), "training"), prior)
-    return scored(extract(docs, *docs.columns), model, *docs.columns, "score").where("score >= 0.5").select(*docs.columns)
+    return scored(extract(docs, *docs.columns), model, *docs.columns, name="__score").where("__score >= 0.5").select(*docs.columns)
