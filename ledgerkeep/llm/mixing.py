@@ -6,8 +6,9 @@ minimise the squared distance between the expected totals and the targets by pro
 totals' distance weighted by the inverse of sum(t * p * p'), which makes the unit step safe and the steps few.
 
 A step needs only the K residuals: ``rate = greatest(least, rate - p . g)``. So each round is one aggregate over the
-written posteriors, with all steps so far as one generated expression; K numbers a round reach the driver, no table is
-rewritten, and a lost executor costs a re-read. Only DataFrame functions are used.
+written posteriors and rates, with the latest steps as one generated expression; K numbers a round reach the driver.
+The rates are written anew after every ``DEPTH`` steps, so expressions stay small and a lost executor costs a re-read.
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -28,8 +29,13 @@ BUCKETS = 4096
 LABELLED = 20_000
 #: Words' evidence beyond this many is scaled down: neighbouring words are not independent, and memberships stay soft.
 EVIDENCE = 32
-TOLERANCE = 1e-6
-ROUNDS = 60
+#: Of all words: how near the totals must come to the targets.
+TOLERANCE = 1e-5
+ROUNDS = 40
+#: Steps in one generated expression before the rates are written.
+DEPTH = 6
+#: Added to the smallest total under a least rate, because documents that share in two domains leave less room.
+HEADROOM = 0.05
 
 
 def _buckets(text: Column) -> Column:
@@ -78,7 +84,7 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], ke
 
 
 def _rate(steps: list[np.ndarray], least: float) -> Column:
-    rate: Column = F.lit(max(1.0, least))
+    rate = F.col("__rate")
     for g in steps:
         move = reduce(lambda a, b: a + b, (F.col(f"__p{k}") * float(x) for k, x in enumerate(g)))
         rate = F.greatest(F.lit(float(least)), rate - move)
@@ -98,8 +104,8 @@ def mix(
     """Rates and copies of every row of ``docs`` such that expected domain totals meet ``weights``.
 
     ``docs`` has doc_id and text; ``labelled`` has doc_id, text and domain; ``weights`` maps domains to shares. Rates
-    are at least ``least``. ``total`` is the words to reach; by default the present total, or the smallest at which
-    rates of ``least`` leave no domain above its target. ``keep`` names the columns carried along (default: all).
+    are at least ``least``. ``total`` is the words to reach; by default the present total, or with ``least`` a little
+    (HEADROOM) over the smallest at which rates of ``least`` leave no domain above its target. ``keep`` names the columns carried along (default: all).
     Adds ``tokens``, ``p_<domain>``, ``rate`` and ``copies`` (rate rounded up or down by a draw from the row's hash, so
     that it holds on average), each name after ``prefix``; a carried column of such a name gives way to it. If the targets cannot be met, the rates are the least-squares ones.
 
@@ -123,21 +129,28 @@ def mix(
     for (k, j), x in zip(((k, j) for k in range(size) for j in range(k, size)), first[size:]):
         gram[k, j] = gram[j, k] = x or 0.0
     if total is None:
-        total = float(max((least * m / s for m, s in zip(mass, share) if s > 0), default=0.0)) if least > 0 else float(mass.sum())
-    target = share * total
+        lowest = max((least * m / s for m, s in zip(mass, share) if s > 0), default=0.0)
+        total = float(lowest * (1 + HEADROOM)) if least > 0 else float(mass.sum())
+    target, start = share * total, F.lit(max(1.0, least)).alias("__rate")
     steps: list[np.ndarray] = []
     if mass.sum() > 0:
         inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
         reached = mass * max(1.0, least)
+        narrow, waiting = scored.select("__tokens", *(f"__p{k}" for k in range(size)), start), []
         for _ in range(rounds):
             if np.abs(reached - target).max() <= TOLERANCE * max(total, 1.0):
                 break
             steps.append(inverse @ (reached - target))
-            rate = _rate(steps, least)
-            now = scored.agg(*(F.sum(rate * t * p[k]) for k in range(size))).first()
-            before, reached = reached, np.array(now, dtype=float)
-            if np.abs(reached - before).max() <= TOLERANCE * 0.01 * max(total, 1.0):
-                break  # the projection holds: no rate moves any more
+            waiting.append(steps[-1])
+            moved = narrow.withColumn("__rate", _rate(waiting, least))
+            if len(waiting) == DEPTH:
+                narrow = moved = stage(moved, "rates")
+                waiting = []
+            sums = moved.agg(*(F.sum(F.col("__rate") * t * p[k]) for k in range(size))).first()
+            before, reached = reached, np.array(sums, dtype=float)
+            if np.abs(reached - before).max() <= TOLERANCE * 0.1 * max(total, 1.0):
+                break  # no rate moves any more: the least-squares point
+    scored = scored.select("*", start)
     rate = _rate(steps, least)
     named = scored.select(*keep, "__draw", t.alias(f"{prefix}tokens"), *(p[k].alias(f"{prefix}p_{d}") for k, d in enumerate(domains)), rate.alias(f"{prefix}rate"))
     return named.withColumn(f"{prefix}copies", F.floor(F.col(f"{prefix}rate") + F.col("__draw")).cast("long")).drop("__draw")
