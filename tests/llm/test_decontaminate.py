@@ -24,6 +24,8 @@ def brute(docs, items, threshold=0.8):
             v = words(item)
             c, n = Counter(shingles(v)), len(v)
             best = 0.0
+            if not c.keys() & set(s):
+                continue
             for at in range(max(1, len(w) - n + 1)):
                 part = Counter(s[at : at + max(0, min(n, len(w)) - 4)])
                 both = sum((part & c).values())

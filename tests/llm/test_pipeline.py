@@ -1,4 +1,4 @@
-"""The pipeline's stages on the driver's smallest tables, each against brute force on what it was given."""
+"""The pipeline's stages on small driver tables, each against brute force on what it was given."""
 
 from pathlib import Path
 
@@ -12,7 +12,7 @@ from .test_decontaminate import brute as leaks
 from .test_simhash import brute_components, brute_fingerprint
 from .test_token_blocks import brute as token_rows
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="the driver tables are not here")
 
 
