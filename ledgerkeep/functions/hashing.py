@@ -33,31 +33,46 @@ def content_id(canonical: Column) -> Column:
     return F.concat(F.lit(ID_PREFIX), F.substring(F.sha2(canonical, 256), 1, ID_HEX))
 
 
-def bag_of_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Sparse hashed vectors: one row (key, bucket, weight) per used bucket, scaled to unit length.
+def bucket_weights(text: Column) -> Column:
+    """Used buckets of a text in order with their weights, scaled to unit length: array of (bucket, weight).
 
-    Tokens are counted by (key, bucket) with partial aggregation, so one long text or one common token
-    never gathers in a single task.
+    A text is one row anyway, so its tokens are counted inside the row, from the sorted buckets in one pass.
     """
-    counts = (
-        df.select(F.col(key), F.explode(tokens(F.col(text))).alias("token"))
-        .groupBy(key, token_bucket(F.col("token")).alias("bucket"))
-        .agg(F.count("*").alias("hits"))
-    )
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("hits") * F.col("hits"))).alias("norm"))
-    return counts.join(norms, key).select(
-        key, "bucket", (F.col("hits") / F.greatest("norm", F.lit(MIN_NORM))).alias("weight")
+    start = F.struct(F.array().cast("array<struct<bucket:int,hits:bigint>>").alias("done"), F.lit(-1).alias("bucket"), F.lit(0).cast("long").alias("hits"))
+
+    def closed(run: Column) -> Column:
+        return F.when(run.hits > 0, F.concat(run.done, F.array(F.struct(run.bucket.alias("bucket"), run.hits.alias("hits"))))).otherwise(run.done)
+
+    def step(run: Column, bucket: Column) -> Column:
+        same = bucket == run.bucket
+        return F.struct(
+            F.when(same, run.done).otherwise(closed(run)).alias("done"),
+            bucket.alias("bucket"),
+            F.when(same, run.hits + 1).otherwise(F.lit(1).cast("long")).alias("hits"),
+        )
+
+    counts = F.aggregate(F.array_sort(F.transform(tokens(text), token_bucket)), start, step, closed)
+    # lambdas bind the counts and their norm, so that each is computed once
+    with_norm = F.transform(
+        F.array(counts),
+        lambda c: F.struct(c.alias("c"), F.greatest(F.sqrt(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x.hits * x.hits)), F.lit(MIN_NORM)).alias("norm")),
     )
+    scaled = F.transform(with_norm, lambda w: F.transform(w.c, lambda e: F.struct(e.bucket.alias("bucket"), (e.hits / w.norm).alias("weight"))))
+    return F.element_at(scaled, 1)
+
+
+def bag_of_words(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Sparse hashed vectors: one row (key, bucket, weight) per used bucket. No shuffle: ``key`` is unique."""
+    # outer, because Spark would put a filter below an inner explode and count every text twice
+    rows = df.select(key, F.explode_outer(bucket_weights(F.col(text))).alias("e"))
+    return rows.where(F.col("e").isNotNull()).select(key, F.col("e.bucket").alias("bucket"), F.col("e.weight").alias("weight"))
 
 
 def dense_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     """Dense unit vectors (key, vector); texts without tokens get the zero vector.
 
-    The used buckets are sorted and the gaps between them filled with zeros, one pass per vector.
+    The gaps between the used buckets are filled with zeros, one pass per vector.
     """
-    sparse = bag_of_words(df, key, text).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("entries")
-    )
 
     def zeros(n: Column) -> Column:
         return F.array_repeat(F.lit(0.0), n)
@@ -68,6 +83,6 @@ def dense_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
 
     tail = zeros(F.lit(DIMENSION - 1) - F.element_at("entries", -1)["bucket"])
     vector = F.concat(F.flatten(F.transform("entries", filled)), tail)
-    return df.select(key).join(sparse, key, "left").select(
-        key, F.when(F.col("entries").isNull(), zeros(F.lit(DIMENSION))).otherwise(vector).alias("vector")
+    return df.select(key, bucket_weights(F.col(text)).alias("entries")).select(
+        key, F.when(F.coalesce(F.size("entries"), F.lit(0)) > 0, vector).otherwise(zeros(F.lit(DIMENSION))).alias("vector")
     )

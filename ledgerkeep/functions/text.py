@@ -152,9 +152,13 @@ def has_offset(timestamp_text: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """A flat JSON object with its keys in order."""
-    pairs = F.map_entries(F.from_json(text, "map<string,string>"))
-    return F.to_json(F.map_from_entries(F.array_sort(pairs)))
+    """A JSON object with its keys in order at every level; values keep their types.
+
+    A variant stores the fields of an object by name, so writing it out again sorts them. What is not a JSON object,
+    NaN and infinities included, gives NULL.
+    """
+    parsed = F.try_parse_json(text)
+    return F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.to_json(parsed))
 
 
 def evidence_lines(context: Column) -> Column:

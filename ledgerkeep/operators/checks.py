@@ -10,17 +10,18 @@ from pyspark.sql import types as T
 
 from ledgerkeep.functions.text import has_offset
 
-# Names that older files use for the same thing.
+# Current names, and names that older files use for the same thing.
+CONDITIONS = (
+    "no_memory", "relevant", "irrelevant", "conflicting", "consolidation_keep_temporal_cue", "consolidation_strip_temporal_cue",
+)
 CONDITION_ALIASES = {
-    "no_memory": "no_memory",
-    "empty": "no_memory",
-    "relevant": "relevant",
-    "irrelevant": "irrelevant",
-    "conflicting": "conflicting",
     "consolidated": "consolidation_strip_temporal_cue",
-    "consolidation_keep_temporal_cue": "consolidation_keep_temporal_cue",
-    "consolidation_strip_temporal_cue": "consolidation_strip_temporal_cue",
+    "merged_keep_current": "consolidation_keep_temporal_cue",
+    "merged_strip_current": "consolidation_strip_temporal_cue",
 }
+RETRIEVED_PREFIX = "retrieved:"
+MODALITIES = ("visual", "native_text", "ocr_text")
+MODALITY_ALIASES = {"pdf": "native_text", "ocr": "ocr_text"}
 
 
 def record_violations(records: DataFrame) -> DataFrame:
@@ -152,10 +153,23 @@ def first_present(columns: Sequence[Column], cast: str) -> Column:
     return F.coalesce(*[c.cast(cast) for c in columns])
 
 
-def apply_aliases(df: DataFrame, column: str, aliases: Mapping[str, str] = CONDITION_ALIASES) -> DataFrame:
-    """Map old names to current ones; unknown names give NULL."""
+def apply_aliases(
+    df: DataFrame,
+    column: str,
+    aliases: Mapping[str, str] = CONDITION_ALIASES,
+    names: Sequence[str] = CONDITIONS,
+    prefix: str | None = RETRIEVED_PREFIX,
+) -> DataFrame:
+    """Map old names to current ones; names are taken as written. Unknown ones give NULL, unless they start with ``prefix``."""
     pairs = [F.lit(x) for kv in aliases.items() for x in kv]
-    return df.withColumn(column + "_name", F.try_element_at(F.create_map(*pairs), F.lower(column)))
+    name = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.col(column))
+    known = name.isin(*names) | (F.startswith(name, F.lit(prefix)) if prefix else F.lit(False))
+    return df.withColumn(column + "_name", F.when(known, name))
+
+
+def modality_names(df: DataFrame, column: str) -> DataFrame:
+    """Current modality names; unknown ones give NULL."""
+    return apply_aliases(df, column, MODALITY_ALIASES, MODALITIES, None)
 
 
 def coverage(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:

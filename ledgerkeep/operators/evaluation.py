@@ -16,8 +16,8 @@ def ranked_lists(similarity: DataFrame) -> DataFrame:
     return similarity.groupBy("snapshot_id", "query_id").agg(F.array_sort(F.collect_list(entry)).alias("ranking"))
 
 
-def read_context(ranking: Column, top_k: int, read_budget: int, separator: int = 1) -> Column:
-    """struct(ids, tokens): the first ``top_k`` entries, each added if the joined text still fits (skip, not stop)."""
+def read_context(ranking: Column, top_k: int | None, read_budget: int, separator: int = 1) -> Column:
+    """struct(ids, tokens): the first ``top_k`` entries (None: all), each added if the joined text still fits (skip, not stop)."""
     start = F.struct(
         F.transform(F.filter(ranking, lambda e: F.lit(False)), lambda e: e.id).alias("ids"),
         F.lit(0).cast("long").alias("tokens"),
@@ -30,7 +30,7 @@ def read_context(ranking: Column, top_k: int, read_budget: int, separator: int =
             F.struct(F.concat(acc.ids, F.array(e.id)).alias("ids"), joined.cast("long").alias("tokens")),
         ).otherwise(acc)
 
-    return F.aggregate(F.slice(ranking, 1, top_k), start, step)
+    return F.aggregate(ranking if top_k is None else F.slice(ranking, 1, top_k), start, step)
 
 
 def retrieve_from_sets(

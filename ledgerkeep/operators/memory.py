@@ -220,7 +220,7 @@ def capture(turns: DataFrame, strategy: str, limit: int, include_assistant: bool
 
 
 def assemble_conditions(cases: DataFrame, distractors: DataFrame) -> DataFrame:
-    """Contents shown for each case under each condition, as one map per case.
+    """Contents shown for each case under each condition, as one map per case; without a distractor, ``irrelevant`` is left out.
 
     ``cases``: case_id, relation, current and old (structs with memory_id, content, event_order), swap (order of
     the conflicting pair). ``distractors``: relation, memory_id, content, event_order; the first by event_order is used.
@@ -244,7 +244,8 @@ def assemble_conditions(cases: DataFrame, distractors: DataFrame) -> DataFrame:
         F.lit("consolidation_keep_temporal_cue"), F.array(kept),
         F.lit("consolidation_strip_temporal_cue"), F.array(merged),
     )
-    return cases.join(broadcast_if_small(first), "relation").withColumn("conditions", conditions)
+    shown = F.map_filter(conditions, lambda name, _: (name != "irrelevant") | F.col("unrelated").isNotNull())
+    return cases.join(broadcast_if_small(first), "relation", "left").withColumn("conditions", shown)
 
 
 def explode_conditions(cases: DataFrame) -> DataFrame:

@@ -17,15 +17,15 @@ PAIR_LIMIT = 256
 
 
 def budgeted_context(hits: DataFrame, keys: list[str], read_budget: int, separator: int = 1) -> DataFrame:
-    """The top-k hits of each query that fit the read budget, in rank order (skip, do not stop).
+    """The hits of each query that fit the read budget, in rank order (skip, do not stop).
 
-    ``hits``: keys, memory_id, rank, cost; already limited to k rows per query.
+    ``hits``: keys, memory_id, rank, cost; limited by the caller to the k rows per query it wants, and all of them count.
     """
     from ledgerkeep.operators.evaluation import read_context
 
     entry = F.struct("rank", F.col("memory_id").alias("id"), F.col("cost").cast("long").alias("cost"))
     grouped = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("ranking"))
-    read = read_context(F.col("ranking"), 100, read_budget, separator)
+    read = read_context(F.col("ranking"), None, read_budget, separator)
     return grouped.select(*keys, read.alias("r")).select(*keys, F.col("r.ids").alias("context_ids"), F.col("r.tokens").alias("memory_tokens"))
 
 
@@ -176,13 +176,14 @@ def stratified_sample(rows: DataFrame, keys: list[str], stratum: Column, n: int,
     return rows.withColumn("stratum", stratum).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def target_ranks(scored: DataFrame, queries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def target_ranks(scored: DataFrame, queries: DataFrame, keys: Sequence[str] = (), groups: DataFrame | None = None) -> DataFrame:
     """Rank of the target record and of its fact per query, without sorting anything.
 
     The rank of a row is one plus the rows that beat it. Two aggregate passes find the best target rows and count
     what beats them, so a group of any size is spread over all tasks.
     scored: keys, query_id, memory_id, canonical_id, score. queries: query_id, target_memory_id,
-    target_canonical_id, superseded_memory_id. Keys come with every query; NULL ranks mark missing targets.
+    target_canonical_id, superseded_memory_id. NULL ranks mark missing targets. ``groups`` lists the keys that must
+    appear: one that kept nothing still has a row for every query, so its missing targets stay in the denominator.
     """
     keys = list(keys)
     place = F.struct((-F.col("score")).alias("neg"), F.col("memory_id").alias("memory_id"))
@@ -198,8 +199,12 @@ def target_ranks(scored: DataFrame, queries: DataFrame, keys: Sequence[str] = ()
         F.when(F.first("fact_place").isNotNull(), F.count_if(F.col("place") < F.col("fact_place")) + 1).alias("fact_rank"),
         F.first("first_fact").alias("first_fact"),
     )
-    # with keys, every query met every kept record, so all (keys, query) pairs are already there
+    # with keys, every query met every kept record, so all (keys, query) pairs of non-empty groups are already there
     whole = counted.join(facts, "query_id") if keys else queries.join(counted, "query_id", "left")
+    if keys and groups is not None:
+        empty = groups.select(*keys).distinct().join(scored.select(*keys).distinct(), keys, "left_anti")
+        every = queries.withColumn("_one", F.lit(1)).join(broadcast_if_small(empty.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        whole = whole.unionByName(every, allowMissingColumns=True)
     return whole.withColumn(
         "old_first", F.coalesce(F.col("first_fact") == F.col("superseded_memory_id"), F.lit(False))
     )

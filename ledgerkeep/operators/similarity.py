@@ -245,10 +245,18 @@ def greedy_representatives(
     Equal vectors share one fate and are collapsed first. The rest is worked through in priority windows that double:
     rows near a kept one drop out with one match each, and only the survivors of a window are compared with each
     other. A window whose survivors are too dense is halved, so a large cluster costs a match per row, not its
-    square.
+    square. Zero vectors are similar to nothing: under a positive threshold each stands for itself.
     """
     keys = list(keys)
     rows = df.select(*keys, "memory_id", "event_order", "vector")
+    if threshold > 0:
+        zero = F.forall("vector", lambda v: v == 0)
+        alone = rows.where(zero).select(*keys, "memory_id", F.col("memory_id").alias("representative_id"))
+        return _greedy_nonzero(rows.where(~zero), keys, threshold, batch_rows, block_rows, min_hot_rows).unionByName(alone)
+    return _greedy_nonzero(rows, keys, threshold, batch_rows, block_rows, min_hot_rows)
+
+
+def _greedy_nonzero(rows: DataFrame, keys: list[str], threshold: float, batch_rows: int, block_rows: int, min_hot_rows: int) -> DataFrame:
     newest = F.struct((-F.col("event_order")).alias("neg"), F.col("memory_id").alias("memory_id"))
     proxies = rows.groupBy(*keys, "vector").agg(F.min(newest).alias("p")).select(
         *keys, "vector", F.col("p.memory_id").alias("memory_id"), (-F.col("p.neg")).alias("event_order")

@@ -240,10 +240,10 @@ def d19(spark, sf):
     return o.select("o_orderkey", tx.has_offset(F.concat(stamp, tail)).alias("valid"))
 
 
-@query("d20_canonical_metadata", """SELECT event_id, '{"event":"'||event_type||'","k":"'||json_extract_string(props, '$.k')||'"}' AS metadata FROM events""")
+@query("d20_canonical_metadata", """SELECT event_id, '{"event":"'||event_type||'","k":'||json_extract_string(props, '$.k')||',"more":{"a":[1.5,null],"b":'||event_id||'}}' AS metadata FROM events""")
 def d20(spark, sf):
     e = table(spark, sf, "events", "event_id", "event_type", "props")
-    unsorted = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "event": "'), "event_type", F.lit('"}'))
+    unsorted = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "more": {"b": '), F.col("event_id").cast("string"), F.lit(', "a": [1.50, null]}, "event": "'), "event_type", F.lit('"}'))
     return e.select("event_id", tx.canonical_json(unsorted).alias("metadata"))
 
 

@@ -533,12 +533,16 @@ def b6(spark, sf):
 
 @query(
     "b7_alias_mapping",
-    "SELECT role, CASE role WHEN 'user' THEN 'relevant' WHEN 'assistant' THEN 'consolidation_strip_temporal_cue' END AS condition_name, count(*) AS n FROM conversations GROUP BY 1, 2",
+    """SELECT role, turn % 5 AS spelling, CASE turn % 5 WHEN 0 THEN 'consolidation_strip_temporal_cue' WHEN 1 THEN 'consolidation_keep_temporal_cue'
+      WHEN 2 THEN 'consolidation_strip_temporal_cue' WHEN 3 THEN 'retrieved:'||role||':k5' END AS condition_name, count(*) AS n FROM conversations GROUP BY ALL""",
 )
 def b7(spark, sf):
-    rows = table(spark, sf, "conversations", "role")
-    old = F.when(F.col("role") == "user", "Relevant").when(F.col("role") == "assistant", "consolidated").otherwise(F.col("role"))
-    return checks.apply_aliases(rows.withColumn("condition", old), "condition").groupBy("role", "condition_name").agg(F.count("*").alias("n"))
+    """Old spellings, a retrieved condition, and a name in the wrong case, which is unknown."""
+    rows = table(spark, sf, "conversations", "role", "turn").withColumn("spelling", F.col("turn") % 5)
+    retrieved = F.concat(F.lit("retrieved:"), F.col("role"), F.lit(":k5"))
+    old = F.element_at(F.array(F.lit("consolidated"), F.lit("merged_keep_current"), F.lit("merged_strip_current"), retrieved, F.lit("Relevant")), F.col("spelling").cast("int") + 1)
+    named = checks.apply_aliases(rows.withColumn("condition", old), "condition")
+    return named.groupBy("role", "spelling", "condition_name").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -192,7 +192,9 @@ def plan_ranks(spark, sf):
     rows, scores = scored(spark, sf)
     scores = cut(scores)  # scored once, read by every kept set
     kept = cut(kept_sets(spark, sf, rows.drop("vector").join(rows.select("memory_id", "vector"), "memory_id")))
-    return rows, kept, ret.target_ranks(scores.join(kept, "memory_id"), asked(rows), ["policy", "budget_ratio"])
+    grid = [(p, r) for p in ("recency", "importance", "semantic_dedup") for r in BUDGETS] + [("full", 1.0)]
+    groups = spark.createDataFrame(grid, "policy string, budget_ratio double")
+    return rows, kept, ret.target_ranks(scores.join(kept, "memory_id"), asked(rows), ["policy", "budget_ratio"], groups)
 
 
 RANKING_MEASURES = [

@@ -9,16 +9,22 @@ from pyspark.sql import types as T
 from ledgerkeep.schemas import EVENT, EVENT_VERSION, MEMORY_WRITTEN
 
 CORRUPT = "_corrupt_record"
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_number, line, terminated) of text files, numbered without reading a file in one task.
 
     A line's place is its split's start plus its order inside the split; a small table of lines per split turns
-    that into a line number. A file whose bytes end without a newline has an unterminated last line.
+    that into a line number. A file whose bytes end without a newline has an unterminated last line; this shows in the
+    file's size, so compressed files, whose size says nothing about their text, are refused.
     """
+    source = spark.read.option("lineSep", "\n").text(path)
+    packed = [f for f in source.inputFiles() if f.lower().endswith(COMPRESSED)]
+    if packed:
+        raise ValueError(f"cannot tell torn lines in a compressed log: {packed[0]}")
     lines = (
-        spark.read.option("lineSep", "\n").text(path).select(
+        source.select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_size").alias("file_size"),
             F.col("_metadata.file_block_start").alias("block"),
