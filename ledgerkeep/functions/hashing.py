@@ -68,21 +68,25 @@ def bag_of_words(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.col("e").isNotNull()).select(key, F.col("e.bucket").alias("bucket"), F.col("e.weight").alias("weight"))
 
 
-def dense_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Dense unit vectors (key, vector); texts without tokens get the zero vector.
-
-    The gaps between the used buckets are filled with zeros, one pass per vector.
-    """
+def dense_vector(text: Column) -> Column:
+    """Dense unit vector of a text; without tokens the zero vector. Gaps between used buckets are filled in one pass."""
 
     def zeros(n: Column) -> Column:
         return F.array_repeat(F.lit(0.0), n)
 
-    def filled(e: Column, i: Column) -> Column:
-        before = F.coalesce(F.get("entries", i - 1)["bucket"], F.lit(-1))
-        return F.concat(zeros(e.bucket - before - 1), F.array(e.weight))
+    def dense(entries: Column) -> Column:
+        def filled(e: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(entries, i - 1)["bucket"], F.lit(-1))
+            return F.concat(zeros(e.bucket - before - 1), F.array(e.weight))
 
-    tail = zeros(F.lit(DIMENSION - 1) - F.element_at("entries", -1)["bucket"])
-    vector = F.concat(F.flatten(F.transform("entries", filled)), tail)
-    return df.select(key, bucket_weights(F.col(text)).alias("entries")).select(
-        key, F.when(F.coalesce(F.size("entries"), F.lit(0)) > 0, vector).otherwise(zeros(F.lit(DIMENSION))).alias("vector")
-    )
+        tail = zeros(F.lit(DIMENSION - 1) - F.element_at(entries, -1)["bucket"])
+        vector = F.concat(F.flatten(F.transform(entries, filled)), tail)
+        return F.when(F.size(entries) > 0, vector).otherwise(zeros(F.lit(DIMENSION)))
+
+    # a lambda binds the entries, so that they are counted once
+    return F.element_at(F.transform(F.array(F.coalesce(bucket_weights(text), bucket_weights(F.lit("")))), dense), 1)
+
+
+def dense_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Dense unit vectors (key, vector)."""
+    return df.select(key, dense_vector(F.col(text)).alias("vector"))

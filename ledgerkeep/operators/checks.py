@@ -24,8 +24,8 @@ MODALITIES = ("visual", "native_text", "ocr_text")
 MODALITY_ALIASES = {"pdf": "native_text", "ocr": "ocr_text"}
 
 
-def record_violations(records: DataFrame) -> DataFrame:
-    """Records that break a field rule, with all reasons. ``metadata`` is JSON text."""
+def record_violations(records: DataFrame, key: str = "memory_id") -> DataFrame:
+    """Records that break a field rule, by ``key``, with all reasons. ``metadata`` is JSON text."""
 
     def blank(name: str) -> Column:
         return F.col(name).isNull() | (F.trim(name) == "")
@@ -39,7 +39,7 @@ def record_violations(records: DataFrame) -> DataFrame:
         F.when(F.col("supersedes") == F.col("memory_id"), "supersedes_itself"),
         F.when(_not_object(F.col("metadata")), "metadata"),
     ]
-    return records.select("memory_id", F.concat_ws(",", *reasons).alias("reasons")).where(F.col("reasons") != "")
+    return records.select(key, F.concat_ws(",", *reasons).alias("reasons")).where(F.col("reasons") != "")
 
 
 def _not_object(text: Column) -> Column:
@@ -148,9 +148,14 @@ def schema_leaks(df: DataFrame, allowed: Sequence[str]) -> list[str]:
     return [n for n in names(df.schema, "") if n not in set(allowed)]
 
 
-def first_present(columns: Sequence[Column], cast: str) -> Column:
-    """The first non-null of several legacy spellings, checked to be of one type."""
-    return F.coalesce(*[c.cast(cast) for c in columns])
+def first_present(df: DataFrame, columns: Sequence[Column], kind: str) -> Column:
+    """The first non-null of several legacy spellings of a field. ``kind`` is ``number`` or ``text``; columns of another
+    type, booleans and numeric texts included, are refused, not cast."""
+    for field in df.select(*[c.alias(str(i)) for i, c in enumerate(columns)]).schema.fields:
+        fits = isinstance(field.dataType, T.NumericType if kind == "number" else T.StringType)
+        if not fits and not isinstance(field.dataType, T.NullType):
+            raise ValueError(f"spelling {field.name} of a {kind} field is {field.dataType.simpleString()}")
+    return F.coalesce(*[c.cast("double") if kind == "number" else c for c in columns])
 
 
 def apply_aliases(
@@ -240,15 +245,25 @@ def response_violations(responses: DataFrame, top_k: int, read_budget: int) -> D
 
 
 def table_diff(
-    actual: DataFrame, expected: DataFrame, keys: Sequence[str], rtol: float = 1e-10, atol: float = 1e-12
+    actual: DataFrame,
+    expected: DataFrame,
+    keys: Sequence[str],
+    rtol: float = 1e-10,
+    atol: float = 1e-12,
+    rule: str = "larger",
+    ignored: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows that differ: exact for everything but doubles, which may differ by max(rtol * larger side, atol).
+    """Rows that differ: exact for everything but doubles. ``ignored`` columns are not compared.
 
-    NaN and infinity never match anything. Result: keys, column, and the absolute difference where it is a number.
+    Doubles may differ by max(rtol * larger side, atol) under the rule ``larger``, by atol + rtol * |expected| under
+    ``sum``. NaN and infinity never match anything. Result: keys, column, and the absolute difference where it is a
+    number.
     """
+    if rule not in ("larger", "sum"):
+        raise ValueError(f"unknown tolerance rule {rule}")
     keys = list(keys)
     types = dict(expected.dtypes)
-    values = [c for c in expected.columns if c not in keys]
+    values = [c for c in expected.columns if c not in keys and c not in set(ignored)]
     a = actual.select(*keys, *[F.col(c).alias(f"a_{c}") for c in values], F.lit(True).alias("_a"))
     e = expected.select(*keys, *[F.col(c).alias(f"e_{c}") for c in values], F.lit(True).alias("_e"))
     problems = [
@@ -260,7 +275,8 @@ def table_diff(
         x, y = F.col(f"a_{c}"), F.col(f"e_{c}")
         if types[c] in ("double", "float"):
             gap = F.abs(x - y)
-            near = gap <= F.greatest(F.lit(rtol) * F.greatest(F.abs(x), F.abs(y)), F.lit(atol))
+            larger = F.greatest(F.lit(rtol) * F.greatest(F.abs(x), F.abs(y)), F.lit(atol))
+            near = gap <= (larger if rule == "larger" else F.lit(atol) + F.lit(rtol) * F.abs(y))
             same = (x.isNull() & y.isNull()) | F.coalesce(near & ~_not_finite(x) & ~_not_finite(y), F.lit(False))
         else:
             gap, same = F.lit(None).cast("double"), x.eqNullSafe(y)

@@ -50,13 +50,17 @@ def greedy_select(
     """The kept rows (keys, id, cost) of greedy-with-skips: best score first, ties by id, add what still fits.
 
     Groups up to ``fold_limit`` rows are folded inside one row. Larger groups go through rounds of prefix sums,
-    so that no group has to fit into a task. Both give the same rows.
+    so that no group has to fit into a task. Both give the same rows. A cost that is not positive, or a score that is
+    not finite, stops the run; ``selector_violations`` lists such rows.
     """
+    paid = F.when(F.col(cost) > 0, F.col(cost).cast("long")).otherwise(F.raise_error(F.lit("costs must be positive")).cast("long"))
+    value = F.col(score)
+    infinite = F.coalesce(F.isnan(value.cast("double")) | (F.abs(value.cast("double")) == float("inf")), F.lit(True))
     picked = rows.select(
         *keys,
         F.col(memory_id).alias("id"),
-        F.col(cost).cast("long").alias("cost"),
-        F.col(score).alias("score"),
+        paid.alias("cost"),
+        F.when(~infinite, value).otherwise(F.raise_error(F.lit("scores must be finite")).cast(dict(rows.dtypes)[score])).alias("score"),
         F.col(budget).cast("long").alias("budget"),
     )
     if positive_only:

@@ -82,7 +82,10 @@ def d6_long(spark, sf):
     )
     rows = turn_pairs(spark, sf).select("conv_id", "turn", sides.alias("s")).select("conv_id", "turn", "s.side", tx.normalize_answer(F.col("s.text")).alias("t"))
     words = rows.select("conv_id", "turn", "side", F.explode(tx.words(F.col("t"))).alias("word"))
-    return met.overlap_by_join(words, ["conv_id", "turn"]).withColumn("token_f1", F.round("token_f1", 9))
+    shared = met.overlap_by_join(words, ["conv_id", "turn"])
+    # pairs without any word have no row in the words, but a result
+    whole = turn_pairs(spark, sf).select("conv_id", "turn").join(shared, ["conv_id", "turn"], "left")
+    return whole.select("conv_id", "turn", F.coalesce("common", F.lit(0).cast("long")).alias("common"), F.round(F.coalesce("token_f1", F.lit(0.0)), 9).alias("token_f1"))
 
 
 @query("d7_storage_bytes", "SELECT doc_id, CAST(strlen(to_json({'content': text, 'memory_id': CAST(doc_id AS VARCHAR)})) + 3 AS BIGINT) AS cost FROM documents")

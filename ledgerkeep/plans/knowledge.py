@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ledgerkeep.operators import checks
 from ledgerkeep.operators import memory as mem
 from ledgerkeep.operators import selection as sel
+from ledgerkeep.operators.handoff import frequency_mismatches
+from ledgerkeep.operators.live import log_violations
 from ledgerkeep.plans import baskets as bk
 from ledgerkeep.plans import orderlog as ol
 from ledgerkeep.plans import query
@@ -254,6 +258,19 @@ def c3_first(spark, sf):
     return mem.first_violation(mem.replay_violations(staged_damaged(spark, sf)))
 
 
+@query(
+    "a2_log_violations",
+    with_sql(ol.LOG, ol.DAMAGED, VIOLATIONS, """SELECT seq, reason FROM viol UNION ALL SELECT seq, 'blank_content' FROM mem WHERE key % 7 = 0
+      UNION ALL SELECT seq, 'importance' FROM mem WHERE relation = '3-MEDIUM' UNION ALL SELECT seq, 'supersedes_itself' FROM bad WHERE supersedes = memory_id"""),
+)
+def a2_rules(spark, sf):
+    """A log with broken record rules, used ids and wrong targets, by line."""
+    rows = ol.damaged(spark, sf)
+    rows = rows.withColumn("content", F.when(F.col("key") % 7 == 0, " ").otherwise(F.col("content")))
+    rows = rows.withColumn("importance", F.when(F.col("relation") == "3-MEDIUM", 7.0).otherwise(F.col("importance")))
+    return log_violations(cut(logs.parse_events(event_text(rows))))
+
+
 @query(
     "c4_active_view",
     with_sql(ol.LOG, "SELECT seq, memory_id, content FROM mem m WHERE NOT EXISTS (SELECT 1 FROM mem n WHERE n.supersedes = m.memory_id)"),
@@ -528,7 +545,7 @@ def b6(spark, sf):
         F.struct(F.when(F.col("toxic") == 1, F.lit(-1)).alias("value")).alias("target"),
         F.lit(0.5).alias("loo_value"),
     )
-    return rows.select("doc_id", checks.first_present([F.col("value"), F.col("target.value"), F.col("loo_value")], "double").alias("target"))
+    return rows.select("doc_id", checks.first_present(rows, [F.col("value"), F.col("target.value"), F.col("loo_value")], "number").alias("target"))
 
 
 @query(
@@ -554,6 +571,25 @@ def b8(spark, sf):
     return checks.phase_order_violations(rows.select("memory_id", "seq"), rows.where(F.col("source") != "P"), ["memory_id"])
 
 
+@query("b8_mixed_hashes", with_sql(ol.LOG, "SELECT md5(source) AS plan_hash, count(*) AS answers FROM mem WHERE source <> 'O' GROUP BY 1"))
+def b8_hash(spark, sf):
+    """Answers made from other plan tables than the frozen one."""
+    rows = ol.log(spark, sf).select(F.md5(F.col("source").cast("binary")).alias("plan_hash"))
+    return checks.mixed_hashes(rows, "plan_hash", hashlib.md5(b"O").hexdigest())
+
+
+@query(
+    "b12_frequency_mismatches",
+    "SELECT l_orderkey AS snapshot_id, CAST(l_linenumber AS BIGINT) AS memory_id, CAST(l_quantity AS BIGINT) AS retrieval_frequency, CAST(10 AS BIGINT) AS expected_frequency FROM lineitem WHERE l_linenumber = 1 AND l_quantity <> 10",
+)
+def b12_frequency(spark, sf):
+    """By design the first line of each order is read ten times."""
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    found = li.select(F.col("l_orderkey").alias("snapshot_id"), F.col("l_linenumber").cast("long").alias("memory_id"), F.col("l_quantity").cast("long").alias("retrieval_frequency"))
+    expected = found.where("memory_id = 1").select("snapshot_id", "memory_id", F.lit(10).cast("long").alias("expected_frequency")).distinct()
+    return frequency_mismatches(found, expected).select("snapshot_id", "memory_id", "retrieval_frequency", "expected_frequency")
+
+
 @query(
     "b9_coverage_audit",
     with_sql(bk.ITEMS, """grid AS (SELECT DISTINCT l_orderkey AS snapshot_id, n AS memory_id FROM lineitem, range(1, 8) r(n))""",

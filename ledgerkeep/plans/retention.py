@@ -109,6 +109,20 @@ def g9(spark, sf):
     )
 
 
+@query(
+    "g9_selector_violations",
+    """SELECT p_brand, p_partkey AS memory_id, concat_ws(',', CASE WHEN p_size <= 5 THEN 'cost' END, CASE WHEN p_size % 10 = 0 THEN 'score' END) AS reason
+       FROM part WHERE p_size <= 5 OR p_size % 10 = 0""",
+)
+def g9_violations(spark, sf):
+    """Parts whose cost or score a selector refuses."""
+    from ledgerkeep.sources.tables import table
+
+    part = table(spark, sf, "part", "p_brand", "p_partkey", "p_size", "p_retailprice")
+    broken = F.when(F.col("p_size") % 10 == 0, F.lit(float("inf"))).otherwise(F.col("p_retailprice"))
+    return sel.selector_violations(part.select("p_brand", F.col("p_partkey").alias("memory_id"), (F.col("p_size") - 5).alias("cost"), broken.alias("score")), ["p_brand"])
+
+
 @query(
     "g21_pending_work",
     with_sql(*bk.PLANS, "done AS (SELECT DISTINCT snapshot_id, storage_ids, seed FROM plans WHERE candidate IN ('recency', 'full'))",

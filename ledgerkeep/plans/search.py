@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerkeep.functions import text as tx
-from ledgerkeep.functions.hashing import bag_of_words, dense_vectors, draw32, seeded_unit, token_bucket
+from ledgerkeep.functions.hashing import bag_of_words, dense_vector, dense_vectors, draw32, seeded_unit, token_bucket
 from ledgerkeep.operators import chunks as ch
 from ledgerkeep.operators import memory as mem
 from ledgerkeep.operators import metrics as met
@@ -13,7 +13,10 @@ from ledgerkeep.operators import retrieval as ret
 from ledgerkeep.operators import selection as sel
 from ledgerkeep.operators import similarity as sim
 from ledgerkeep.operators.checks import metric_violations
+from ledgerkeep.operators.live import search_active_log
 from ledgerkeep.operators.ordered import rank_in_group
+from ledgerkeep.plans import knowledge as kn
+from ledgerkeep.plans import orderlog as ol
 from ledgerkeep.plans import query
 from ledgerkeep.plans.sqltext import with_sql
 from ledgerkeep.session import cut
@@ -191,7 +194,7 @@ def kept_sets(spark, sf, rows):
 def plan_ranks(spark, sf):
     rows, scores = scored(spark, sf)
     scores = cut(scores)  # scored once, read by every kept set
-    kept = cut(kept_sets(spark, sf, rows.drop("vector").join(rows.select("memory_id", "vector"), "memory_id")))
+    kept = cut(kept_sets(spark, sf, rows))
     grid = [(p, r) for p in ("recency", "importance", "semantic_dedup") for r in BUDGETS] + [("full", 1.0)]
     groups = spark.createDataFrame(grid, "policy string, budget_ratio double")
     return rows, kept, ret.target_ranks(scores.join(kept, "memory_id"), asked(rows), ["policy", "budget_ratio"], groups)
@@ -329,6 +332,26 @@ def e1_text(spark, sf):
     return doc_search(spark, sf, 10).withColumn("score", F.round("score", 6))
 
 
+LIVE = (
+    ol.LOG, "live AS (SELECT memory_id, content AS text FROM mem m WHERE NOT EXISTS (SELECT 1 FROM mem n WHERE n.supersedes = m.memory_id))",
+    bag_sql("lv", "live", "memory_id"), bag_sql("aq", "(SELECT n_nationkey, 'Query: customer '||n_nationkey||' owes' AS text FROM nation)", "n_nationkey"),
+    "lsc AS (SELECT aq.k AS query_id, lv.k AS memory_id, round(sum(lv.w*aq.w), 12) AS score FROM lv JOIN aq USING (bucket) GROUP BY 1, 2)",
+    "ltop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM lsc)",
+)
+
+
+@query("e1_live_log_search", with_sql(*LIVE, "SELECT query_id, memory_id, round(score, 6) AS score, rank FROM ltop WHERE rank <= 5"))
+def e1_live(spark, sf):
+    """Questions over the log as it stands: superseded records are never found. Finished orders' vectors are in store."""
+    log = ol.log(spark, sf)
+    stored = dense_vectors(log.where("source = 'F'"), "memory_id", "content").withColumn("embedding_version", F.lit(ol.VERSION))
+    asks = table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("query_id"), F.concat(F.lit(QUERY_PREFIX + "customer "), F.col("n_nationkey").cast("string"), F.lit(" owes")).alias("text")
+    )
+    hits = search_active_log(kn.staged_log(spark, sf), stored, dense_vectors(asks, "query_id", "text"), 5, ol.VERSION)
+    return hits.select("query_id", "memory_id", F.round("score", 6).alias("score"), "rank")
+
+
 COSTS = "cst AS (SELECT doc_id AS memory_id, CAST(strlen(to_json({'content': text, 'memory_id': CAST(doc_id AS VARCHAR)})) + 3 AS BIGINT) AS cost FROM documents)"
 BUDGETED = """hd AS (SELECT query_id, list({'id': memory_id, 'cost': cost} ORDER BY rank) AS e FROM dtop JOIN cst USING (memory_id) WHERE rank <= 10 GROUP BY 1),
 ctx AS (SELECT query_id, e, 0 AS k, CAST(0 AS BIGINT) AS memory_tokens, CAST([] AS BIGINT[]) AS taken FROM hd UNION ALL
@@ -507,13 +530,16 @@ HISTORY = (
 def conversation(spark, sf):
     """(memories, history, decisions) of the conversations."""
     turns = spread(table(spark, sf, "conversations")).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    vec = dense_vectors(turns, "id", "text")
-    rows = turns.join(vec, "id").withColumnRenamed("conv_id", "snapshot_id").withColumnRenamed("turn", "event_order")
     cost = tx.storage_bytes(F.col("id"), F.col("text")).alias("cost")
-    memories = rows.where("role = 'user'").select("snapshot_id", F.col("id").alias("memory_id"), "event_order", "vector", cost)
+    rows = cut(
+        turns.select(
+            F.col("conv_id").alias("snapshot_id"), "id", F.col("turn").alias("event_order"), "role", cost, dense_vector(F.col("text")).alias("vector")
+        )
+    )
+    memories = rows.where("role = 'user'").select("snapshot_id", F.col("id").alias("memory_id"), "event_order", "vector", "cost")
     history = rows.where("role = 'assistant'").select("snapshot_id", F.col("id").alias("query_id"), "event_order", "vector")
-    decisions = turns.groupBy(F.col("conv_id").alias("snapshot_id")).agg((F.max("turn") + 1).alias("decision"))
-    return cut(memories), cut(history), decisions
+    decisions = rows.groupBy("snapshot_id").agg((F.max("event_order") + 1).alias("decision"))
+    return memories, history, decisions
 
 
 def features(spark, sf):

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import json
 import math
 import re
 from collections import Counter
@@ -14,7 +15,9 @@ from ledgerkeep.functions.hashing import DIMENSION, bag_of_words, dense_vectors
 from ledgerkeep.operators import checks
 from ledgerkeep.operators import memory as mem
 from ledgerkeep.operators import retrieval as ret
+from ledgerkeep.operators import selection as sel
 from ledgerkeep.operators import similarity as sim
+from ledgerkeep.operators.live import log_violations, search_active_log
 from ledgerkeep.sources import logs
 
 
@@ -97,3 +100,56 @@ def test_hashed_bag_equals_a_plain_count(spark):
     for i, text in texts.items():
         assert got.get(i, {}) == pytest.approx(plain(text))
         assert dense[i] == pytest.approx([plain(text).get(b, 0.0) for b in range(DIMENSION)])
+
+
+def event(seq, memory_id, content, supersedes=None, **more):
+    memory = {
+        "memory_id": memory_id, "content": content, "timestamp": "2024-01-01T00:00:00+00:00", "importance": 0.5, "source": "user",
+        "embedding_version": "v", "supersedes": supersedes, "metadata": {}, **more,
+    }
+    return seq, json.dumps({"schema_version": 1, "type": "memory_written", "memory": memory})
+
+
+def live(spark, *events):
+    lines = spark.createDataFrame(list(events), "seq long, line string")
+    queries = dense_vectors(spark.createDataFrame([("q", "blue door")], "query_id string, text string"), "query_id", "text")
+    none = spark.createDataFrame([], "memory_id string, embedding_version string, vector array<double>")
+    return lines, none, queries
+
+
+def test_search_never_finds_a_superseded_record(spark):
+    lines, none, queries = live(spark, event(1, "a", "the blue door"), event(2, "b", "a red door", "a"), event(3, "c", "something else"))
+    hits = search_active_log(lines, none, queries, 10, "v").orderBy("rank").collect()
+    assert [h.memory_id for h in hits] == ["b", "c"] and hits[0].content == "a red door"
+
+
+def test_an_invalid_log_names_its_first_bad_line(spark):
+    lines, none, queries = live(
+        spark, event(1, "a", "x"), event(2, "b", " "), event(3, "a", "again"), event(4, "d", "y", "later"), (5, "{"), event(6, "e", "z", importance=7.0), event(7, "f", "t", timestamp="2024-01-01T00:00:00")
+    )
+    with pytest.raises(ValueError, match="line 2"):
+        search_active_log(lines, none, queries, 3, "v")
+    found = sorted((r.seq, r.reason) for r in log_violations(logs.parse_events(lines)).collect())
+    assert found == [(2, "blank_content"), (3, "duplicate_id"), (4, "unknown_or_later_target"), (5, "not_an_event"), (6, "importance"), (7, "timestamp")]
+
+
+@pytest.mark.parametrize(("cost", "score"), [(0, 1.0), (-1, 1.0), (1, float("nan")), (1, float("inf")), (1, None)])
+def test_selectors_refuse_invalid_rows(spark, cost, score):
+    df = spark.createDataFrame([("g", 1, cost, score, 5)], "g string, memory_id long, cost long, score double, budget long")
+    with pytest.raises(Exception, match="must be"):
+        sel.greedy_select(df, ["g"]).collect()
+
+
+def test_spellings_of_a_field_are_type_checked(spark):
+    df = spark.createDataFrame([(None, 2, "3", True)], "a double, b long, c string, d boolean")
+    assert df.select(checks.first_present(df, [F.col("a"), F.col("b")], "number").alias("x")).first().x == 2.0
+    for bad in ("c", "d"):
+        with pytest.raises(ValueError, match="number"):
+            checks.first_present(df, [F.col("a"), F.col(bad)], "number")
+
+
+def test_the_second_tolerance_rule_and_ignored_columns(spark):
+    expected = spark.createDataFrame([(1, 100.0, "a"), (2, 0.0, "b")], "id long, x double, note string")
+    actual = spark.createDataFrame([(1, 100.9, "z"), (2, 0.4, "b")], "id long, x double, note string")
+    assert checks.table_diff(actual, expected, ["id"], rtol=0.005, atol=0.5, rule="sum", ignored=["note"]).collect() == []
+    assert [(r.id, r.column) for r in checks.table_diff(actual, expected, ["id"], rtol=0.005, atol=0.5, ignored=["note"]).collect()] == [(1, "x")]
