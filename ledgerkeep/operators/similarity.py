@@ -40,7 +40,13 @@ def _partial(scores: np.ndarray, memory: np.ndarray, names: np.ndarray, keep: in
         return pd.DataFrame(
             {"query_id": np.tile(names, len(memory)), "memory_id": np.repeat(memory, len(names)), "score": scores.ravel()}
         )
-    rows = np.concatenate([np.lexsort((memory, -scores[:, j]))[:keep] for j in range(len(names))])
+
+    def best(s: np.ndarray) -> np.ndarray:
+        # rows that reach the keep-th score, ties included; only those are sorted
+        near = np.flatnonzero(s >= np.partition(s, len(s) - keep)[len(s) - keep])
+        return near[np.lexsort((memory[near], -s[near]))[:keep]]
+
+    rows = np.concatenate([best(scores[:, j]) for j in range(len(names))])
     columns = np.repeat(np.arange(len(names)), keep)
     return pd.DataFrame({"query_id": names[columns], "memory_id": memory[rows], "score": scores[rows, columns]})
 
@@ -61,10 +67,18 @@ def _scan_broadcast(records: DataFrame, queries: DataFrame, keep: int | None) ->
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = shared.value
+        running: pd.DataFrame | None = None
         for batch in batches:
             if len(batch) and len(names):
                 scores = np.round(_unit(batch["vector"]) @ q.T, SCORE_DIGITS)
-                yield _partial(scores, batch["memory_id"].to_numpy(), names, keep)
+                part = _partial(scores, batch["memory_id"].to_numpy(), names, keep)
+                if keep is None:
+                    yield part
+                    continue
+                both = part if running is None else pd.concat([running, part])
+                running = both.sort_values(["query_id", "score", "memory_id"], ascending=[True, False, True]).groupby("query_id").head(keep)
+        if running is not None:
+            yield running
 
     return records.select("memory_id", "vector").mapInPandas(scan, _scan_schema(records, queries))
 
@@ -105,8 +119,8 @@ def score_all(records: DataFrame, queries: DataFrame) -> DataFrame:
 def top_k(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best k records of each query by (score desc, id), with ``rank``.
 
-    records: memory_id, vector. queries: query_id, vector. Each Arrow batch keeps its own top k, so the shuffle
-    carries at most k rows per batch and query.
+    records: memory_id, vector. queries: query_id, vector. Each task keeps one running top k over all its batches, so
+    the shuffle carries at most k rows per task and query.
     """
     if not 1 <= k <= 100:
         raise ValueError("k must be between 1 and 100")
