@@ -57,11 +57,11 @@ def simhash(hashes: str) -> Column:
     )
 
 
-def _blocks(fp: Column, radius: int) -> Column:
-    """(block number, bits) of the ``radius + 1`` blocks of a fingerprint."""
+def _blocks(fp: str, radius: int) -> Column:
+    """(block number, bits) of the ``radius + 1`` blocks of the fingerprint column ``fp``, as one small loop."""
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    parts = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) if b - a < 64 else fp for a, b in zip(cuts, cuts[1:])]
-    return F.array(*(F.struct(F.lit(i).alias("block"), p.alias("bits")) for i, p in enumerate(parts)))
+    places = ", ".join(f"struct({i} AS block, {a} AS low, {(1 << (b - a)) - 1 if b - a < 64 else -1}L AS mask)" for i, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    return F.expr(f"transform(array({places}), p -> struct(p.block AS block, shiftrightunsigned({fp}, p.low) & p.mask AS bits))")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -76,7 +76,8 @@ def similarity(a: Column, b: Column) -> Column:
 
     more = F.aggregate(F.array_intersect(repeated(a), repeated(b)), F.lit(0), lambda s, v: s + F.least(count(a, v), count(b, v)) - 1)
     both = F.size(F.array_intersect(a, b)) + more
-    return both / (F.size(a) + F.size(b) - both)
+    # a lambda binds the overlap, so that it is computed once
+    return F.element_at(F.transform(F.array(both), lambda n: n / (F.size(a) + F.size(b) - n)), 1)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -118,8 +119,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARIT
         listed.select("item_id", F.col("n_words").alias("size"), F.col("shingles").alias("item"), simhash("shingles").alias("item_fp")), "item-fingerprints"
     )
     bucket = ["size", "block", "bits"]
-    left = marked.select("doc_id", "doc_key", "size", "start", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("*", "b.*").drop("b")
-    right = sought.select("item_id", "size", "item_fp", F.explode(_blocks(F.col("item_fp"), radius)).alias("b")).select("*", "b.*").drop("b")
+    left = marked.select("doc_id", "doc_key", "size", "start", "fp", F.explode(_blocks("fp", radius)).alias("b")).select("*", "b.*").drop("b")
+    right = sought.select("item_id", "size", "item_fp", F.explode(_blocks("item_fp", radius)).alias("b")).select("*", "b.*").drop("b")
     pairs = (
         left.join(right, bucket)
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
