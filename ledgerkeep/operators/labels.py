@@ -76,6 +76,11 @@ def reliability_gate(
     return row.withColumn("ready", F.coalesce(ready, F.lit(False)))
 
 
+def zero_cases(utilities: DataFrame) -> DataFrame:
+    """Interventions that changed no score."""
+    return utilities.where("value = 0").select("snapshot_id", "memory_id", "query_id", "seed")
+
+
 def label_distribution(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(
         F.count("*").alias("labels"), F.count_if(F.col("value") != 0).alias("nonzero")

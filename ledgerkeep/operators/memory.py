@@ -108,7 +108,7 @@ def history_view(log: DataFrame) -> DataFrame:
 
 
 def lookup(log: DataFrame, memory_id: str) -> DataFrame:
-    """One record by id, superseded or not; the filter reaches the scan."""
+    """One record by id, superseded or not; the filter reaches the scan where the id is a stored column."""
     return log.where(F.col("memory_id") == memory_id)
 
 

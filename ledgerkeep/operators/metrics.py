@@ -210,24 +210,6 @@ def pick_cases(rows: DataFrame, kind: str, distinct_by: str, order: Sequence[str
 # --- retrieval --------------------------------------------------------------------------------------------
 
 
-def query_ranks(ranking: DataFrame, queries: DataFrame) -> DataFrame:
-    """Rank of the target record and of its fact per query; NULL where it is missing.
-
-    ``ranking``: query_id, rank, memory_id, canonical_id. ``queries``: query_id, target_memory_id,
-    target_canonical_id, superseded_memory_id. Every query stays in the result.
-    """
-    found = (
-        ranking.join(queries, "query_id")
-        .groupBy("query_id")
-        .agg(
-            F.min(F.when(F.col("memory_id") == F.col("target_memory_id"), F.col("rank"))).alias("exact_rank"),
-            F.min(F.when(F.col("canonical_id") == F.col("target_canonical_id"), F.col("rank"))).alias("fact_rank"),
-            F.bool_or((F.col("rank") == 1) & (F.col("canonical_id") == F.col("superseded_memory_id"))).alias("old_first"),
-        )
-    )
-    return queries.join(found, "query_id", "left")
-
-
 def ranking_metrics(ranks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Recall at 1 and 5, reciprocal rank, retention; missing targets stay in the denominator."""
 
@@ -251,7 +233,7 @@ def ranking_metrics(ranks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def retrieval_outcome() -> Column:
-    """Ordered classes of a query's retrieval result, from ``query_ranks`` columns."""
+    """Ordered classes of a query's retrieval result, from the columns of ``target_ranks``."""
     return (
         F.when(F.col("fact_rank").isNull(), "target_pruned")
         .when(F.col("old_first"), "obsolete_rank1")

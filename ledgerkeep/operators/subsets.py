@@ -81,12 +81,6 @@ def exact_plans(items: DataFrame, value: Column, ratios: Sequence[float]) -> Dat
     return best_sets(feasible, ["snapshot_id", "budget_ratio", "budget_tokens"], F.col("value_sum"))
 
 
-def subset_table(sets: DataFrame, responses: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Mean of the response metrics over the window's queries, per kept set."""
-    means = responses.groupBy("snapshot_id", "storage_ids").agg(*[F.avg(m).alias(m) for m in metrics])
-    return sets.join(means, ["snapshot_id", "storage_ids"])
-
-
 def tie_table(scored: DataFrame, value: str, outcome: str, ratios: Sequence[float], heuristic: DataFrame) -> DataFrame:
     """How many feasible sets share the best value sum, the range of their observed outcome, and the gap to a heuristic.
 

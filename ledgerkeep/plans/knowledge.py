@@ -128,9 +128,6 @@ def a7(spark, sf):
     return spark.read.schema("seq bigint, memory_id string, content string").option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-NESTED_MEMORY = "memory_id bigint, canonical_id string, leakage_group string, content string, event_order bigint"
-
-
 def nested_snapshots(spark, sf):
     """Snapshots as the nested rows they are exchanged in; an order's lines are few by construction."""
     rows = bk.staged_items(spark, sf)

@@ -257,6 +257,11 @@ def h10(spark, sf):
     return lab.label_distribution(repeated(spark, sf))
 
 
+@query("h10_zero_cases", with_sql(*LABEL_CTES, "SELECT snapshot_id, memory_id, query_id, seed FROM utils WHERE value = 0 AND seed = 0"))
+def h10_zero(spark, sf):
+    return lab.zero_cases(utilities(spark, sf, (0,)))
+
+
 HINDSIGHT_SCORED = """hscored AS (SELECT i.snapshot_id, i.memory_id, i.cost, 'hindsight_loo' AS candidate, CAST(NULL AS BIGINT) AS selection_seed, TRUE AS positive_only, l.v AS score
   FROM items i JOIN (SELECT snapshot_id, memory_id, avg(value) AS v FROM utils WHERE seed = 0 GROUP BY 1,2) l USING (snapshot_id, memory_id))"""
 

@@ -32,14 +32,3 @@ def _event() -> T.StructType:
 
 
 EVENT = _event()
-
-HISTORY_QUERY = T.StructType(
-    [T.StructField("query_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("event_order", T.LongType())]
-)
-FUTURE_QUERY = T.StructType(
-    [
-        *HISTORY_QUERY.fields,
-        T.StructField("gold_answer", T.StringType()),
-        T.StructField("supporting_memory_sets", T.ArrayType(T.ArrayType(T.StringType()))),
-    ]
-)
