@@ -66,9 +66,9 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
         if not w:
             continue
         rows = np.flatnonzero(width == w)
-        values = np.where(odd[rows], 0, diff[rows])
-        spread_bits = ((values[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        body = np.packbits(spread_bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        values = np.where(odd[rows], 0, diff[rows]).astype("<u2" if w <= 16 else "<u4")
+        bits_of = np.unpackbits(values.view(np.uint8).reshape(len(rows), BLOCK, -1), axis=2, count=int(w), bitorder="little")
+        body = np.packbits(bits_of.reshape(len(rows), -1), axis=1, bitorder="little")
         for r, b in zip(rows.tolist(), body):
             packed[r] = b.tobytes()
     counts = odd.sum(axis=1)
