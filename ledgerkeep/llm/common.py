@@ -23,10 +23,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Round-robin only where a scan has fewer splits than cores (one small file); larger scans pass through."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.sparkSession.sparkContext.master.startswith("local[") and docs.rdd.getNumPartitions() < cores else docs
+def drop(staged: DataFrame) -> None:
+    """Delete a table that ``stage`` wrote, once nothing will read it again."""
+    jvm, conf = staged.sparkSession._jvm, staged.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -46,6 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
                 begin, size = i + 1, 0
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # an idle worker should not hold what its last task used
 
 
 def binary(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkeep.llm.common import stage
+from ledgerkeep.llm.common import drop, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that an edge (u, v) touches and that is not its component's smallest node.
 
     Large-star and small-star steps alternate until the table stays the same, in O(log^2 n) rounds; each round is
-    written to the shared folder, so plans stay short and lost executors cost one round at most. A hub is an aggregate
+    written to the shared folder, so plans stay short and lost executors cost one round at most; the round before it is
+    deleted. A hub is an aggregate
     with partial sums and a skewed join, which adaptive execution splits.
     """
     now, mark = stage(edges.where("u <> v").distinct(), "edges"), None
@@ -35,5 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen[0] == 0 or seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
-        now = stage(_small_star(_large_star(now)), "edges")
+        mark, before = seen, now
+        now = stage(_small_star(_large_star(before)), "edges")
+        drop(before)  # no plan refers to it any more

@@ -119,7 +119,11 @@ def mix(
     if not domains or (share < 0).any() or share.sum() <= 0:
         raise ValueError("weights must be nonnegative and not all zero")
     share = share / share.sum()
-    scored = stage(posteriors(docs, fit(labelled, domains), keep), "posteriors")
+    model = fit(labelled, domains)
+    whole = posteriors(docs, model, keep)
+    # texts are not written a second time: with them among the carried columns, posteriors are computed twice instead
+    scored = stage(whole if "text" not in keep else posteriors(docs, model, []), "posteriors")
+    whole = whole if "text" in keep else scored
     size = len(domains)
     p = [F.col(f"__p{k}") for k in range(size)]
     t = F.col("__tokens")
@@ -150,10 +154,11 @@ def mix(
             before, reached = reached, np.array(sums, dtype=float)
             if np.abs(reached - before).max() <= TOLERANCE * 0.1 * max(total, 1.0):
                 break  # no rate moves any more: the least-squares point
-    scored = scored.select("*", start)
     rate = _rate(steps, least)
-    named = scored.select(*keep, "__draw", t.alias(f"{prefix}tokens"), *(p[k].alias(f"{prefix}p_{d}") for k, d in enumerate(domains)), rate.alias(f"{prefix}rate"))
-    return named.withColumn(f"{prefix}copies", F.floor(F.col(f"{prefix}rate") + F.col("__draw")).cast("long")).drop("__draw")
+    named = whole.select("*", start).select(*keep, "__draw", t.alias(f"{prefix}tokens"), *(p[k].alias(f"{prefix}p_{d}") for k, d in enumerate(domains)), rate.alias(f"{prefix}rate"))
+    # the row number, times zero, keeps filters on the copies above this step: below it they would repeat the classifier
+    same = F.lit(0).cast("long") * F.monotonically_increasing_id()
+    return named.withColumn(f"{prefix}copies", F.floor(F.col(f"{prefix}rate") + F.col("__draw")).cast("long") + same).drop("__draw")
 
 
 def repeat(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
