@@ -112,17 +112,15 @@ class Ring:
 
 
 def _forest(n: int, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """The smallest row linked to each of n rows."""
+    """The smallest row connected to each of n rows, by hooking roots on smaller roots."""
     label = np.arange(n)
     while len(at):
-        low = np.minimum(label[at], label[to])
-        np.minimum.at(label, at, low)
-        np.minimum.at(label, to, low)
-        label = label[label]
-        apart = label[at] != label[to]
+        at, to = label[at], label[to]  # roots, because labels are followed to their end below
+        apart = at != to
         at, to = at[apart], to[apart]
-    while (label != label[label]).any():
-        label = label[label]
+        np.minimum.at(label, np.maximum(at, to), np.minimum(at, to))
+        while (label != label[label]).any():
+            label = label[label]
     return label
 
 

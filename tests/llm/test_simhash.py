@@ -65,6 +65,34 @@ def test_components_equal_brute_force(spark, monkeypatch, radius, segments, bloc
     assert [named.get(x, x) for x in fps] == [fps[i] for i in expected]
 
 
+def union_find(n, edges):
+    label = list(range(n))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        label[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def test_forests_of_a_task_equal_union_find():
+    rng = random.Random(3)
+    cases = [(4, [(0, 2), (2, 3), (1, 3)])]
+    for n in (4, 10, 30, 200):
+        for _ in range(40):
+            names = rng.sample(range(n), n)
+            cases.append((n, [(names[i], names[i + 1]) for i in range(n - 1)]))  # paths
+            cases.append((n, [(names[i], names[rng.randrange(i)]) for i in range(1, n)]))  # trees
+            cases.append((n, [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)]))
+    for n, edges in cases:
+        at, to = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
+        assert sh._forest(n, at, to).tolist() == union_find(n, edges), edges
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(500, 500)]
     random.Random(1).shuffle(edges)
