@@ -3,7 +3,7 @@
 A text is cut into units that follow one another without gaps, so a unit is known by its offsets in the original text.
 Units are compared with A-Z lower-cased and white space collapsed. Of equal units in all texts the earliest stays, by
 (doc_id, row, offset); the others are removed. Units of fewer than ``least_words`` words always stay: short sentences
-recur by chance.
+recur by chance. ``passages`` compares lines and their sentences together, and what stands between two long sentences.
 
 The digest groups are aggregates of one smallest rank and a count; the units meet them in a join that adaptive
 execution splits where one unit occurs very often. No group is gathered.
@@ -63,7 +63,12 @@ def repeats(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WO
 
     ``row`` is unique and orders rows of one doc_id; it is written with the units, so numbers made on the fly are safe. Null doc_ids rank last. Null and empty texts have no units.
     """
-    found = stage(units(docs, unit, least_words), "units")
+    return _later(units(docs, unit, least_words))
+
+
+def _later(pieces: DataFrame) -> DataFrame:
+    """All but the earliest of the pieces of each digest."""
+    found = stage(pieces, "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "begin")
     groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where("n > 1")
     joined = found.join(groups.select("digest", "kept"), "digest")
@@ -71,6 +76,55 @@ def repeats(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WO
     return later.select("row", "doc_id", "begin", "end", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.begin").alias("kept_begin"))
 
 
+def _pieces(text: str, least_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(begin, end, what is compared) of the lines and sentences of enough words, and of the gaps between long sentences.
+
+    The words of a line count together, however short its sentences are. A gap is a run of short sentences between two
+    long ones and is compared with both, so it repeats only where the whole run does.
+    """
+    before: tuple[int, bytes] | None = None  # the last long sentence: where it ends, its words
+    short: list[bytes] = []
+    for line in re.finditer(UNITS["line"], text):
+        whole = normalised(line.group())
+        if whole.count(b" ") + bool(whole) < least_words:
+            short += [whole] if whole else []
+            continue
+        yield line.start(), line.end(), whole
+        for m in re.finditer(UNITS["sentence"], line.group()):
+            begin, end, plain = line.start() + m.start(), line.start() + m.end(), normalised(m.group())
+            if plain.count(b" ") + bool(plain) < least_words:
+                short += [plain] if plain else []
+                continue
+            if (begin, end) != line.span():
+                yield begin, end, plain
+            if before and short:
+                yield before[0], begin, b"\n".join([before[1], b" ".join(short), plain])  # line feeds: equals no unit
+            before, short = (end, plain), []
+
+
+def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Spans of ``docs`` (row, doc_id, text) to remove, as ``repeats`` gives them: repeated lines, repeated sentences, and
+    repeated runs of short sentences between two long ones. A sentence's span can lie inside its line's.
+
+    A line that goes has an earlier copy, which holds its sentences too; so the first of equal sentences never goes with
+    its line, and one rank over lines and sentences is enough.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
+                for begin, end, plain in _pieces(text.as_py() or "", least_words):
+                    for c, v in zip(out, (row, doc_id, begin, end, xxhash.xxh3_128_digest(plain))):
+                        c.append(v)
+                    if len(out[0]) >= 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, TYPES)], NAMES)
+                        out = [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, TYPES)], NAMES)
+
+    return _later(docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, begin int, end int, digest binary"))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a unique ``row``, written so that the numbers stay the same in every later job."""
     return stage(docs.withColumn("row", F.monotonically_increasing_id()), "rows")

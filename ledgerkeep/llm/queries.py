@@ -103,6 +103,12 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.col("begin").alias("unit_begin"), F.col("end").alias("unit_end"), "kept_doc_id", "kept_begin")
 
 
+@query("op2_passage_dedup")
+def op2_passages(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.passages(table(spark, sf, "documents", "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    return found.select("doc_id", F.col("begin").alias("unit_begin"), F.col("end").alias("unit_end"), "kept_doc_id", "kept_begin")
+
+
 @query("op3_prefix_targets")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"

@@ -51,3 +51,20 @@ def test_empty_table(spark):
     none = table(spark).where(F.lit(False))
     assert ld.deduplicate(none).collect() == []
     assert ld.repeats(none.withColumn("row", F.lit(1).cast("long"))).collect() == []
+
+
+def test_passages_with_short_sentences_go_whole(spark):
+    short = "Of it. Of them. Of us. Of you."
+    first = "A long enough sentence that opens the passage. Short one. And another long sentence that ends it here."
+    rows = [
+        (1, f"{short}\n{first}"), (2, f"Own words stand here before all that.\n{short.upper()}\n"), (3, f"Own start. {first} Own end."),
+        (4, first.replace("Short one", "Another one")), (5, short.replace("you", "me")), (6, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row long, doc_id long, text string").repartition(4)
+    gone = {d: [False] * len(t or "") for d, t in rows}
+    for r in ld.passages(df).collect():
+        assert (r.kept_doc_id, r.kept_begin) < (r.doc_id, r.begin)
+        gone[r.doc_id][r.begin : r.end] = [True] * (r.end - r.begin)
+    left = {d: "".join(c for c, g in zip(t or "", gone[d]) if not g) for d, t in rows}
+    assert left == {1: rows[0][1], 2: "Own words stand here before all that.\n", 3: "Own start. Own end.", 4: " Another one.", 5: rows[4][1], 6: ""}
+    assert ld.passages(df.where(F.lit(False))).collect() == []
