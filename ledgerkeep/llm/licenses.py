@@ -1,10 +1,12 @@
 """License scans: an exact set-similarity join of text blocks with license templates, and whole-phrase places.
 
-Words are runs of digits, letters and non-ASCII characters, with A-Z lower-cased. A block is a line; a template matches
-it if the block holds at least ``threshold`` of the template's distinct words (containment). The join is exact:
+Words are runs of digits, letters and non-ASCII characters, with A-Z lower-cased. A block is a window of words, across
+line feeds, of at most the template's length divided by ``threshold``; a template matches it if the block holds at least
+``threshold`` of the template's distinct words (containment). A text whose words as one set do not reach a template has
+no such window; that first join is exact:
 
 - words are ordered by their frequency in all documents, rarest first, with ties by the word;
-- length filter: a block must have at least ``need = ceil(threshold * n)`` of a template's n words;
+- length filter: a set must have at least ``need = ceil(threshold * n)`` of a template's n words;
 - prefix filter: then one of the first ``n - need + 1`` words of the template is in it, so an index of those finds all;
 - positional filter: a first shared word at place i of the template leaves at most ``n - i`` words in common.
 
@@ -15,8 +17,10 @@ counted over all documents.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,15 +81,18 @@ class Index:
         self.order: list[list[bytes]] = []
         self.sets: list[set[bytes]] = []
         self.need: list[int] = []
+        self.span: list[int] = []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for label in self.labels:
-            distinct = sorted(set(words(templates[label].encode("utf-8"))), key=lambda w: (seen.get(w, 0), w))
+            sequence = words(templates[label].encode("utf-8"))
+            distinct = sorted(set(sequence), key=lambda w: (seen.get(w, 0), w))
             if not distinct:
                 raise ValueError(f"template {label} has no words")
             need = math.ceil(threshold * len(distinct) - 1e-9)
             self.order.append(distinct)
             self.sets.append(set(distinct))
             self.need.append(need)
+            self.span.append(math.ceil(len(sequence) / threshold - 1e-9))
             for place, word in enumerate(distinct[: len(distinct) - need + 1]):
                 self.prefix.setdefault(word, []).append((len(self.order) - 1, place))
 
@@ -105,6 +112,34 @@ class Index:
                 out.append((self.labels[t], common / n))
         return out
 
+    def windows(self, sequence: list[bytes]) -> list[tuple[int, str, float]]:
+        """(word index, label, containment) of the best of overlapping windows of ``sequence`` that reach a template."""
+        out = []
+        for label, _ in self.matches(set(sequence)):
+            t = self.labels.index(label)
+            wanted, need, span, n = self.sets[t], self.need[t], self.span[t], len(self.order[t])
+            hits = [(i, w) for i, w in enumerate(sequence) if w in wanted]
+            held: dict[bytes, int] = {}
+            left = 0
+            best: tuple[int, int, int] | None = None  # words in common, first and last place
+            for right, word in hits:
+                held[word] = held.get(word, 0) + 1
+                while hits[left][0] <= right - span or held[hits[left][1]] > 1:  # too far off, or there again later
+                    held[hits[left][1]] -= 1
+                    if not held[hits[left][1]]:
+                        del held[hits[left][1]]
+                    left += 1
+                if len(held) < need:
+                    continue
+                if best and hits[left][0] > best[2]:
+                    out.append((best[1], label, best[0] / n))
+                    best = None
+                if not best or len(held) > best[0]:
+                    best = (len(held), hits[left][0], right)
+            if best:
+                out.append((best[1], label, best[0] / n))
+        return sorted(out)
+
 
 def phrase_places(sequence: list[bytes], phrases: dict[bytes, tuple[list[bytes], str]]) -> list[tuple[int, str]]:
     """(word index, label) of every place where a phrase's words stand one after another."""
@@ -123,7 +158,8 @@ def phrase_places(sequence: list[bytes], phrases: dict[bytes, tuple[list[bytes],
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text) its phrase places, template matches, labels and score.
+    """Per row of ``docs`` (doc_id, text) its phrase places, template matches, labels and score. A match has the line where
+    its window begins.
 
     The score is one if a phrase is found, else the greatest containment of a matching block, else zero. Null and empty
     texts have no words; repeated rows stay.
@@ -142,8 +178,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
                 sequence = words(text)
                 places = phrase_places(sequence, sought)
                 blocks = []
-                for line, part in enumerate(text.translate(_LINES).split(b"\n")):
-                    blocks += [{"label": label, "line": line, "containment": c} for label, c in index.matches(set(part.split()))]
+                if found := index.windows(sequence):
+                    ends = list(accumulate(len(part.split()) for part in text.translate(_LINES).split(b"\n")))
+                    blocks = [{"label": label, "line": bisect_right(ends, i), "containment": c} for i, label, c in found]
                 base = sorted({label for _, label in places})
                 every = sorted({*base, *(b["label"] for b in blocks)})
                 at = [i for i, _ in places]

@@ -61,3 +61,39 @@ def test_frequencies_cover_all_rows_and_empty_tables(spark):
     assert lc.frequencies(df, {b"mit", b"other"}) == {b"mit": 3}
     assert len(lc.scan(df).collect()) == 3
     assert lc.scan(df.where(F.lit(False))).collect() == []
+
+
+def test_wrapped_notices_are_found_and_scattered_words_are_not(spark):
+    notice = lc.TEMPLATES["mit-notice"].split()
+    wrapped = "Some title\n\n" + "\n".join("// " + " ".join(notice[i : i + 5]) for i in range(0, len(notice), 5)) + "\nrest of it"
+    filler = " ".join(f"w{i}" for i in range(40))
+    scattered = f" {filler} ".join("Licensed under CC BY NC 4 0 all rights reserved".split())
+    texts = [wrapped, scattered, f"{filler} {scattered} all\nrights reserved", "All rights reserved.\nx y z\nAll rights reserved."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score, [(b.label, b.line) for b in r.blocks]) for r in lc.scan(df).collect()}
+    assert got[0] == ("mit-notice", 1.0, [("mit-notice", 2)])
+    assert got[1] == ("", 0.0, [])
+    assert got[2] == ("all-rights-reserved", 1.0, [("all-rights-reserved", 0)])
+    assert got[3] == ("all-rights-reserved", 1.0, [("all-rights-reserved", 0), ("all-rights-reserved", 2)])
+
+
+def test_windows_equal_brute_force():
+    import random
+
+    rng = random.Random(9)
+    vocabulary = [f"v{i}".encode() for i in range(14)]
+    for threshold in (0.5, 0.8, 1.0):
+        templates = {f"t{i}": " ".join(w.decode() for w in rng.choices(vocabulary, k=rng.randint(1, 9))) for i in range(8)}
+        index = lc.Index(templates, {}, threshold)
+        for _ in range(150):
+            text = rng.choices(vocabulary + [b"x"] * 10, k=rng.randint(0, 60))
+            expected = {}
+            for label, t in templates.items():
+                wanted, span = set(t.encode().split()), -int(-len(t.split()) / threshold // 1)
+                best = max((len(wanted & set(text[i : i + span])) / len(wanted) for i in range(len(text))), default=0)
+                if best >= threshold - 1e-9:
+                    expected[label] = best
+            got = {}
+            for _, label, c in index.windows(text):
+                got[label] = max(c, got.get(label, 0))
+            assert got == expected
