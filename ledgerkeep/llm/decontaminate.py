@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 Words are runs of letters and digits, lower-cased; shingles are ``SHINGLE`` words. For an item of n words the windows
-of a document are its runs of n words (the whole document, if it is shorter) that put a shared shingle where the item
-first has it. A window without any shared shingle has similarity zero, so none is missed by looking at these only.
+of a document are its runs of n words (the whole document, if it is shorter). Of these, all that hold enough places of
+shingles known from items of n words are looked at: with m shingles in the item and k in the window, a similarity of t
+takes t * (m + k) / (1 + t) shingles in common, so no other window can reach it.
 Each window gets a 64-bit SimHash of its shingles, repeats counted. The fingerprint is cut into ``radius + 1`` blocks:
 two fingerprints within the radius agree in one block at least, so a join on (size, block, value) finds them all. Pairs
 within the radius are verified by weighted Jaccard similarity of the shingles, a shingle's weight being its count.
@@ -91,28 +92,34 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARIT
     listed = stage(
         _shingles(items.select("item_id", words(F.col("text")).alias("words")), "words").where(F.col("n_words") >= SHINGLE).distinct(), "items"
     )
-    places = stage(
-        listed.select("item_id", "n_words", F.posexplode("shingles").alias("place", "shingle"))
-        .groupBy("item_id", "n_words", "shingle").agg(F.min("place").alias("place"))
-        .select("shingle", F.col("n_words").alias("size"), "place").distinct(),
-        "item-shingles",
-    )
-    passes = max(1, -(-places.count() // SHINGLE_ROWS))
+    known = stage(listed.select(F.explode("shingles").alias("shingle"), F.col("n_words").alias("size")).distinct(), "item-shingles")
+    passes = max(1, -(-known.count() // SHINGLE_ROWS))
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), words(F.col("text")).alias("words"))
+    split = _shingles(texts, "words")
     # outer, because Spark would put a filter on the array below an inner one and compute the words there again
-    placed = _shingles(texts, "words").select("doc_id", "doc_key", "n_words", "shingles", F.posexplode_outer("shingles").alias("at", "shingle"))
-
-    def windows(part: int) -> DataFrame:
-        known = places.where(F.pmod("shingle", F.lit(passes)) == part) if passes > 1 else places
-        start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n_words") - F.col("size")))
-        length = F.least("size", "n_words") - (SHINGLE - 1)
-        return (
-            placed.join(F.broadcast(known), "shingle")
-            .select("doc_id", "doc_key", "size", start.alias("start"), "shingles", length.alias("length"))
-            .select("doc_id", "doc_key", "size", "start", F.slice("shingles", F.col("start") + 1, F.col("length")).alias("window"))
-        )
-
-    found = reduce(DataFrame.union, [windows(i) for i in range(passes)])
+    placed = split.select("doc_id", "doc_key", "n_words", F.posexplode_outer("shingles").alias("at", "shingle"))
+
+    def hits(part: int) -> DataFrame:
+        some = known.where(F.pmod("shingle", F.lit(passes)) == part) if passes > 1 else known
+        return placed.join(F.broadcast(some), "shingle").select("doc_id", "doc_key", "n_words", "size", "at")
+
+    # places of one document row are as many as its words at most
+    held = reduce(DataFrame.union, [hits(i) for i in range(passes)]).groupBy("doc_id", "doc_key", "n_words", "size").agg(F.collect_set("at").alias("places"))
+    length = F.least("size", "n_words") - (SHINGLE - 1)
+    common = F.ceil(threshold * (length + F.col("size") - (SHINGLE - 1)) / (1 + threshold) - 1e-9).cast("int")
+    sized = held.select("doc_id", "doc_key", "size", length.alias("length"), F.greatest(F.lit(1), common).alias("need"), (F.col("n_words") - (SHINGLE - 1) - length).alias("last"), F.array_sort("places").alias("p"))
+    # every run of ``need`` places that fits a window gives the starts of all windows around it
+    starts = F.expr(
+        """array_distinct(flatten(transform(
+            filter(sequence(0, size(p) - need), i -> p[i + need - 1] - p[i] < length),
+            i -> sequence(greatest(0, p[i + need - 1] - length + 1), least(p[i], last)))))"""
+    )
+    tried = stage(sized.where(F.size("p") >= F.col("need")).withColumn("starts", starts).where(F.size("starts") > 0).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), "size", "length", "starts"), "window-starts")
+    found = (
+        split.join(tried, (F.col("doc_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+        .select("doc_id", "doc_key", "size", "length", "shingles", F.explode("starts").alias("start"))
+        .select("doc_id", "doc_key", "size", "start", F.slice("shingles", F.col("start") + 1, F.col("length")).alias("window"))
+    )
     once = found.groupBy("doc_id", "doc_key", "size", "start").agg(F.first("window").alias("window"))
     marked = stage(once.withColumn("fp", simhash("window")), "windows")
     sought = stage(

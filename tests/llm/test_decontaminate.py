@@ -73,6 +73,23 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in left.collect()} == {x[0] for x in docs} - {k[0] for k in expected}
 
 
+def test_items_in_another_order_are_found(spark):
+    rng = random.Random(2)
+    docs, items = [], []
+    for i, n in enumerate((59, 60, 70, 84, 90)):
+        item = [f"i{i}w{j}" for j in range(n)]
+        half = n // 2
+        around = [[f"d{rng.randrange(10**6)}" for _ in range(rng.randint(60, 90))] for _ in range(2)]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(around[0] + item[half:] + item[:half] + around[1])))  # swapped halves
+        docs.append((50 + i, " ".join(item[half:] + item[:half])))
+        docs.append((100 + i, " ".join(around[0] + item[half:] + around[1])))  # one half is not enough
+    expected = brute(docs, items)
+    assert {k[0] for k in expected} == {x + i for i in range(5) for x in (0, 50)}
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in dc.contaminated(d, i).collect()} == expected
+
+
 def test_similarity_counts_repeats(spark):
     row = spark.createDataFrame([([1, 1, 1, 2, 3], [1, 1, 2, 2, 4])], "a array<long>, b array<long>").select(dc.similarity(F.col("a"), F.col("b")).alias("s")).first()
     assert row.s == 3 / 7
