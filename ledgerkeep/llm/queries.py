@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerkeep.llm import chat, decontaminate, language, licenses, line_dedup, mixing, multi_index, quality, simhash, token_blocks
+from ledgerkeep.llm import chat, collocations, decontaminate, language, licenses, line_dedup, mixing, multi_index, quality, simhash, token_blocks
 from ledgerkeep.session import staging_path
 from ledgerkeep.sources.tables import table
 
@@ -130,3 +130,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents", "doc_id", "text")).drop("blocks")
+
+
+@query("op11_collocations")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents", "text", "lang"))
