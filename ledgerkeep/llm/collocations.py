@@ -9,7 +9,6 @@ strings. Counts are then added by language and text, so neither colliding finger
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,31 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerkeep.llm.common import binary, slices, stage
-from ledgerkeep.llm.rolling import Words, mixed
+from ledgerkeep.llm.rolling import Words, bit_table, cuts, holds, mixed, opened
 
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
-#: Bits of the table of possibly frequent fingerprints of one length (2^27: 16 MB, whatever the corpus).
-TABLE_BITS = 27
 #: Bytes of text that are hashed at once; a longer text is cut between words.
 BUFFER = 8 << 20
 #: Salts of the first of two rankings, so that no task holds all phrases of a language.
 SALTS = 64
 
-_SEPARATOR = re.compile(rb"[%s]" % re.escape(BLANKS + BREAKS))
-
-
-def cuts(text: bytes, words: int, limit: int = BUFFER) -> Iterator[tuple[bytes, int]]:
-    """A text in pieces of about ``limit`` bytes that begin and end between words: (bytes, how many are its own).
-    After its own bytes a piece shows the next ``words`` - 1 words, so that runs across the cut are seen once."""
-    ahead = re.compile(rb"(?:[%s]+[^%s]+){0,%d}" % (re.escape(BLANKS + BREAKS), re.escape(BLANKS + BREAKS), words - 1))
-    begin = 0
-    while begin < len(text):
-        found = _SEPARATOR.search(text, begin + limit)
-        end = found.start() if found else len(text)
-        shown = ahead.match(text, end).end()
-        yield text[begin:shown], end - begin
-        begin = end
-
 
 def _buffers(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[Words, int, np.ndarray, list[str]]]:
     """Words of a buffer, how many bytes of it are its own, the language number of each word, and the languages."""
@@ -54,7 +36,7 @@ def _buffers(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[Wo
         texts = binary(batch, "text")
         langs = [x if x is not None else "und" for x in batch.column("lang").to_pylist()]
         if len(texts) == 1:
-            parts = [(piece + b"\n", own) for piece, own in cuts(texts[0], words)]
+            parts = [(piece + b"\n", own) for piece, own in cuts(texts[0], words, BLANKS + BREAKS, BUFFER)]
         else:
             joined = b"\n".join(texts) + b"\n"
             parts = [(joined, len(joined))]
@@ -67,11 +49,6 @@ def _buffers(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[Wo
             yield found, own, of, names
 
 
-def _holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = keys & np.uint64((1 << TABLE_BITS) - 1)
-    return (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _places(found: Words, own: int, of: np.ndarray, names: list[str], tables: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and keys (fingerprints with the language) of the runs of n words whose shorter runs may be frequent."""
     salt = np.array([xxhash.xxh64_intdigest(x.encode()) for x in names], dtype=np.uint64)
@@ -84,20 +61,16 @@ def _places(found: Words, own: int, of: np.ndarray, names: list[str], tables: li
         keys = mixed(fp ^ salt[of[at]])
         if size < n:
             fine = np.zeros(len(found.fp) + 1, dtype=bool)
-            fine[at] = _holds(tables[size - 1], keys)
+            fine[at] = holds(tables[size - 1], keys)
     mine = found.begin[at] < own
     return at[mine], keys[mine]
 
 
-def _tables(given: list[Broadcast]) -> list[np.ndarray]:
-    return [np.frombuffer(t.value, dtype=np.uint8) for t in given]
-
-
 def _count(docs: DataFrame, n: int, words: int, given: list[Broadcast]) -> DataFrame:
     """key, c: occurrences of each fingerprint of n words in a buffer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(given)
+        tables = opened(given)
         for found, own, of, names in _buffers(batches, words):
             keys, counts = np.unique(_places(found, own, of, names, tables, n)[1], return_counts=True)
             for i in range(0, len(keys), 1 << 18):
@@ -106,17 +79,6 @@ def _count(docs: DataFrame, n: int, words: int, given: list[Broadcast]) -> DataF
     return docs.mapInArrow(run, "key long, c long")
 
 
-def _table(frequent: DataFrame) -> Broadcast:
-    """The bit table of the keys, of fixed size, for all tasks."""
-    bit = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) + 1
-    rows = frequent.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    table = bytearray(1 << (TABLE_BITS - 3))
-    for part, bits in rows:
-        begin = (part - 1) * 4096
-        table[begin : begin + len(bits)] = bits
-    return frequent.sparkSession.sparkContext.broadcast(bytes(table))
-
-
 def _bytes(found: Words, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Bytes of the ranges [first, first + length), one after the other."""
     ends = np.cumsum(lengths)
@@ -155,14 +117,14 @@ def _materialise(docs: DataFrame, words: int, given: list[Broadcast]) -> DataFra
     A row with zero words has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(given)
+        tables = opened(given)
         for found, own, of, names in _buffers(batches, words):
             ids = _word_ids(found)
             mine = np.bincount(of[found.begin < own], minlength=len(names))
             yield batch(names, 0, [""] * len(names), mine)
             for n in range(1, words + 1):
                 at, keys = _places(found, own, of, names, tables, n)
-                keep = _holds(tables[n - 1], keys)
+                keep = holds(tables[n - 1], keys)
                 at, keys = at[keep], keys[keep]
                 _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
                 pointer = at[first][inverse]
@@ -192,7 +154,7 @@ def phrase_counts(docs: DataFrame, words: int = 3, least: int = 10) -> DataFrame
     given: list[Broadcast] = []
     for n in range(1, words + 1):
         frequent = _count(texts, n, words, given).groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-        given.append(_table(frequent))
+        given.append(bit_table(frequent))
     counted = _materialise(texts, words, given).groupBy("lang", "words", "phrase").agg(F.sum("c").alias("f"))
     return counted.where(f"words = 0 or f >= {int(least)}")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerkeep.llm import chat, collocations, cover_codes, decontaminate, language, licenses, line_dedup, mixing, multi_index, quality, simhash, token_blocks
+from ledgerkeep.llm import chat, collocations, cover_codes, decontaminate, jaccard, language, licenses, line_dedup, mixing, multi_index, quality, simhash, token_blocks
 from ledgerkeep.session import staging_path
 from ledgerkeep.sources.tables import table
 
@@ -140,3 +140,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_cover_codes")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return cover_codes.codes(table(spark, sf, "embeddings", "vec_id", "embedding", "label")).drop("label")
+
+
+@query("op12_jaccard_join")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf, "documents", "doc_id", "text"), size=4, share=85)

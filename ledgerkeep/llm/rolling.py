@@ -8,12 +8,13 @@ coefficients, and bytes are looked up in a table of odd random numbers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-
-from ledgerkeep.llm.common import binary
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -55,9 +56,11 @@ def between(prefixes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 class Words:
-    """The words of a buffer: byte ranges, the piece each stands in (pieces end at ``breaks``), and fingerprints."""
+    """The words of a buffer: byte ranges, the piece each stands in, and fingerprints.
+
+    Pieces end at the bytes of ``breaks``, or at the given places ``ends`` (each must be a blank or a break)."""
 
-    def __init__(self, buffer: bytes, blanks: bytes, breaks: bytes):
+    def __init__(self, buffer: bytes, blanks: bytes, breaks: bytes = b"", ends: np.ndarray | None = None):
         self.bytes = _LOWER[np.frombuffer(buffer, dtype=np.uint8)]
         kind = np.zeros(256, dtype=np.uint8)
         kind[list(blanks)] = 1
@@ -67,7 +70,7 @@ class Words:
         inside[1:-1] = kinds == 0
         edge = np.diff(inside)
         self.begin, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.piece = np.searchsorted(np.flatnonzero(kinds == 2), self.begin)
+        self.piece = np.searchsorted(np.flatnonzero(kinds == 2) if ends is None else ends, self.begin)
         self.fp = mixed(between(prefix(_SYMBOL[self.bytes]), self.begin, self.end))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,3 +86,41 @@ class Words:
     def text(self, place: int, n: int) -> str:
         """The words of one run, joined by single spaces."""
         return " ".join(self.bytes[self.begin[i] : self.end[i]].tobytes().decode("utf-8", "replace") for i in range(place, place + n))
+
+
+def cuts(text: bytes, words: int, separators: bytes, limit: int) -> Iterator[tuple[bytes, int]]:
+    """A text in pieces of about ``limit`` bytes that begin and end between words: (bytes, how many are its own).
+    After its own bytes a piece shows the next ``words`` - 1 words, so that runs across a cut are seen once."""
+    of = re.escape(separators)
+    separator, ahead = re.compile(rb"[%s]" % of), re.compile(rb"(?:[%s]+[^%s]+){0,%d}" % (of, of, words - 1))
+    begin = 0
+    while begin < len(text):
+        found = separator.search(text, begin + limit)
+        end = found.start() if found else len(text)
+        yield text[begin : ahead.match(text, end).end()], end - begin
+        begin = end
+
+
+#: Bits of a table of fingerprints (2^27: 16 MB, whatever the corpus).
+TABLE_BITS = 27
+
+
+def holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a bit table may hold the keys: yes for all that it was made from, and for some others."""
+    bit = keys & np.uint64((1 << TABLE_BITS) - 1)
+    return (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def bit_table(keys: DataFrame) -> Broadcast:
+    """The bit table of the column ``key``, of fixed size, for all tasks."""
+    bit = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    table = bytearray(1 << (TABLE_BITS - 3))
+    for part, bits in rows:
+        begin = (part - 1) * 4096
+        table[begin : begin + len(bits)] = bits
+    return keys.sparkSession.sparkContext.broadcast(bytes(table))
+
+
+def opened(tables: list[Broadcast]) -> list[np.ndarray]:
+    return [np.frombuffer(t.value, dtype=np.uint8) for t in tables]
