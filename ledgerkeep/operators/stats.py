@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkeep.functions.hashing import draw32
 from ledgerkeep.operators.ordered import MIN_HOT_ROWS, rank_in_group, running_sum
 from ledgerkeep.operators.sizing import broadcast_if_small
 from ledgerkeep.session import cut
 
-LOOKUP_VALUES = 100_000
-REPEAT_CHUNKS = 64
+#: Places of a leaf of the bootstrap's tree (part of the scheme), and places that a task resamples at once.
+BOOTSTRAP_LEAF, BOOTSTRAP_BUCKET = 32, 4096
 
 
 def prediction_errors(rows: DataFrame) -> DataFrame:
@@ -63,51 +66,83 @@ def negative_detection(rows: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=1 << 14)
+def _cumulative(m: int, left: int, size: int) -> tuple[int, np.ndarray]:
+    """P(at most k of m draws fall into the first ``left`` of ``size`` places) for k from the returned one, ten deviations
+    and ten more to either side of the mean."""
+    p = left / size
+    q, mode = 1 - p, min(m, int((m + 1) * p))
+    reach = 10 * (m * p * q) ** 0.5 + 10
+    low, high = max(0, int(mode - reach)), min(m, int(mode + reach))
+    up, down = np.arange(mode, high, dtype=np.float64), np.arange(mode, low, -1, dtype=np.float64)
+    rising = np.cumprod((m - up) / (up + 1) * (p / q))
+    falling = np.cumprod(down / (m - down + 1) * (q / p))
+    weights = np.concatenate([falling[::-1], [1.0], rising])
+    return low, np.cumsum(weights) / weights.sum()
+
+
+def _word(*parts: int) -> bytes:
+    return hashlib.md5(":".join(map(str, parts)).encode()).digest()
+
+
+def _resampled(values: np.ndarray, start: int, n: int, repeats: int, seed: int) -> np.ndarray:
+    """For each repeat, the sum of drawn values at the places [start, start + len(values)) of n."""
+    end, sums = start + len(values), np.zeros(repeats)
+
+    def down(lo: int, hi: int, drawn: list[int]) -> None:
+        if hi <= start or lo >= end:
+            return
+        size = hi - lo
+        if size > BOOTSTRAP_LEAF:
+            mid, left = (lo + hi) // 2, []
+            for r, m in enumerate(drawn):
+                least, upto = _cumulative(m, mid - lo, size)
+                u = (int.from_bytes(_word(seed, r, lo, hi)[:4], "big") + 0.5) / 4294967296
+                left.append(min(m, least + int(np.searchsorted(upto, u))))
+            down(lo, mid, left)
+            down(mid, hi, [m - k for m, k in zip(drawn, left)])
+            return
+        inside = np.zeros(size)
+        a, b = max(lo, start), min(hi, end)
+        inside[a - lo : b - lo] = values[a - start : b - start]
+        for r, m in enumerate(drawn):
+            words = b"".join(_word(seed, r, lo, hi, j) for j in range(-(-m // 4)))
+            sums[r] += inside[np.frombuffer(words, dtype=">u4")[:m] % size].sum()
+
+    down(0, n, [n] * repeats)
+    return sums
+
+
 def paired_bootstrap(
-    differences: DataFrame, keys: Sequence[str], repeats: int, seed: int, lookup_values: int = LOOKUP_VALUES
+    differences: DataFrame, keys: Sequence[str], repeats: int, seed: int, bucket: int = BOOTSTRAP_BUCKET, min_rows: int = MIN_HOT_ROWS
 ) -> DataFrame:
     """Mean difference per key with a percentile 95% interval over resampled trajectories.
 
-    ``differences``: keys, trajectory_id, difference. Draw (repeat, slot) takes trajectory number
-    md5(seed:repeat:slot) mod n. A group's values travel as an array while they number at most
-    ``lookup_values``; larger groups are resampled by a join on the trajectory number.
+    ``differences``: keys, trajectory_id, difference. The n trajectories of a key stand in the order of their ids; a repeat
+    draws n of them with replacement. The draws are split down a binary tree over the places: of the m draws of a node
+    [lo, hi) its left half gets the u-quantile of the binomial distribution, u from md5(seed:repeat:lo:hi). A leaf of at most
+    BOOTSTRAP_LEAF places takes draw j from word j mod 4 of md5(seed:repeat:lo:hi:j div 4), modulo its places. The tree depends
+    on n alone, so any task can walk to the places it holds: trajectories are cut into buckets of ``bucket`` places, and
+    a bucket hands on one sum per repeat. How they are cut does not change the draws.
     """
     keys = list(keys)
-    sizes = differences.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("difference").alias("mean_difference"))
-    top = sizes.agg(F.max("n").alias("top")).first().top or 0
-    repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-
-    def pick(r, slot, n):
-        return F.pmod(draw32(F.lit(seed), r, slot), n)
-
-    if top <= lookup_values:
-        arrays = differences.groupBy(*keys).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("trajectory_id", "difference"))), lambda e: e.difference).alias("d")
-        )
-        # the array is shuffled once per chunk of repeats, not once per repeat
-        chunk = F.explode(F.sequence(F.lit(0), F.lit(min(repeats, REPEAT_CHUNKS) - 1))).alias("chunk")
-        step = F.sequence(F.col("chunk"), F.lit(repeats - 1), F.lit(min(repeats, REPEAT_CHUNKS)))
-        draws = arrays.select(*keys, "d", chunk).repartition(*keys, "chunk").select(*keys, "d", F.explode(step).alias("repeat"))
-        total = F.aggregate(
-            F.sequence(F.lit(0), F.size("d") - 1),
-            F.lit(0.0),
-            lambda s, i: s + F.get("d", pick(F.col("repeat"), i, F.size("d")).cast("int")),
-        )
-        means = draws.select(*keys, (total / F.size("d")).alias("m"))
-    else:
-        numbered = rank_in_group(differences, keys, [F.col("trajectory_id")], "number")
-        slots = numbered.join(sizes.select(*keys, "n"), keys).select(*keys, (F.col("number") - 1).alias("slot"), "n", repeat)
-        drawn = (
-            slots.select(*keys, "repeat", pick(F.col("repeat"), F.col("slot"), F.col("n")).alias("number"))
-            .groupBy(*keys, "repeat", "number")
-            .agg(F.count("*").alias("times"))
-        )
-        values = numbered.select(*keys, (F.col("number") - 1).alias("number"), "difference")
-        means = (
-            drawn.join(values, [*keys, "number"])
-            .groupBy(*keys, "repeat")
-            .agg((F.sum(F.col("times") * F.col("difference")) / F.sum("times")).alias("m"))
-        )
+    numbered = cut(rank_in_group(differences, keys, [F.col("trajectory_id")], "number", min_rows))
+    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("difference").alias("mean_difference"))
+    placed = numbered.join(broadcast_if_small(sizes.select(*keys, "n")), keys).withColumn("bucket", F.floor((F.col("number") - 1) / bucket))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in differences.schema.fields if f.name in keys]
+
+    def resample(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("number")
+        sums = _resampled(rows["difference"].to_numpy(np.float64), int(rows["number"].iloc[0]) - 1, int(rows["n"].iloc[0]), repeats, seed)
+        return pd.DataFrame({**dict(zip(named, group)), "repeat": np.arange(repeats, dtype=np.int32), "s": sums, "n": int(rows["n"].iloc[0])})
+
+    named = [f.name for f in differences.schema.fields if f.name in keys]
+    sums = (
+        placed.select(*named, "bucket", "number", "difference", "n")
+        .groupBy(*named, "bucket")
+        .applyInPandas(resample, ", ".join([*kinds, "repeat int", "s double", "n long"]))
+    )
+    means = sums.groupBy(*keys, "repeat").agg((F.sum("s") / F.first("n")).alias("m"))
     ends = means.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return ends.join(sizes, keys).select(
         *keys,

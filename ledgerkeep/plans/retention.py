@@ -345,8 +345,18 @@ PRIMARY = """prim AS (SELECT candidate, trajectory_id, avg(em) AS em FROM pt WHE
 BOOT = """diffs AS (SELECT a.candidate AS candidate_a, b.candidate AS candidate_b, a.trajectory_id, a.em - b.em AS d
    FROM prim a JOIN prim b USING (trajectory_id) WHERE a.candidate = 'importance' AND b.candidate IN ('recency', 'random', 'full')),
 darr AS (SELECT candidate_a, candidate_b, list(d ORDER BY trajectory_id) AS d, count(*) AS n, avg(d) AS m FROM diffs GROUP BY 1,2),
-draws AS (SELECT candidate_a, candidate_b, r.range AS r, avg(d[1 + CAST(('0x'||substr(md5('7:'||r.range||':'||s.range),1,8)) AS BIGINT) % n]) AS bm
-   FROM darr, range(200) r, range((SELECT max(n) FROM darr)) s WHERE s.range < n GROUP BY 1,2,3)"""
+tree AS (SELECT DISTINCT n, r.range AS r, CAST(0 AS BIGINT) AS lo, n AS hi, n AS m FROM darr, range(200) r
+   UNION ALL
+   SELECT n, r, CASE side WHEN 0 THEN lo ELSE (lo + hi) // 2 END, CASE side WHEN 0 THEN (lo + hi) // 2 ELSE hi END, CASE side WHEN 0 THEN k ELSE m - k END
+   FROM (SELECT *, least(m, len(list_filter(upto, lambda c: c < u))) AS k
+     FROM (SELECT *, (CAST(('0x'||substr(md5('7:'||r||':'||lo||':'||hi),1,8)) AS BIGINT) + 0.5) / 4294967296.0 AS u,
+             list_transform(range(m + 1), lambda k: list_sum(list_slice(pmf, 1, CAST(k AS INT) + 1))) AS upto
+       FROM (SELECT *, list_transform(range(m + 1), lambda k: exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1)
+               + k * ln(((lo + hi) // 2 - lo) / (hi - lo)) + (m - k) * ln((hi - (lo + hi) // 2) / (hi - lo)))) AS pmf FROM tree WHERE hi - lo > 32))),
+     (VALUES (0), (1)) s(side)),
+picks AS (SELECT n, r, lo + CAST(('0x'||substr(md5('7:'||r||':'||lo||':'||hi||':'||(j // 4)), 1 + 8 * CAST(j % 4 AS INT), 8)) AS BIGINT) % (hi - lo) AS place
+   FROM (SELECT *, unnest(range(m)) AS j FROM tree WHERE hi - lo <= 32 AND m > 0)),
+draws AS (SELECT candidate_a, candidate_b, r, avg(d[place + 1]) AS bm FROM darr JOIN picks USING (n) GROUP BY 1,2,3)"""
 
 
 @query(

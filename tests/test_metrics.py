@@ -1,3 +1,6 @@
+import hashlib
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,13 +88,59 @@ def test_spearman_and_percentiles(spark, hot):
 
 def test_bootstrap(spark):
     df = spark.createDataFrame([("t1", -0.5), ("t2", 0.5)], "trajectory_id string, difference double").withColumn("k", F.lit("x"))
-    for lookup in (100, 0):  # array lookup, then the join for groups too large to travel as an array
-        r = stats.paired_bootstrap(df, ["k"], 400, 7, lookup_values=lookup).first()
-        assert (r.mean_difference, r.ci_low, r.ci_high, r.verdict) == (0.0, -0.5, 0.5, "inconclusive")
+    r = stats.paired_bootstrap(df, ["k"], 400, 7).first()
+    assert (r.mean_difference, r.ci_low, r.ci_high, r.verdict) == (0.0, -0.5, 0.5, "inconclusive")
     rng = np.random.default_rng(1)
-    many = spark.createDataFrame([("x", f"t{i:03d}", float(v)) for i, v in enumerate(rng.normal(size=50))], "k string, trajectory_id string, difference double")
-    a, b = (stats.paired_bootstrap(many, ["k"], 100, 3, lookup_values=n).first() for n in (100, 0))
-    assert abs(a.ci_low - b.ci_low) < 1e-12 and abs(a.ci_high - b.ci_high) < 1e-12
+    rows = [(k, f"t{i:04d}", float(v)) for k, n in (("x", 50), ("y", 333)) for i, v in enumerate(rng.normal(size=n))]
+    many = spark.createDataFrame(rows, "k string, trajectory_id string, difference double")
+    one, cut_up = (sorted(map(tuple, stats.paired_bootstrap(many, ["k"], 100, 3, bucket=size, min_rows=rows).collect())) for size, rows in ((10_000, 10_000), (7, 20)))
+    assert all(a[:2] == b[:2] and max(abs(x - y) for x, y in zip(a[2:5], b[2:5])) < 1e-12 for a, b in zip(one, cut_up)) and len(one) == 2
+
+
+def brute_counts(n, seed, repeat):
+    """How often each of n places is drawn, by the scheme's words alone."""
+    from math import comb
+
+    def word(*parts):
+        return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+
+    times, nodes = [0] * n, [(0, n, n)]
+    while nodes:
+        lo, hi, m = nodes.pop()
+        if hi - lo <= 32:
+            for j in range(m):
+                times[lo + int(word(seed, repeat, lo, hi, j // 4)[8 * (j % 4) : 8 * (j % 4) + 8], 16) % (hi - lo)] += 1
+            continue
+        mid = (lo + hi) // 2
+        p, u, k, upto = Fraction(mid - lo, hi - lo), Fraction(2 * int(word(seed, repeat, lo, hi)[:8], 16) + 1, 1 << 33), 0, Fraction(0)
+        while k < m:
+            upto += comb(m, k) * p**k * (1 - p) ** (m - k)
+            if upto >= u:
+                break
+            k += 1
+        nodes += [(lo, mid, k), (mid, hi, m - k)]
+    return times
+
+
+def test_bootstrap_draws_follow_the_tree_whatever_the_buckets():
+    n, repeats = 150, 6
+    exact = np.array([brute_counts(n, 5, r) for r in range(repeats)])
+    assert (exact.sum(axis=1) == n).all()
+    one_by_one = np.array([stats._resampled(np.ones(1), i, n, repeats, 5) for i in range(n)]).T
+    assert (one_by_one == exact).all()
+    values = np.random.default_rng(2).normal(size=n)
+    parts = sum(stats._resampled(values[i : i + 13], i, n, repeats, 5) for i in range(0, n, 13))
+    assert np.allclose(parts, exact @ values, atol=1e-12)
+
+
+def test_bootstrap_counts_are_multinomial():
+    n, repeats = 2000, 300
+    counts = np.array([stats._resampled(np.ones(1), i, n, repeats, 9) for i in (0, 700, 1999)])
+    assert abs(counts.mean() - 1) < 0.1 and abs(counts.var() - 1) < 0.2
+    halves = stats._resampled(np.ones(n // 2), 0, n, repeats, 9)
+    assert abs(halves.mean() - n / 2) < 5 and 0.7 < halves.var() / (n / 4) < 1.4
+    low, upto = stats._cumulative(10**9, 1, 3)  # wide nodes take a window, not all their draws
+    assert len(upto) < 10**6 and abs(upto[-1] - 1) < 1e-12 and abs(low + int(np.searchsorted(upto, 0.5)) - 10**9 / 3) < 3
 
 
 def test_unpaired_trajectories_are_rejected(spark):
