@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Vectors are cut in two halves, each quantised by its own ``CENTROIDS`` centres, so the pairs of centres are the cells.
+Vectors are cut in two halves, each quantised by its own centres, so the pairs of centres are the cells. Each half of an
+entry gets one more component, the root of M^2 less its squared norm, M being the largest norm of that half; a query's halves
+get a zero there. Then the sum of the two squared distances orders entries as the inner product does, whatever their norms.
 A query walks the cells by the sum of its two squared distances, nearest first, with a heap over pairs, until the cells
 seen hold ``SHARE`` of all distinct vectors. The entries of those cells are reranked by the exact inner product of the
 original vectors. Repeats of a vector count once towards the share, so a cell of copies does not use it up.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ledgerkeep.llm.common import stage
 
-CENTROIDS = 32
+#: Centres of a half: the root of the entries over ROOT, between these.
+CENTROIDS, ROOT, MOST = 32, 7, 256
 #: About so many vectors, chosen by hash, fit the centres.
 SAMPLE = 20_000
 #: Of the distinct vectors, in the cells that a query visits. Random 64-dimensional vectors need this much for 0.95.
@@ -35,14 +39,12 @@ ROUNDS = 12
 def valid(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that can take part, one per vec_id (the least vector of a repeated id).
 
-    Null ids, and vectors that are null, empty, zero or hold a null or non-finite component, take no part; nor do
-    vectors of another length than the most frequent one.
+    Null ids, and vectors that are null, empty, zero or hold a null or non-finite component, take no part.
     """
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     known = vectors.select("vec_id", x.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & x.isNotNull() & finite & F.exists(x, lambda v: v != 0))
-    lengths = known.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    return known.where(F.size("embedding") == (lengths.length if lengths else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return known.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -66,26 +68,50 @@ def _centres(x: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-def fit(entries: DataFrame, k: int = CENTROIDS, rows: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Centres of the first and second half, from a sample of about ``rows`` vectors chosen by the hash of their id."""
-    total = entries.count()
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, rows x centres."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ centres.T) + (centres**2).sum(1), 0)
+
+
+class Halves:
+    """Centres of both halves, with the added component."""
+
+    def __init__(self, half: int, most: tuple[float, float]):
+        self.half, self.most = half, most
+        self.first = self.second = np.zeros((0, 0))
+
+    def entries(self, x: np.ndarray) -> list[np.ndarray]:
+        parts = (x[:, : self.half], x[:, self.half :])
+        return [np.hstack([p, np.sqrt(np.maximum(m - (p * p).sum(1), 0))[:, None]]) for p, m in zip(parts, self.most)]
+
+    def queries(self, x: np.ndarray) -> list[np.ndarray]:
+        return [np.hstack([p, np.zeros((len(x), 1))]) for p in (x[:, : self.half], x[:, self.half :])]
+
+
+def fit(entries: DataFrame, k: int, rows: int = SAMPLE) -> Halves:
+    """Largest norms over all entries; centres from a sample of about ``rows`` vectors chosen by the hash of their id."""
+    x = F.col("embedding")
+    total, length = entries.agg(F.count("*"), F.max(F.size(x))).first()
+    half = length // 2
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
+    most = entries.agg(F.max(square(F.slice(x, 1, half))), F.max(square(F.slice(x, half + 1, length - half)))).first()
+    halves = Halves(half, (float(most[0]), float(most[1])))
     share = min(1.0, rows / max(1, total))
     some = entries.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("embedding").toArrow()
-    x = np.vstack([_matrix(c) for c in some.column("embedding").chunks if len(c)])
-    half = x.shape[1] // 2
-    return _centres(x[:, :half], k), _centres(x[:, half:], k)
+    sample = halves.entries(np.vstack([_matrix(c) for c in some.column("embedding").chunks if len(c)]))
+    halves.first, halves.second = (_centres(h, k) for h in sample)
+    return halves
 
 
-def assign(entries: DataFrame, first: np.ndarray, second: np.ndarray) -> DataFrame:
+def assign(entries: DataFrame, halves: Halves) -> DataFrame:
     """``entries`` with the centres ``a`` and ``b`` of their halves."""
-    half = first.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("embedding"))
-            a, b = _nearest(x[:, :half], first), _nearest(x[:, half:], second)
+            first, second = halves.entries(_matrix(batch.column("embedding")))
+            a, b = _nearest(first, halves.first), _nearest(second, halves.second)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["vec_id", "embedding", "a", "b"])
 
     return entries.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, a int, b int")
@@ -113,19 +139,28 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, share: float = SHARE, centroids: int = CENTROIDS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, share: float = SHARE, centroids: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest found for each query, by largest inner product.
 
     ``vectors`` has vec_id and embedding; ``queries`` has vec_id, and those of them that are among the valid vectors
-    are asked. A query's own id is no candidate. Ties go to the smaller vec_id. Fewer candidates than ``k`` give all
-    that there are. Without valid vectors the result is empty.
+    are asked. A query's own id is no candidate, nor are vectors of another length: each length is searched by itself.
+    Ties go to the smaller vec_id. Fewer candidates than ``k`` give all that there are. Without valid vectors the
+    result is empty.
     """
     spark = vectors.sparkSession
     entries = stage(valid(vectors), "vectors")
-    if entries.isEmpty():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    first, second = fit(entries, centroids)
-    placed = stage(assign(entries, first, second), "multi-index")
+    asked = stage(entries.join(queries.select("vec_id").distinct(), "vec_id", "left_semi"), "asked")
+    lengths = sorted(r[0] for r in entries.select(F.size("embedding")).distinct().collect())
+    found = [_search(*(d.where(F.size("embedding") == n) if len(lengths) > 1 else d for d in (entries, asked)), k, share, centroids) for n in lengths]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(entries: DataFrame, asked: DataFrame, k: int, share: float, centroids: int | None) -> DataFrame:
+    """The same for valid vectors of one length."""
+    spark = entries.sparkSession
+    halves = fit(entries, centroids or int(min(MOST, max(CENTROIDS, entries.count() ** 0.5 / ROOT))))
+    first, second = halves.first, halves.second
+    placed = stage(assign(entries, halves), "multi-index")
     marks = placed.groupBy("a", "b", F.xxhash64("embedding").alias("mark")).agg(F.count("*").alias("n"))
     cells = marks.groupBy("a", "b").agg(F.count("*").alias("distinct"), F.sum("n").alias("rows")).collect()
     weight = np.zeros((len(first), len(second)))
@@ -137,15 +172,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, share: float = SHARE,
     enough = max(share * weight.sum(), float(min(k + 1, weight.sum()))) if total > 4 * k else float("inf")
     pieces = {a: -(-n // PIECE) for a, n in lists.items()}
     count = F.element_at(F.from_json(F.lit("{" + ",".join(f'"{a}":{n}' for a, n in pieces.items()) + "}"), "map<string,int>"), F.col("a").cast("string"))
-    half = first.shape[1]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("embedding"))
-            da = ((x[:, None, :half] - first) ** 2).sum(-1)
-            db = ((x[:, None, half:] - second) ** 2).sum(-1)
+            da, db = (_distances(h, c) for h, c in zip(halves.queries(x), (first, second)))
             row, a, visited = [], [], []
             for i in range(len(x)):
                 found: dict[int, list[int]] = {}
@@ -161,7 +194,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, share: float = SHARE,
                 ["vec_id", "embedding", "a", "visited"],
             )
 
-    asked = entries.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
     visits = asked.repartition(max(spark.sparkContext.defaultParallelism, 1)).mapInArrow(visit, "vec_id long, embedding array<double>, a int, visited array<int>")
     unit = ["a", "piece"]
     held = placed.select("a", F.pmod(F.xxhash64("vec_id", F.lit(7)), count).cast("int").alias("piece"), F.lit(0).alias("kind"), "vec_id", "embedding", F.array("b").alias("cells"))

@@ -1,6 +1,7 @@
 import heapq
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerkeep.llm import multi_index as mi
@@ -67,3 +68,37 @@ def test_odd_vectors_take_no_part(spark):
     assert mi.search(df.where(F.lit(False)), df, 20).collect() == []
     assert mi.search(df.where("vec_id = 3"), df, 20).collect() == []
     assert mi.search(df.where("vec_id = 0"), df, 20).collect() == []
+
+
+def given(kind, n=2500):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, 1 if kind == "one" else 32))
+    if kind == "clusters":
+        x = rng.normal(size=(25, 32))[rng.integers(25, size=n)] + 0.2 * x
+    if kind != "one":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x * np.exp(rng.normal(size=(n, 1)) * {"half": 0.5, "whole": 1.0}.get(kind, 0.0))
+
+
+@pytest.mark.parametrize("kind", ["unit", "half", "whole", "one", "clusters"])
+def test_recall_whatever_the_norms(spark, kind):
+    x = given(kind)
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in ids], "vec_id long, embedding array<double>").repartition(4)
+    asked = ids[::20]
+    found = {}
+    for r in mi.search(df, df.where("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    expected = brute(ids, x, asked, 20)
+    assert sum(len(found[q] & {v for v, _ in best}) for q, best in expected.items()) >= 0.9 * 20 * len(asked)
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 5] * 30
+    x = [rng.normal(size=s) for s in sizes]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = mi.search(df, df.where("vec_id % 20 = 0"), 20, share=1.0).collect()
+    for q in range(0, 90, 20):
+        near = sorted((-float((x[i] * x[q]).sum()), i) for i in range(90) if i != q and sizes[i] == sizes[q])[:20]
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [i for _, i in near]
