@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerkeep.operators.ordered import MIN_HOT_ROWS, rank_in_group, running_sum
-from ledgerkeep.operators.similarity import SCORE_DIGITS, _blocked, _unit
+from ledgerkeep.operators.similarity import SCORE_DIGITS, _blocked, unit
 from ledgerkeep.operators.sizing import broadcast_if_small, largest_group
 
 PAIR_LIMIT = 256

@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerkeep.operators.cells import CELL_ROWS, meetings, unit
 from ledgerkeep.operators.ordered import MIN_HOT_ROWS, rank_in_group
 from ledgerkeep.operators.sizing import broadcast_if_small, largest_group
 from ledgerkeep.session import cut
 
-MIN_NORM = 1e-12
 BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 2048
 BATCH_ROWS = 4096
@@ -26,11 +26,6 @@ PAIRS_PER_ROW = 64
 SCORE_DIGITS = 12
 
 
-def _unit(vectors) -> np.ndarray:
-    m = np.asarray(np.stack(list(vectors)), dtype=np.float64) if len(vectors) else np.zeros((0, 1))
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), MIN_NORM)
-
-
 # --- search -----------------------------------------------------------------------------------------------
 
 
@@ -63,14 +58,14 @@ def _scan_schema(records: DataFrame, queries: DataFrame) -> str:
 
 def _scan_broadcast(records: DataFrame, queries: DataFrame, keep: int | None) -> DataFrame:
     rows = queries.orderBy("query_id").toPandas()  # bounded by the caller's check
-    shared = records.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["vector"])))
+    shared = records.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), unit(rows["vector"])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = shared.value
         running: pd.DataFrame | None = None
         for batch in batches:
             if len(batch) and len(names):
-                scores = np.round(_unit(batch["vector"]) @ q.T, SCORE_DIGITS)
+                scores = np.round(unit(batch["vector"]) @ q.T, SCORE_DIGITS)
                 part = _partial(scores, batch["memory_id"].to_numpy(), names, keep)
                 if keep is None:
                     yield part
@@ -105,7 +100,7 @@ def _scan_blocks(records: DataFrame, queries: DataFrame, keep: int | None, block
         asks, known = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         if not len(asks) or not len(known):
             return pd.DataFrame({"query_id": [], "memory_id": [], "score": []})
-        scores = np.round(_unit(known["vector"]) @ _unit(asks["vector"]).T, SCORE_DIGITS)
+        scores = np.round(unit(known["vector"]) @ unit(asks["vector"]).T, SCORE_DIGITS)
         return _partial(scores, known["memory_id"].to_numpy(), asks["query_id"].to_numpy(), keep)
 
     return left.unionByName(right).groupBy("_i", "_j").applyInPandas(meet, _scan_schema(records, queries))
@@ -154,36 +149,31 @@ def _blocked(df: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     return df.join(broadcast_if_small(sizes), keys).withColumn("_b", F.pmod(F.xxhash64("memory_id"), F.col("_blocks")).cast("int"))
 
 
-def similar_pairs(df: DataFrame, keys: list[str], threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(df: DataFrame, keys: list[str], threshold: float, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Pairs (memory_a < memory_b) of a group with cosine ≥ threshold.
 
-    A group of n rows becomes ⌈n/block⌉ blocks, and each pair of blocks is one small product. Only pairs above the
-    threshold leave it.
+    Rows of large groups meet only in cells that they can reach (``cells``); only pairs above the threshold leave a unit.
     """
-    return _pair_blocks(df, keys, threshold, block_rows, count_only=False)
+    return _pair_blocks(df, keys, threshold, block_rows, count_only=False, cell_rows=cell_rows)
 
 
-def _pair_blocks(df: DataFrame, keys: list[str], threshold: float, block_rows: int, count_only: bool) -> DataFrame:
+def _pair_blocks(df: DataFrame, keys: list[str], threshold: float, block_rows: int, count_only: bool, cell_rows: int = CELL_ROWS) -> DataFrame:
     types = dict(df.dtypes)
-    blocked = _blocked(df.select(*keys, "memory_id", "vector"), keys, block_rows)
-    # block b meets blocks 0..b as the second and b..last as the first
-    placed = blocked.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        *keys, "memory_id", "vector", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")
-    )
+    placed = meetings(df.select(*keys, "memory_id", "vector"), keys, threshold, None, block_rows, cell_rows)
     key_schema = "".join(f"{k} {types[k]}, " for k in keys)
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        left = pdf[pdf["_b"] == i]
-        right = left if i == j else pdf[pdf["_b"] == j]
+        inner, i, j = pdf["_inner"].iloc[0], pdf["_i"].iloc[0], pdf["_j"].iloc[0]
+        left = pdf[~pdf["_guest"] & (pdf["_b"] == i)]
+        right = pdf[pdf["_guest"]] if not inner else left if i == j else pdf[pdf["_b"] == j]
         group = {k: pdf[k].iloc[0] for k in keys}
         if not len(left) or not len(right):
             hits = np.zeros((0, 2), dtype=int)
             sims = np.zeros((len(left), len(right)))
         else:
-            sims = np.clip(np.round(_unit(left["vector"]) @ _unit(right["vector"]).T, SCORE_DIGITS), -1, 1)
+            sims = np.clip(np.round(unit(left["vector"]) @ unit(right["vector"]).T, SCORE_DIGITS), -1, 1)
             near = sims >= threshold
-            if i == j:
+            if inner and i == j:
                 near &= np.triu(np.ones_like(near), 1)
             hits = np.argwhere(near)
         if count_only:
@@ -198,37 +188,26 @@ def _pair_blocks(df: DataFrame, keys: list[str], threshold: float, block_rows: i
         if count_only
         else f"{key_schema}memory_a {types['memory_id']}, memory_b {types['memory_id']}, similarity double"
     )
-    return placed.groupBy(*keys, "_i", "_j").applyInPandas(product, out)
+    return placed.groupBy(*keys, "_cell", "_inner", "_i", "_j").applyInPandas(product, out)
 
 
-def first_match(rows: DataFrame, reps: DataFrame, keys: list[str], threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def first_match(
+    rows: DataFrame, reps: DataFrame, keys: list[str], threshold: float, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """For each row the representative of smallest priority with cosine ≥ threshold: keys, memory_id, rep_priority.
 
-    One candidate per row and block of representatives leaves a task.
+    Rows visit the cells of representatives that they can reach. One candidate per row and block of representatives
+    leaves a task.
     """
     types = dict(rows.dtypes)
-    left = _blocked(rows.select(*keys, "memory_id", "vector"), keys, block_rows)
-    right = _blocked(reps.select(*keys, "memory_id", "vector", "priority"), keys, block_rows)
-    sizes_l = left.groupBy(*keys).agg(F.first("_blocks").alias("_lb"))
-    sizes_r = right.groupBy(*keys).agg(F.first("_blocks").alias("_rb"))
-
-    def attach(df: DataFrame, sizes: DataFrame) -> DataFrame:
-        return df.join(broadcast_if_small(sizes), keys)
-
-    l2 = attach(left, sizes_r).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_rb") - 1))).select(
-        *keys, "memory_id", "vector", F.lit(None).cast("long").alias("priority"), F.col("_b").alias("_i"), "_j"
-    )
-    r2 = attach(right, sizes_l).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_lb") - 1))).select(
-        *keys, "memory_id", "vector", "priority", "_i", F.col("_b").alias("_j")
-    )
+    placed = meetings(reps.select(*keys, "memory_id", "vector", "priority"), keys, threshold, rows, block_rows, cell_rows)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_rep = pdf["priority"].notna()
-        a, b = pdf[~is_rep], pdf[is_rep].sort_values("priority")
+        a, b = pdf[pdf["_guest"]], pdf[~pdf["_guest"]].sort_values("priority")
         group = {k: pdf[k].iloc[0] for k in keys}
         if not len(a) or not len(b):
             return pd.DataFrame({**{k: [] for k in keys}, "memory_id": [], "rep_priority": []})
-        near = np.round(_unit(a["vector"]) @ _unit(b["vector"]).T, SCORE_DIGITS) >= threshold
+        near = np.round(unit(a["vector"]) @ unit(b["vector"]).T, SCORE_DIGITS) >= threshold
         found = near.any(axis=1)
         first = near.argmax(axis=1)[found]
         return pd.DataFrame(
@@ -236,7 +215,7 @@ def first_match(rows: DataFrame, reps: DataFrame, keys: list[str], threshold: fl
         )
 
     schema = "".join(f"{k} {types[k]}, " for k in keys) + f"memory_id {types['memory_id']}, rep_priority long"
-    partial = l2.unionByName(r2).groupBy(*keys, "_i", "_j").applyInPandas(match, schema)
+    partial = placed.groupBy(*keys, "_cell", "_i", "_j").applyInPandas(match, schema)
     return partial.groupBy(*keys, "memory_id").agg(F.min("rep_priority").alias("rep_priority"))
 
 
@@ -319,8 +298,8 @@ def _greedy_in_task(window: DataFrame, keys: list[str], threshold: float) -> Dat
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("priority")
-        unit = _unit(pdf["vector"])
-        near = np.round(unit @ unit.T, SCORE_DIGITS) >= threshold
+        x = unit(pdf["vector"])
+        near = np.round(x @ x.T, SCORE_DIGITS) >= threshold
         owner = np.full(len(pdf), -1)
         for i in range(len(pdf)):
             if owner[i] < 0:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerkeep.operators import cells
 from ledgerkeep.operators import retrieval as ret
 from ledgerkeep.operators import similarity as sim
 
@@ -50,6 +51,30 @@ def test_parallel_rounds_equal_the_sequential_rule(data, monkeypatch):
     assert got == expected
 
 
+@pytest.mark.parametrize("threshold", [-0.5, 0.6, 0.97])
+def test_cells_lose_no_pair_and_compare_few(spark, threshold):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8))
+    v = centres[rng.integers(40, size=900)] + 0.04 * rng.normal(size=(900, 8))
+    v[:3] = 0
+    v[3:90] = v[3]  # copies
+    rows = [("h" if i % 3 else "g", int(i), [float(a) for a in x]) for i, x in enumerate(v)] + [("s", 5000, [1.0] * 8), ("s", 5001, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "g string, memory_id long, vector array<double>").repartition(3)
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    near = np.round(u @ u.T, 12) >= threshold
+    expected = {(i, j) for i in range(900) for j in np.flatnonzero(near[i]).tolist() if i < j and (i % 3 == 0) == (j % 3 == 0)} | {(5000, 5001)}
+    found = [(r.memory_a, r.memory_b) for r in sim.similar_pairs(df, ["g"], threshold, 64, 20).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    units = cells.meetings(df, ["g"], threshold, None, 64, 20)
+    if threshold > 0.9:
+        assert cells.compared(units, ["g"]) < 0.25 * (300 * 299 + 600 * 599) / 2
+    reps = df.where("memory_id % 7 = 0").withColumn("priority", F.col("memory_id") * -1)
+    firsts = {r.memory_id: r.rep_priority for r in sim.first_match(df, reps, ["g"], threshold, 64, 20).collect()}
+    for i in range(900):
+        hits = [-int(j) for j in np.flatnonzero(near[i]) if j % 7 == 0 and (i % 3 == 0) == (j % 3 == 0)]
+        assert firsts.get(i) == (min(hits) if hits else None)
+
+
 def test_similar_pairs_do_not_depend_on_blocks(data):
     v, _, df = data
     sims = np.round(v @ v.T, 12)
