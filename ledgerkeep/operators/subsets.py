@@ -1,26 +1,31 @@
-"""Exhaustive kept-set analysis for small snapshots: enumeration, exact optimum, ties, interactions.
+"""Kept-set analysis: exact optimum of any snapshot, enumeration, ties, interactions.
 
-A kept set is a bitmask over the snapshot's sorted memory ids, which turns set algebra into integer algebra.
-The number of sets doubles with each memory, so sizes are counted first and refused above a ceiling.
+The optimum needs no enumeration: items are taken by value density, states of equal cost and value are merged, and
+states that are dominated or whose bound falls short are dropped. Where every kept set is asked for, a set is a bitmask over
+the snapshot's sorted memory ids, which turns set algebra into integer algebra; their number doubles with each memory, and
+how many are allowed is up to the caller.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_MEMORIES = 16
+#: Bits of a mask; memories whose sets one row holds at once.
+MASK_BITS, ROW_BITS = 62, 12
 TIE_TOLERANCE = 1e-12
 
 
 def check_enumeration(items: DataFrame, max_sets: int | None = None) -> None:
-    """Raise before any set is built if a snapshot, or the whole run, is too large."""
+    """Raise before any set is built if the run has more sets than ``max_sets``, or a snapshot more memories than a mask has bits."""
     sizes = items.groupBy("snapshot_id").agg(F.count("*").alias("n"))
     seen = sizes.agg(F.max("n").alias("top"), F.sum(F.pow(F.lit(2.0), F.col("n"))).alias("sets")).first()
-    if (seen.top or 0) > MAX_MEMORIES:
-        raise ValueError(f"a snapshot has {seen.top} memories; at most {MAX_MEMORIES} can be enumerated")
+    if (seen.top or 0) > MASK_BITS:
+        raise ValueError(f"a snapshot has {seen.top} memories; a mask has {MASK_BITS} bits")
     if max_sets is not None and (seen.sets or 0) > max_sets:
         raise ValueError(f"{int(seen.sets)} sets exceed the ceiling of {max_sets}")
 
@@ -34,18 +39,36 @@ def enumerate_subsets(items: DataFrame, value: Column | None = None) -> DataFram
     entry = [F.col("memory_id").alias("id"), F.col("cost").cast("long").alias("cost")]
     entry.append((F.lit(0.0) if value is None else value.cast("double")).alias("value"))
     grouped = items.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("entries"))
-    masks = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.size("entries")).cast("long") - 1)
-    sets = grouped.withColumn("mask", F.explode(masks)).withColumn(
-        "picked", F.filter("entries", lambda e, i: _has(F.col("mask"), i))
+    # the sums of all sets of the first ROW_BITS memories and of the others, each by doubling: a set's sum is one of either
+    bits = lambda x: F.pow(F.lit(2.0), x).cast("long")
+    low = F.least(F.size("entries"), F.lit(ROW_BITS))
+
+    def lattice(part: Column, field: str, zero: Column) -> Column:
+        return F.aggregate(part, F.array(zero), lambda s, e: F.concat(s, F.transform(s, lambda x: x + e[field])))
+
+    first, rest = F.slice("entries", 1, ROW_BITS), F.slice("entries", ROW_BITS + 1, MASK_BITS)
+    fields = {"cost": F.lit(0).cast("long")} | ({} if value is None else {"value": F.lit(0.0)})
+    high = grouped.withColumns({f"_low_{f}": lattice(first, f, z) for f, z in fields.items()}).withColumn(
+        "_high", F.explode(F.sequence(F.lit(0).cast("long"), bits(F.size("entries") - low) - 1))
     )
+    picked = F.filter(rest, lambda e, i: _has(F.col("_high"), i))
+
+    def total(part: Column, field: str, zero: Column) -> Column:
+        return F.aggregate(part, zero, lambda s, e: s + e[field])
+
+    high = high.withColumns({f"_high_{f}": total(picked, f, z) for f, z in fields.items()})
+    sets = high.withColumn("_low", F.explode(F.sequence(F.lit(0).cast("long"), bits(low) - 1))).withColumn(
+        "mask", F.col("_high") * bits(F.lit(ROW_BITS)) + F.col("_low")
+    )
+    whole = {f: F.get(f"_low_{f}", F.col("_low").cast("int")) + F.col(f"_high_{f}") for f in fields}
     columns = [
         "snapshot_id",
         "mask",
-        F.transform("picked", lambda e: e.id).alias("storage_ids"),
-        F.aggregate("picked", F.lit(0).cast("long"), lambda s, e: s + e.cost).alias("store_tokens"),
+        F.transform(F.filter("entries", lambda e, i: _has(F.col("mask"), i)), lambda e: e.id).alias("storage_ids"),
+        whole["cost"].alias("store_tokens"),
     ]
     if value is not None:
-        columns.append(F.aggregate("picked", F.lit(0.0), lambda s, e: s + e.value).alias("value_sum"))
+        columns.append(whole["value"].alias("value_sum"))
     return sets.select(*columns)
 
 
@@ -75,10 +98,78 @@ def feasible_sets(sets: DataFrame, ratios: Sequence[float]) -> DataFrame:
     )
 
 
+def best_set(costs: Sequence[int], values: Sequence[float], budget: int, tolerance: float = TIE_TOLERANCE) -> tuple[list[int], int, int, Fraction]:
+    """The positions of the best set of items within a budget, its cost, how many sets share its value up to
+    ``tolerance``, and that value, all exact.
+
+    Order: value, then fewest tokens, fewest items, first positions. Items are taken by falling density. A state is a cost
+    and a value, with the number of sets that have both and the first of them. It goes if another one costs no more and
+    is worth more, or if the value that the remaining items can still add, taken in parts, does not reach the best known.
+    """
+    exact, slack = [Fraction(v) for v in values], Fraction(tolerance)
+    some = [i for i in range(len(costs)) if costs[i] <= budget and exact[i] >= -slack]
+    some.sort(key=lambda i: (costs[i] > 0, -(exact[i] / costs[i]) if costs[i] else 0, i))
+    last = len(costs) - 1
+    states: dict[tuple[int, Fraction], tuple[int, int, int]] = {(0, Fraction(0)): (1, 0, 0)}  # sets, items, first: its bits reversed and negated
+    best = Fraction(0)
+
+    def reachable(at: int, left: int) -> Fraction:
+        more = Fraction(0)
+        for i in some[at:]:
+            if costs[i] <= left:
+                left -= costs[i]
+                more += max(exact[i], Fraction(0))
+            else:
+                return more + max(exact[i], Fraction(0)) * Fraction(left, costs[i])
+        return more
+
+    for at, i in enumerate(some):
+        grown = dict(states)
+        for (cost, value), (count, size, first) in states.items():
+            if cost + costs[i] <= budget:
+                key = (cost + costs[i], value + exact[i])
+                old = grown.get(key)
+                one = (size + 1, first - (1 << (last - i)))
+                grown[key] = (count, *one) if old is None else (count + old[0], *min(old[1:], one))
+        best = max(best, max(v for _, v in grown))
+        states, top = {}, None
+        for cost, value in sorted(grown, key=lambda s: (s[0], -s[1])):
+            if top is not None and value < top - slack:
+                continue
+            top = value if top is None else max(top, value)
+            if value + reachable(at + 1, budget - cost) >= best - slack:
+                states[cost, value] = grown[cost, value]
+    top = max(v for _, v in states)
+    tied = {s: x for s, x in states.items() if s[1] >= top - slack}
+    (cost, _), (_, _, first) = min(tied.items(), key=lambda s: (s[0][0], s[1][1], s[1][2]))
+    return [i for i in range(len(costs)) if -first >> (last - i) & 1], cost, sum(x[0] for x in tied.values()), top
+
+
 def exact_plans(items: DataFrame, value: Column, ratios: Sequence[float]) -> DataFrame:
-    """For each snapshot and ratio the set with the largest sum of values."""
-    feasible = feasible_sets(enumerate_subsets(items, value), ratios)
-    return best_sets(feasible, ["snapshot_id", "budget_ratio", "budget_tokens"], F.col("value_sum"))
+    """For each snapshot and ratio the set with the largest sum of values (a missing value counts as zero): snapshot_id,
+    budget_ratio, budget_tokens, storage_ids, store_tokens, optimal_sets, top_score. Snapshots of any size."""
+    types = dict(items.dtypes)
+    entry = F.struct(F.col("memory_id").alias("id"), F.col("cost").cast("long").alias("cost"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"))
+    grouped = items.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    budget = F.transform(F.array(*[F.lit(float(r)) for r in ratios]), lambda r: F.floor(F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x.cost) * r))
+    rows = grouped.select("snapshot_id", F.col("e.id").alias("ids"), F.col("e.cost").alias("costs"), F.col("e.value").alias("values"), budget.alias("budgets"))
+    schema = (
+        f"snapshot_id {types['snapshot_id']}, budget_ratio double, budget_tokens long, storage_ids array<{types['memory_id']}>, "
+        "store_tokens long, optimal_sets long, top_score double"
+    )
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for row in batch.to_pylist():
+                for ratio, most in zip(ratios, row["budgets"]):
+                    chosen, cost, sets, top = best_set(row["costs"], row["values"], most)
+                    found.append((row["snapshot_id"], float(ratio), most, [row["ids"][i] for i in chosen], cost, sets, float(top)))
+            kinds = [batch.schema.field("snapshot_id").type, pa.float64(), pa.int64(), batch.schema.field("ids").type, pa.int64(), pa.int64(), pa.float64()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 7, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["snapshot_id", "budget_ratio", "budget_tokens", "storage_ids", "store_tokens", "optimal_sets", "top_score"])
+
+    return rows.mapInArrow(solve, schema)
 
 
 def tie_table(scored: DataFrame, value: str, outcome: str, ratios: Sequence[float], heuristic: DataFrame) -> DataFrame:

@@ -502,7 +502,6 @@ BEST = f"""SELECT snapshot_id, budget_ratio, {{agg}} FROM (SELECT *, max({{score
 )
 def g16(spark, sf):
     rows = bk.items(spark, sf)
-    sub.check_enumeration(rows)
     best = sub.exact_plans(rows, F.col("net"), bk.RATIOS)
     return best.select("snapshot_id", "budget_ratio", "optimal_sets", F.round("top_score", 2).alias("top_score"))
 
@@ -516,7 +515,6 @@ def g16(spark, sf):
 )
 def g17(spark, sf):
     rows = bk.items(spark, sf)
-    sub.check_enumeration(rows)
     best = sub.exact_plans(rows, F.col("net"), bk.RATIOS)
     return best.select("snapshot_id", "budget_ratio", "budget_tokens", bk.ids_text("storage_ids").alias("storage_ids"), "store_tokens")
 
