@@ -122,31 +122,69 @@ def admissible(batch: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def admit_batch(writes: DataFrame) -> DataFrame:
-    """Sequential admission inside one batch: seq, memory_id, supersedes plus ``admitted``.
+    """Sequential admission inside one batch: seq (unique), memory_id, supersedes plus ``admitted``.
 
     A row is admitted if it is the first admitted row of its id and its target is an earlier admitted row not yet
-    superseded by an admitted one. Start from "all admitted" and re-judge against the last verdict until nothing
-    changes: a verdict depends on earlier rows only, so the loop ends with the sequential answer after as many
-    rounds as rejections cascade.
+    superseded by an admitted one. A round judges rows by what is decided. A row that waits for one undecided row only
+    is a function of that row's verdict, given by its two values; chains of such functions are composed by pointer
+    doubling, so a chain of any length takes a logarithmic number of joins. The first undecided row of the log is decided in
+    every round; rows that wait for several others take further rounds.
     """
-    state = cut(writes.select("seq", "memory_id", "supersedes").withColumn("admitted", F.lit(True)))
+    state = cut(writes.select("seq", "memory_id", "supersedes", F.lit(None).cast("boolean").alias("admitted")))
+    while not state.where("admitted is null").isEmpty():
+        judged = _compose(cut(_judge(state)))
+        state = cut(judged.select("seq", "memory_id", "supersedes", "admitted"))
+    return state
+
+
+def _judge(state: DataFrame) -> DataFrame:
+    """Rows with what follows from decided rows: ``admitted``, or the only row ``dep`` it waits for, and its verdict if that
+    row is admitted (``yes``) or not (``no``); dep is NULL for a row that waits for several."""
+
+    def marks(column: str, prefix: str) -> DataFrame:
+        """Per value: the first admitted row, and the two first undecided ones."""
+        some = state.where(F.col(column).isNotNull() & F.coalesce("admitted", F.lit(True)))
+        first = some.groupBy(column).agg(F.min(F.when(F.col("admitted"), F.col("seq"))).alias(f"{prefix}t"), F.min(F.when(F.col("admitted").isNull(), F.col("seq"))).alias(f"{prefix}1"))
+        open_ = state.where(F.col(column).isNotNull() & F.col("admitted").isNull()).select(column, "seq")
+        second = open_.join(first.select(column, f"{prefix}1"), column).where(F.col("seq") > F.col(f"{prefix}1")).groupBy(column).agg(F.min("seq").alias(f"{prefix}2"))
+        return first.join(second, column, "left")
+
+    ids = cut(marks("memory_id", "i"))
+    targets = ids.select(F.col("memory_id").alias("supersedes"), F.col("it").alias("gt"), F.col("i1").alias("g1"), F.col("i2").alias("g2"))
+    rows = state.join(ids, "memory_id", "left").join(targets, "supersedes", "left").join(marks("supersedes", "c"), "supersedes", "left")
+    linked = F.col("supersedes").isNotNull()
+    earlier = lambda c: F.coalesce(F.col(c) < F.col("seq"), F.lit(False))
+    met = ~linked | earlier("gt")  # the target is there
+    waits = ~met & earlier("g1")
+    refused = earlier("it") | (linked & earlier("ct")) | (~met & ~earlier("g1"))
+    several = earlier("i2") | (waits & earlier("g2")) | (linked & earlier("c2"))
+    deps = F.array_distinct(F.filter(F.array(F.when(earlier("i1"), F.col("i1")), F.when(waits, F.col("g1")), F.when(linked & earlier("c1"), F.col("c1"))), lambda d: d.isNotNull()))
+    on = F.get(deps, 0)
+    yes = ~(earlier("i1") & (F.col("i1") == on)) & ~(linked & earlier("c1") & (F.col("c1") == on)) & (met | (waits & (F.col("g1") == on)))
+    verdict = F.when(refused, False).when(several | (F.size(deps) > 1), F.lit(None)).when(F.size(deps) == 0, True)
+    decided = F.coalesce("admitted", verdict)
+    dep = F.when(decided.isNull() & ~several & (F.size(deps) == 1), on)
+    return rows.select("seq", "memory_id", "supersedes", decided.alias("admitted"), dep.alias("dep"), F.coalesce(yes, F.lit(False)).alias("yes"), met.alias("no"))
+
+
+def _compose(rows: DataFrame) -> DataFrame:
+    """Pointer doubling: each row takes over what its ``dep`` is decided to be, or waits for."""
     while True:
-        kept = state.where("admitted")
-        own = kept.groupBy("memory_id").agg(F.min("seq").alias("own_seq"))
-        target = own.select(F.col("memory_id").alias("supersedes"), F.col("own_seq").alias("target_seq"))
-        taken = kept.where(F.col("supersedes").isNotNull()).groupBy("supersedes").agg(F.min("seq").alias("taken_seq"))
-        judged = (
-            state.join(own, "memory_id", "left").join(target, "supersedes", "left").join(taken, "supersedes", "left")
-        )
-        fresh = F.coalesce(F.col("own_seq") >= F.col("seq"), F.lit(True))
-        linked = F.coalesce(F.col("target_seq") < F.col("seq"), F.lit(False)) & F.coalesce(
-            F.col("taken_seq") >= F.col("seq"), F.lit(True)
-        )
-        verdict = fresh & (F.col("supersedes").isNull() | linked)
-        after = cut(judged.select("seq", "memory_id", "supersedes", F.col("admitted").alias("_old"), verdict.alias("admitted")))
-        if after.where(F.col("_old") != F.col("admitted")).isEmpty():
-            return after.drop("_old")
-        state = after.drop("_old")
+        at = rows.select(F.col("seq").alias("dep"), F.col("admitted").alias("_a"), F.col("dep").alias("_d"), F.col("yes").alias("_y"), F.col("no").alias("_n"))
+        both = rows.join(at, "dep", "left")
+        apply = lambda x: F.when(x, F.col("yes")).otherwise(F.col("no"))
+        known, further = F.col("dep").isNotNull() & F.col("_a").isNotNull(), F.col("_d").isNotNull()
+        after = cut(both.select(
+            "seq", "memory_id", "supersedes",
+            F.when(known, apply(F.col("_a"))).otherwise(F.col("admitted")).alias("admitted"),
+            F.when(known, F.lit(None)).when(further, F.col("_d")).otherwise(F.col("dep")).alias("dep"),
+            F.when(further & ~known, apply(F.col("_y"))).otherwise(F.col("yes")).alias("yes"),
+            F.when(further & ~known, apply(F.col("_n"))).otherwise(F.col("no")).alias("no"),
+            (known | further).alias("_moved"),
+        ))
+        rows = after.drop("_moved")
+        if after.where("_moved").isEmpty():
+            return rows
 
 
 def missing_vectors(records: DataFrame, vectors: DataFrame, version: str, dimension: int) -> DataFrame:

@@ -30,6 +30,25 @@ def test_batch_admission_equals_a_plain_loop(spark):
     assert got == sequential(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_batch_admission_with_much_contention(spark, seed):
+    rng = random.Random(seed)
+    names = 15 * seed
+    rows = [(i * 3, f"m{rng.randrange(names)}", rng.choice([None, f"m{rng.randrange(names)}", f"m{rng.randrange(names)}"])) for i in range(90)]
+    got = {r.seq: r.admitted for r in mem.admit_batch(spark.createDataFrame(rows, LOG)).collect()}
+    assert got == sequential(rows)
+
+
+def test_a_long_chain_takes_logarithmic_rounds(spark, monkeypatch):
+    rows = [(i, f"m{i}", f"m{i - 1}" if i else None) for i in range(10_000)]
+    rows += [(20_000, "m0", None), (20_001, "late", "m9999"), (20_002, "later", "m9999"), (20_003, "x", "nobody"), (20_004, "y", "x"), (20_005, "z", "y")]
+    calls = []
+    monkeypatch.setattr(mem, "cut", lambda df, cut=mem.cut: calls.append(1) or cut(df))
+    got = {r.seq: r.admitted for r in mem.admit_batch(spark.createDataFrame(rows, LOG).repartition(4)).collect()}
+    assert got == sequential(rows)
+    assert len(calls) <= 14 + 14
+
+
 def test_supersession(spark):
     log = spark.createDataFrame([(1, "old", None), (2, "new", "old")], LOG)
     assert [r.memory_id for r in mem.active_view(log).collect()] == ["new"]
