@@ -298,9 +298,24 @@ def c7(spark, sf):
     return mem.admissible(ol.damaged(spark, sf), ol.log(spark, sf)).select("seq", "memory_id", "admitted")
 
 
-@query("c7_batch_admission")
+ADMISSION = (
+    ol.DAMAGED.replace("bad AS (", "bad AS MATERIALIZED ("),
+    """waits AS (SELECT r, d, role, count(*) OVER (PARTITION BY r) AS n FROM (
+      SELECT b.seq AS r, d.seq AS d, 'rival' AS role FROM bad b JOIN bad d ON d.memory_id = b.memory_id AND d.seq < b.seq
+      UNION ALL SELECT b.seq, d.seq, 'rival' FROM bad b JOIN bad d ON d.supersedes = b.supersedes AND d.seq < b.seq
+      UNION ALL SELECT b.seq, d.seq, 'target' FROM bad b JOIN bad d ON d.memory_id = b.supersedes AND d.seq < b.seq))""",
+    """judged(seq, ok) USING KEY (seq) AS (
+      SELECT seq, supersedes IS NULL FROM bad WHERE seq NOT IN (SELECT r FROM waits)
+      UNION
+      SELECT w.r, NOT bool_or(w.role = 'rival' AND j.ok) AND (any_value(b.supersedes) IS NULL OR bool_or(w.role = 'target' AND j.ok))
+      FROM waits w JOIN recurring.judged j ON j.seq = w.d JOIN bad b ON b.seq = w.r
+      WHERE w.r NOT IN (SELECT seq FROM recurring.judged) GROUP BY w.r HAVING count(*) = any_value(w.n))""",
+)
+
+
+@query("c7_batch_admission", with_sql(ol.LOG, *ADMISSION, "SELECT b.seq, memory_id, supersedes, ok AS admitted FROM bad b JOIN judged USING (seq)"))
 def c7_batch(spark, sf):
-    """Row by row this is a sequential rule; the test compares it with a plain loop."""
+    """Row by row this is a sequential rule; the SQL judges a row once all earlier rows of its id and target are judged."""
     return mem.admit_batch(ol.damaged(spark, sf))
 
 

@@ -82,11 +82,51 @@ def i4_one(spark, sf):
     return table.select("feature", F.round("weight", 9).alias("weight"), F.round("intercept", 9).alias("intercept"))
 
 
-@query("i4_ridge_fit")
+#: The six features as SQL, the one that can be missing filled with its median where it is missing at all.
+FEATURE_SQL = {
+    "recency_rank": "recency_rank", "age": "age", "retrieval_frequency": "retrieval_frequency", "history_observed": "CAST(history_observed AS INT)",
+    "historical_similarity": "coalesce(historical_similarity, fill)", "memory_tokens": "cost",
+}
+_MOMENTS = ", ".join(
+    [f"avg(x{i}) AS m{i}, CASE WHEN stddev_pop(x{i}) = 0 THEN 1 ELSE stddev_pop(x{i}) END AS s{i}, covar_pop(x{i}, y) AS t{i}" for i in range(6)]
+    + [f"covar_pop(x{i}, x{j}) AS c{i}_{j}" for i in range(6) for j in range(6)]
+)
+#: The normal equations of each model as an augmented matrix, solved by elimination, one column per step.
+RIDGE = (
+    """filled AS (SELECT CASE WHEN count(*) > count(historical_similarity) THEN coalesce(quantile_cont(historical_similarity, 0.5), 0.0) ELSE 0.0 END AS fill FROM lbl WHERE split = 'train')""",
+    "xs AS (SELECT " + ", ".join(f"CAST({e} AS DOUBLE) AS x{i}" for i, e in enumerate(FEATURE_SQL.values())) + ", target AS y FROM lbl, filled WHERE split = 'train')",
+    f"moments AS MATERIALIZED (SELECT count(*) AS n, avg(y) AS my, {_MOMENTS} FROM xs)",
+    "plain AS MATERIALIZED (SELECT n, my, [" + ", ".join(f"m{i}" for i in range(6)) + "] AS means, [" + ", ".join(f"s{i}" for i in range(6)) + "] AS scales, ["
+    + ", ".join(f"n * t{i} / s{i}" for i in range(6)) + "] AS b, [" + ", ".join("[" + ", ".join(f"n * c{i}_{j} / s{i} / s{j}" for j in range(6)) + "]" for i in range(6)) + "] AS gram FROM moments)",
+)
+
+
+def ridge_sql(alphas: tuple[float, ...], groups: dict[str, tuple[str, ...]], more: str = "") -> str:
+    at = {f: i + 1 for i, f in enumerate(FEATURE_SQL)}
+    models = ", ".join(f"('{g}-a{a:g}', CAST({a} AS DOUBLE), [{', '.join(str(at[f]) for f in names)}])" for g, names in groups.items() for a in alphas)
+    names = ", ".join(f"'{f}'" for f in FEATURE_SQL)
+    return with_sql(
+        *LABELLED, *RIDGE, f"models(model, alpha, own) AS (VALUES {models})",
+        """steps AS (SELECT model, own, CAST(0 AS BIGINT) AS k,
+             list_transform(own, lambda i: list_append(list_transform(own, lambda j: gram[i][j] + CASE WHEN i = j THEN alpha ELSE 0 END), b[i])) AS a FROM models, plain
+           UNION ALL
+           SELECT model, own, k + 1, list_transform(a, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / r[k + 1])
+             ELSE list_transform(r, lambda v, j: v - r[k + 1] * a[k + 1][j] / a[k + 1][k + 1]) END) FROM steps WHERE k < len(own))""",
+        "solved AS (SELECT model, own[i] AS f, a[i][len(own) + 1] AS w FROM (SELECT *, unnest(range(1, len(own) + 1)) AS i FROM steps WHERE k = len(own)))",
+        f"""SELECT model, ([{names}])[f] AS feature, round(CASE WHEN f = 5 THEN fill ELSE 0.0 END, 6) AS median, round(means[f], 6) AS mean, round(scales[f], 6) AS scale,
+             round(w, 6) + 0.0 AS weight, round(my, 6) + 0.0 AS intercept FROM solved, plain, filled {more}""",
+    )
+
+
+def _rounded_models(table):
+    return table.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("median", "mean", "scale", "weight", "intercept")})
+
+
+@query("i4_ridge_fit", ridge_sql((1.0,), {"full": pr.FEATURES}))
 def i4(spark, sf):
-    """All six features; the solve has no SQL form and is tested against the closed form."""
+    """All six features."""
     s = pr.sufficient_statistics(training(spark, sf).withColumn("memory_tokens", F.col("cost")))
-    return pr.model_table(spark, [pr.solve_ridge(s, pr.FEATURES, 1.0, "full-a1")])
+    return _rounded_models(pr.model_table(spark, [pr.solve_ridge(s, pr.FEATURES, 1.0, "full-a1")]))
 
 
 @query("i5_predictions", with_sql(*LABELLED, ONE_FEATURE, "SELECT snapshot_id, memory_id, round(predicted, 6) AS predicted FROM pred"))
@@ -101,10 +141,10 @@ def predicted(spark, sf):
     return rows.withColumn("memory_tokens", F.col("cost")).withColumn("predicted", pr.prediction(model) - 0.1)
 
 
-@query("i6_ablation_models")
+@query("i6_ablation_models", ridge_sql((0.1, 1.0, 10.0), pr.GROUPS, "UNION ALL SELECT 'zero', '', 0.0, 0.0, 1.0, 0.0, 0.0"))
 def i6(spark, sf):
     s = pr.sufficient_statistics(training(spark, sf).withColumn("memory_tokens", F.col("cost")))
-    return pr.model_table(spark, pr.ablation_models(s, (0.1, 1.0, 10.0)))
+    return _rounded_models(pr.model_table(spark, pr.ablation_models(s, (0.1, 1.0, 10.0))))
 
 
 @query(

@@ -163,14 +163,18 @@ ALLS = "alls AS (SELECT snapshot_id, list_sort(list(memory_id)) AS ids FROM item
 TWO_SEEDS = "seeds(seed) AS (VALUES (CAST(0 AS BIGINT)), (1))"
 CONDS = """conds AS (SELECT snapshot_id, ids AS storage_ids, seed FROM alls, seeds UNION ALL SELECT snapshot_id, storage_ids, seed FROM dels, seeds
   UNION ALL SELECT snapshot_id, CAST([] AS BIGINT[]), seed FROM alls, seeds)"""
-UTILITIES = """utils AS (
+# kept sets are joined by their text, materialised once: joins on lists do not hash
+UTILITIES = """alone AS MATERIALIZED (SELECT snapshot_id, deleted, array_to_string(storage_ids, ',') AS kept FROM dels),
+whole AS MATERIALIZED (SELECT snapshot_id, array_to_string(ids, ',') AS kept FROM alls),
+answers AS MATERIALIZED (SELECT *, array_to_string(storage_ids, ',') AS kept FROM resp),
+utils AS (
   SELECT d.snapshot_id, d.deleted AS memory_id, x.query_id, x.seed, f.exact_match - x.exact_match AS value,
          list_contains(f.context_ids, d.deleted) AS retrieved,
          list_filter(x.context_ids, lambda m: NOT list_contains(f.context_ids, m)) AS replacement_ids,
          len(list_filter(f.supports, lambda g: len(list_filter(g, lambda m: NOT list_contains(f.context_ids, m))) = 0)) > 0 AND f.exact_match = 0 AS hit_but_wrong
-  FROM dels d JOIN resp x ON x.snapshot_id = d.snapshot_id AND x.storage_ids = d.storage_ids
-  JOIN alls a ON a.snapshot_id = d.snapshot_id
-  JOIN resp f ON f.snapshot_id = d.snapshot_id AND f.storage_ids = a.ids AND f.query_id = x.query_id AND f.seed = x.seed)"""
+  FROM alone d JOIN answers x ON x.snapshot_id = d.snapshot_id AND x.kept = d.kept
+  JOIN whole a ON a.snapshot_id = d.snapshot_id
+  JOIN answers f ON f.snapshot_id = d.snapshot_id AND f.kept = a.kept AND f.query_id = x.query_id AND f.seed = x.seed)"""
 LABEL_CTES = (bk.ITEMS, bk.SNAPSHOTS, bk.QUERIES, bk.RANKINGS, ALLS, DELETED, TWO_SEEDS, CONDS, bk.responses_sql("conds"), UTILITIES)
 
 

@@ -13,7 +13,7 @@ from ledgerkeep.plans import query
 from ledgerkeep.plans.answers import ANSWER_CTES, answered
 from ledgerkeep.plans.search import bag_sql
 from ledgerkeep.plans.sqltext import with_sql
-from ledgerkeep.session import staging_path
+from ledgerkeep.session import cut, staging_path
 from ledgerkeep.sources.tables import spread, table
 from ledgerkeep.streaming import log_stream as ls
 
@@ -38,17 +38,61 @@ outcomes AS (SELECT memory_id, payload, count(*) AS n, CAST(payload = any_value(
     with_sql(ol.LOG, kn.WRITES, OUTCOMES, "SELECT memory_id, CAST(sum(first) AS BIGINT) AS accepted, CAST(sum(CASE WHEN first = 1 THEN n - 1 ELSE 0 END) AS BIGINT) AS retries, CAST(sum(CASE WHEN first = 0 THEN n ELSE 0 END) AS BIGINT) AS conflicts FROM outcomes GROUP BY 1"),
 )
 def n2(spark, sf):
-    """First writes arrive in an earlier file than their repeats, as they would in a log."""
+    """Writes arrive in log order, one file per micro-batch, with a restart in between."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ls.ROCKSDB)
     source, out = staging_path(spark, "writes"), staging_path(spark, "outcomes")
-    kn.writes(spark, sf).repartition(4).write.parquet(source)
-    stream = spark.readStream.schema("seq bigint, memory_id string, payload string").parquet(source)
-    ls.run_to_end(ls.idempotent_writes(stream).writeStream.format("parquet").option("path", out).outputMode("append"), f"{out}-state")
+    for part in slices_by_seq(kn.writes(spark, sf), 4):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("seq bigint, memory_id string, payload string").option("maxFilesPerTrigger", 1).parquet(source)
+        ls.run_to_end(ls.idempotent_writes(stream).writeStream.format("parquet").option("path", out).outputMode("append"), f"{out}-state")
     return spark.read.parquet(out).groupBy("memory_id").agg(
         F.sum("accepted").alias("accepted"), F.sum("retries").alias("retries"), F.sum("conflicts").alias("conflicts")
     )
 
 
+def slices_by_seq(rows, parts: int) -> list:
+    """The rows in ``parts`` ranges of seq, as files of a stream would bring them."""
+    rows = cut(rows)
+    ends = rows.select(F.percentile_approx("seq", [i / parts for i in range(1, parts)])).first()[0] or []
+    number = F.aggregate(F.array(*[F.lit(e) for e in ends]), F.lit(0), lambda n, e: n + (F.col("seq") > e).cast("int")) if ends else F.lit(0)
+    return [rows.where(number == i) for i in range(parts)]
+
+
+def _rule_changes(spark, rows, order: tuple[int, ...]) -> str:
+    """Run the rules over slices of a log that arrive in ``order``, restarting the stream at every slice."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ls.ROCKSDB)
+    source, out = staging_path(spark, "records"), staging_path(spark, "changes")
+    rows = rows.select("seq", "memory_id", "supersedes")
+    parts = slices_by_seq(rows, len(order))
+    for i in order:
+        parts[i].write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        ls.run_to_end(ls.rule_changes(stream).writeStream.format("parquet").option("path", out).outputMode("append"), f"{out}-state")
+    return out
+
+
+@query(
+    "n3_stream_violations",
+    with_sql(ol.LOG, ol.DAMAGED, "firsts AS (SELECT memory_id, min(seq) AS f FROM bad GROUP BY 1)", "takes AS (SELECT supersedes, min(seq) AS f FROM bad WHERE supersedes IS NOT NULL GROUP BY 1)",
+      """SELECT seq, b.memory_id, 'duplicate_id' AS reason FROM bad b JOIN firsts f ON f.memory_id = b.memory_id WHERE seq > f
+      UNION ALL SELECT seq, b.memory_id, 'unknown_or_later_target' FROM bad b LEFT JOIN firsts f ON f.memory_id = b.supersedes WHERE supersedes IS NOT NULL AND (f IS NULL OR f >= seq)
+      UNION ALL SELECT seq, b.memory_id, 'already_replaced' FROM bad b JOIN takes t ON t.supersedes = b.supersedes WHERE seq > f"""),
+)
+def n3_violations(spark, sf):
+    """A damaged log whose slices arrive out of order: corrections leave what a replay of the whole log finds."""
+    return ls.read_violations(spark, _rule_changes(spark, ol.damaged(spark, sf), (1, 0, 3, 2)))
+
+
+@query(
+    "n3_stream_late_view",
+    with_sql(ol.LOG, ol.DAMAGED, "SELECT seq, memory_id FROM bad b WHERE NOT EXISTS (SELECT 1 FROM bad n WHERE n.supersedes = b.memory_id)"),
+)
+def n3_late(spark, sf):
+    """The active view of the same log, its slices arriving out of order."""
+    rows = ol.damaged(spark, sf)
+    return rows.select("seq", "memory_id").join(ls.read_replaced(spark, _rule_changes(spark, rows, (2, 0, 1))), "memory_id", "left_anti")
+
+
 @query("n3_stream_active_view", with_sql(ol.LOG, "SELECT seq, memory_id FROM mem m WHERE NOT EXISTS (SELECT 1 FROM mem n WHERE n.supersedes = m.memory_id)"))
 def n3(spark, sf):
     source, out = staging_path(spark, "records"), staging_path(spark, "view")
