@@ -101,6 +101,90 @@ def idempotent_writes(writes: DataFrame) -> DataFrame:
     return combined.groupBy("memory_id").transformWithStateInPandas(FirstPayload(), WRITE_OUTCOME, "Append", "None")
 
 
+class LogRules(StatefulProcessor):
+    """The replay rules for one id, whatever order its rows arrive in.
+
+    State: the first own row (settled), the first row that replaces the id, and the rows that named it as their target
+    before it was there (pending). A row that arrives late can make earlier verdicts wrong: a pending row is cleared
+    by an own row with a smaller seq, an own row or a replacement that turns out not to be the first becomes a violation.
+    Such corrections are rows with ``change`` -1 or +1.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._own = handle.getValueState("own", "seq bigint")
+        self._taken = handle.getValueState("taken", "seq bigint, by string")
+        self._pending = handle.getMapState("pending", "seq bigint", "by string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        target = key[0]
+        for pdf in rows:
+            out: list[tuple] = []
+            own = pdf[pdf["by"].isna()]
+            claims = pdf[pdf["by"].notna()]
+            before = self._own.get()[0] if self._own.exists() else None
+            first = before
+            if len(own):
+                low = int(own["seq"].min())
+                first = low if before is None else min(low, before)
+                later = [int(x) for x in own["seq"] if int(x) != first]
+                if before is not None and first != before:
+                    later.append(before)
+                out += [("violation", x, target, "duplicate_id", 1) for x in later]
+                if first != before:
+                    self._own.update((first,))
+            if len(claims):
+                seqs, by = claims["seq"].astype("int64").tolist(), claims["by"].tolist()
+                low = min(range(len(seqs)), key=seqs.__getitem__)
+                taken = self._taken.get() if self._taken.exists() else None
+                win = (seqs[low], by[low]) if taken is None or seqs[low] < taken[0] else (taken[0], taken[1])
+                beaten = [(s, b) for s, b in zip(seqs, by) if s != win[0]]
+                if taken is None:
+                    out.append(("replaced", None, target, None, 1))
+                elif win[0] != taken[0]:
+                    beaten.append((taken[0], taken[1]))
+                out += [("violation", s, b, "already_replaced", 1) for s, b in beaten]
+                self._taken.update(win)
+                for s, b in zip(seqs, by):
+                    if first is None or first >= s:
+                        out.append(("violation", s, b, "unknown_or_later_target", 1))
+                        self._pending.updateValue((s,), (b,))
+            if first is not None and first != before:
+                cleared = [(k[0], v[0]) for k, v in self._pending.iterator() if k[0] > first]
+                for s, b in cleared:
+                    out.append(("violation", s, b, "unknown_or_later_target", -1))
+                    self._pending.removeKey((s,))
+            yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype=t) for i, (c, t) in enumerate(_CHANGE_TYPES)})
+
+    def close(self) -> None:
+        pass
+
+
+CHANGES = "kind string, seq bigint, memory_id string, reason string, change bigint"
+_CHANGE_TYPES = [("kind", object), ("seq", "Int64"), ("memory_id", object), ("reason", object), ("change", "int64")]
+
+
+def rule_changes(records: DataFrame) -> DataFrame:
+    """Changes of the log's verdicts while its rows (seq, memory_id, supersedes) arrive in any order and number of
+    micro-batches. Each row goes to the state of its own id and to that of its target. Needs the RocksDB state store;
+    ``read_violations`` and ``read_replaced`` add the changes up."""
+    own = F.struct(F.col("memory_id").alias("key"), "seq", F.lit(None).cast("string").alias("by"))
+    claim = F.struct(F.col("supersedes").alias("key"), "seq", F.col("memory_id").alias("by"))
+    both = F.when(F.col("supersedes").isNull(), F.array(own)).otherwise(F.array(own, claim))
+    messages = records.select(F.explode(both).alias("m")).select("m.key", "m.seq", "m.by")
+    return messages.groupBy("key").transformWithStateInPandas(LogRules(), CHANGES, "Append", "None")
+
+
+def read_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Violations that stand after all changes so far: seq, memory_id, reason."""
+    changes = spark.read.schema(CHANGES).parquet(folder).where("kind = 'violation'")
+    return changes.groupBy("seq", "memory_id", "reason").agg(F.sum("change").alias("c")).where("c > 0").drop("c")
+
+
+def read_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids that some row replaces: the active view is the records without them."""
+    return spark.read.schema(CHANGES).parquet(folder).where("kind = 'replaced'").select("memory_id").distinct()
+
+
 def active_view_sink(records: DataFrame, folder: str) -> DataStreamWriter:
     """Append each batch's records and the ids they supersede; see ``read_active_view``."""
 
