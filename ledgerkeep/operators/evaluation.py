@@ -74,6 +74,19 @@ def without(context: Column, deleted: Column) -> Column:
     return F.filter(context, lambda m: m != deleted)
 
 
+def context_deletions(full: DataFrame, planned: DataFrame) -> DataFrame:
+    """The answers of ``full`` with one memory taken out of what was read: a row for every answer and every memory that
+    ``planned`` (snapshot_id, deleted_memory_id) names for its snapshot. Order is kept and nothing moves up from storage;
+    a memory that was not read leaves the context as it is."""
+    both = full.join(planned.select("snapshot_id", "deleted_memory_id").distinct(), "snapshot_id")
+    return both.withColumn("context_ids", without(F.col("context_ids"), F.col("deleted_memory_id")))
+
+
+def read_memories(full: DataFrame) -> DataFrame:
+    """Every memory that some answer of its snapshot read: snapshot_id, deleted_memory_id."""
+    return full.select("snapshot_id", F.explode("context_ids").alias("deleted_memory_id")).distinct()
+
+
 def context_controls(full: DataFrame, scenario: str) -> DataFrame:
     """Ordered contexts for one scenario: the first support set forward and reversed, and the full context
     minus each support member. ``full`` has scenario, context_ids and supports per (snapshot, query)."""

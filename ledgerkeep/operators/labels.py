@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +31,23 @@ def deletion_utilities(full: DataFrame, deleted: DataFrame) -> DataFrame:
     )
 
 
+def by_condition(**utilities: DataFrame) -> DataFrame:
+    """Utilities of several interventions in one table, told apart by ``condition``."""
+    tagged = [u.withColumn("condition", F.lit(name)) for name, u in utilities.items()]
+    return reduce(DataFrame.unionByName, tagged)
+
+
 def repeated_labels(
-    utilities: DataFrame, minimum_effect: float, max_std: float, min_stability: float
+    utilities: DataFrame, minimum_effect: float, max_std: float, min_stability: float, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean over seeds of the window mean, its spread, the share of the commonest sign, and the class."""
-    windows = utilities.groupBy("snapshot_id", "memory_id", "seed").agg(F.avg("value").alias("v"))
+    """Mean over seeds of the window mean, its spread, the share of the commonest sign, and the class, per snapshot,
+    memory and the columns ``by`` (such as the intervention)."""
+    keys = ["snapshot_id", "memory_id", *by]
+    windows = utilities.groupBy(*keys, "seed").agg(F.avg("value").alias("v"))
     v = F.col("v")
     up, down = F.count_if(v > minimum_effect), F.count_if(v < -minimum_effect)
     flat = F.count_if((v <= minimum_effect) & (v >= -minimum_effect))
-    labels = windows.groupBy("snapshot_id", "memory_id").agg(
+    labels = windows.groupBy(*keys).agg(
         F.avg("v").alias("value"),
         F.stddev_pop("v").alias("standard_deviation"),
         (F.greatest(up, down, flat) / F.count("*")).alias("sign_stability"),

@@ -143,10 +143,15 @@ def respond(
     """Answers for kept sets. An answer is right if a support set was read and the reader does not fail:
     reader 0 fails on pending orders, reader 1 on urgent ones."""
     read = retrieve_from_sets(conditions, rankings(spark, sf, rows), TOP_K, READ_BUDGET)
-    o = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").withColumnRenamed("o_orderkey", "snapshot_id")
-    fails = F.when(F.col("seed") == 0, F.col("o_orderstatus") == "P").otherwise(F.col("o_orderpriority") == "1-URGENT")
     if "seed" not in conditions.columns:
         read = read.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])))
+    return judge(spark, sf, read)
+
+
+def judge(spark: SparkSession, sf: str, read: DataFrame) -> DataFrame:
+    """Scores of answers from given contexts: snapshot_id, seed, supports, ids, context_ids and whatever else is there."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").withColumnRenamed("o_orderkey", "snapshot_id")
+    fails = F.when(F.col("seed") == 0, F.col("o_orderstatus") == "P").otherwise(F.col("o_orderpriority") == "1-URGENT")
     gold = F.size("ids")
     common = F.size(F.filter("ids", lambda m: F.array_contains("context_ids", m)))
     return (

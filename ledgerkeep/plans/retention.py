@@ -9,7 +9,7 @@ from ledgerkeep.operators import labels as lab
 from ledgerkeep.operators import metrics as met
 from ledgerkeep.operators import selection as sel
 from ledgerkeep.operators import subsets as sub
-from ledgerkeep.operators.evaluation import context_controls, retrieve_from_sets
+from ledgerkeep.operators.evaluation import context_controls, context_deletions, read_memories, retrieve_from_sets
 from ledgerkeep.operators.stats import paired_bootstrap, paired_differences
 from ledgerkeep.plans import baskets as bk
 from ledgerkeep.plans import query
@@ -206,6 +206,55 @@ labels AS (SELECT *, standard_deviation > 0.3 OR sign_stability < 1 AS uncertain
    CASE WHEN standard_deviation > 0.3 OR sign_stability < 1 THEN 'uncertain' WHEN value > 0.1 THEN 'positive' WHEN value < -0.1 THEN 'negative' ELSE 'zero' END AS label FROM labels0)"""
 
 
+CONTEXT_CTES = (
+    *LABEL_CTES,
+    "fulls AS MATERIALIZED (SELECT f.* FROM answers f JOIN whole a ON a.snapshot_id = f.snapshot_id AND a.kept = f.kept)",
+    "mids AS (SELECT DISTINCT snapshot_id, unnest(context_ids) AS deleted FROM fulls)",
+    """cuts AS (SELECT f.*, m.deleted, list_filter(f.context_ids, lambda x: x <> m.deleted) AS after_ids,
+        CASE WHEN f.seed = 0 THEN o_orderstatus = 'P' ELSE o_orderpriority = '1-URGENT' END AS fails
+      FROM fulls f JOIN mids m ON m.snapshot_id = f.snapshot_id JOIN orders ON o_orderkey = f.snapshot_id)""",
+    """cutils AS (SELECT snapshot_id, deleted AS memory_id, query_id, seed,
+        exact_match - CAST(len(list_filter(supports, lambda g: len(list_filter(g, lambda m: NOT list_contains(after_ids, m))) = 0)) > 0 AND NOT fails AS INT) AS value,
+        list_contains(context_ids, deleted) AS retrieved FROM cuts)""",
+)
+
+
+def context_cuts(spark, sf, rows=None):
+    """Full answers, and the same answers with one read memory taken out of the context."""
+    rows = bk.staged_items(spark, sf) if rows is None else rows
+    everything = rows.groupBy("snapshot_id").agg(F.array_sort(F.collect_list("memory_id")).alias("storage_ids"))
+    full = cut(bk.respond(spark, sf, everything, (0, 1), rows))
+    taken = context_deletions(full.drop("exact_match", "token_f1"), read_memories(full))
+    return full, bk.judge(spark, sf, taken)
+
+
+@query(
+    "e6_context_deletion",
+    with_sql(*CONTEXT_CTES, "SELECT snapshot_id, query_id, seed, deleted AS deleted_memory_id, array_to_string(after_ids, ',') AS context_ids FROM cuts"),
+)
+def e6(spark, sf):
+    return context_cuts(spark, sf)[1].select("snapshot_id", "query_id", "seed", "deleted_memory_id", bk.ids_text("context_ids").alias("context_ids"))
+
+
+@query("h6_context_utility", with_sql(*CONTEXT_CTES, "SELECT snapshot_id, memory_id, query_id, seed, value, retrieved FROM cutils"))
+def h6_context(spark, sf):
+    return lab.deletion_utilities(*context_cuts(spark, sf)).select("snapshot_id", "memory_id", "query_id", "seed", "value", "retrieved")
+
+
+@query(
+    "h7_condition_labels",
+    with_sql(*CONTEXT_CTES, """windows AS (SELECT snapshot_id, memory_id, condition, seed, avg(value) AS v FROM (SELECT snapshot_id, memory_id, seed, value, 'storage_deletion' AS condition FROM utils
+          UNION ALL SELECT snapshot_id, memory_id, seed, value, 'context_deletion' FROM cutils) GROUP BY 1,2,3,4)""", LABELS.split(",\n", 1)[1].replace("SELECT snapshot_id, memory_id, avg(v)", "SELECT snapshot_id, memory_id, condition, avg(v)").replace("GROUP BY 1,2)", "GROUP BY 1,2,3)"),
+      "SELECT snapshot_id, memory_id, condition, round(value, 9) AS value, uncertain, label FROM labels"),
+)
+def h7_conditions(spark, sf):
+    rows = bk.staged_items(spark, sf)
+    full, cut_out = context_cuts(spark, sf, rows)
+    both = lab.by_condition(storage_deletion=utilities(spark, sf, (0, 1), rows), context_deletion=lab.deletion_utilities(full, cut_out))
+    labels = lab.repeated_labels(both, 0.1, 0.3, 1.0, ["condition"])
+    return labels.select("snapshot_id", "memory_id", "condition", F.round("value", 9).alias("value"), "uncertain", "label")
+
+
 def repeated(spark, sf):
     return lab.repeated_labels(utilities(spark, sf), 0.1, 0.3, 1.0)
 
