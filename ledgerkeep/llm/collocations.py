@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerkeep.llm.common import binary, slices, stage
+from ledgerkeep.llm.common import binary, freed, slices, stage
 from ledgerkeep.llm.rolling import Words, bit_table, cuts, holds, mixed, opened
 
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
-#: Bytes of text that are hashed at once; a longer text is cut between words.
-BUFFER = 8 << 20
+#: Bytes of text that are hashed at once (a longer text is cut between words), and fingerprints that a task adds up before it hands them on.
+BUFFER, HELD = 2 << 20, 1 << 21
 #: Salts of the first of two rankings, so that no task holds all phrases of a language.
 SALTS = 64
 
@@ -71,10 +71,25 @@ def _count(docs: DataFrame, n: int, words: int, given: list[Broadcast]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = opened(given)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            keys, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held.clear()
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+            counts = np.add.reduceat(counts, first) if len(first) else counts
+            keys = keys[first]
+            for i in range(0, len(keys), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 17)].view(np.int64)), pa.array(counts[i : i + (1 << 17)])], ["key", "c"])
+
         for found, own, of, names in _buffers(batches, words):
-            keys, counts = np.unique(_places(found, own, of, names, tables, n)[1], return_counts=True)
-            for i in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 18)].view(np.int64)), pa.array(counts[i : i + (1 << 18)])], ["key", "c"])
+            held.append(np.unique(_places(found, own, of, names, tables, n)[1], return_counts=True))
+            if sum(len(h[0]) for h in held) >= HELD:
+                yield from summed()
+        if held:
+            yield from summed()
 
     return docs.mapInArrow(run, "key long, c long")
 
@@ -172,7 +187,8 @@ def collocations(docs: DataFrame, words: int = 3, least: int = 10, keep: int = 2
     candidate holds it with at least ``share`` per cent of its count. Order: score and a descending, phrase ascending in
     UTF-8 byte order. A language without candidates, or an empty table, gives no row.
     """
-    counts = stage(phrase_counts(docs, words, least), "phrase-counts")
+    with freed(docs.sparkSession):
+        counts = stage(phrase_counts(docs, words, least), "phrase-counts")
     total = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     phrases = counts.where("words >= 1").select("lang", "words", "phrase", "f")
     found = phrases.where("words >= 2").withColumn("w", F.split("phrase", " "))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerkeep.session import staging_path
@@ -14,6 +15,8 @@ from ledgerkeep.session import staging_path
 #: ASCII white space, the only separators of words here: space and \x09-\x0D.
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later jobs, and retries after a lost
@@ -23,6 +26,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside remove their shuffle files when they end, so what a finished step has shuffled takes no disk."""
+    old = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, old)
+
+
 def drop(staged: DataFrame) -> None:
     """Delete a table that ``stage`` wrote, once nothing will read it again."""
     jvm, conf = staged.sparkSession._jvm, staged.sparkSession._jsparkSession.sessionState().newHadoopConf()

@@ -16,6 +16,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerkeep.llm.common import freed
+
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,7 +116,8 @@ def holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def bit_table(keys: DataFrame) -> Broadcast:
     """The bit table of the column ``key``, of fixed size, for all tasks."""
     bit = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) + 1
-    rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    with freed(keys.sparkSession):
+        rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     table = bytearray(1 << (TABLE_BITS - 3))
     for part, bits in rows:
         begin = (part - 1) * 4096
