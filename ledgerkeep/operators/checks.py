@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerkeep.functions.text import has_offset
+from ledgerkeep.functions.text import answer_prompt, has_offset
 
 # Current names, and names that older files use for the same thing.
 CONDITIONS = (
@@ -244,6 +244,49 @@ def response_violations(responses: DataFrame, top_k: int, read_budget: int) -> D
     ).where(F.col("reasons") != "")
 
 
+def content_violations(responses: DataFrame, questions: DataFrame) -> DataFrame:
+    """Responses that were not made from what they claim: another question or gold answer than the snapshot's, a context
+    entry that is not the snapshot's memory of that id, or a prompt that is not rebuilt from question and context.
+
+    ``responses``: snapshot_id, query_id, query, gold_answer, context and memories (arrays of structs memory_id, content),
+    prompt. ``questions``: snapshot_id, query_id, text, answer. One row per broken response, with its reasons.
+    """
+    keys = ["snapshot_id", "query_id"]
+    asked = responses.join(questions.select(*keys, F.col("text").alias("_text"), F.col("answer").alias("_answer")), keys, "left")
+    task = F.col("query").eqNullSafe(F.col("_text")) & F.col("gold_answer").eqNullSafe(F.col("_answer"))
+    own = F.forall("context", lambda c: F.exists("memories", lambda m: m == c))
+    rebuilt = answer_prompt(F.col("query"), F.col("context"))
+    reasons = [
+        F.when(~task, "task"),
+        F.when(~F.coalesce(own, F.lit(False)), "context_content"),
+        F.when(~F.col("prompt").eqNullSafe(rebuilt), "prompt"),
+    ]
+    return asked.select(*keys, F.concat_ws(",", *reasons).alias("reasons")).where(F.col("reasons") != "")
+
+
+def intervention_violations(responses: DataFrame) -> DataFrame:
+    """Responses whose storage or context is not what their condition asks for.
+
+    ``responses``: snapshot_id, query_id, seed, condition (full, no_memory, storage_deletion, context_deletion),
+    deleted_memory_id, memory_ids (the snapshot's), storage_ids, context_ids. Storage is all memories, none, or all but the
+    deleted one; a deleted memory is not read; deleting from the context leaves the full answer's context otherwise as it
+    was. One row per broken response, with its reasons.
+    """
+    keys = ["snapshot_id", "query_id", "seed"]
+    full = responses.where("condition = 'full'").select(*keys, F.col("context_ids").alias("_full"))
+    joined = responses.join(full, keys, "left")
+    gone, condition, storage = F.col("deleted_memory_id"), F.col("condition"), F.col("storage_ids")
+    kept = F.filter("memory_ids", lambda m: m != gone)
+    expected = F.when(condition == "no_memory", F.slice("memory_ids", 1, 0)).when(condition == "storage_deletion", kept).otherwise(F.col("memory_ids"))
+    reasons = [
+        F.when(F.array_sort(storage) != F.array_sort(expected), "storage_intervention"),
+        F.when(F.size(F.array_except("context_ids", expected)) > 0, "context_outside_storage"),
+        F.when(F.endswith(condition, F.lit("deletion")) & F.array_contains("context_ids", gone), "deleted_in_context"),
+        F.when((condition == "context_deletion") & ~F.col("context_ids").eqNullSafe(F.filter("_full", lambda m: m != gone)), "context_changed"),
+    ]
+    return joined.select(*keys, "condition", "deleted_memory_id", F.concat_ws(",", *reasons).alias("reasons")).where(F.col("reasons") != "")
+
+
 def table_diff(
     actual: DataFrame,
     expected: DataFrame,

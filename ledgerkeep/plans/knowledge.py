@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from ledgerkeep.functions import text as tx
 from ledgerkeep.operators import checks
 from ledgerkeep.operators import memory as mem
 from ledgerkeep.operators import selection as sel
@@ -642,6 +643,30 @@ def b10(spark, sf):
     return bad.withColumn("storage_ids", bk.ids_text("storage_ids"))
 
 
+@query(
+    "b10_content_rules",
+    with_sql(ol.LOG, """why AS (SELECT seq, memory_id, concat_ws(',', CASE WHEN key % 13 = 4 THEN 'task' END, CASE WHEN key % 7 = 1 THEN 'context_content' END, CASE WHEN key % 13 = 4 OR key % 5 = 2 OR key % 7 = 1 THEN 'prompt' END) AS reasons FROM mem)""",
+      "SELECT seq AS snapshot_id, memory_id AS query_id, reasons FROM why WHERE reasons <> ''"),
+)
+def b10_content(spark, sf):
+    """Answers over single records, some with another question, an altered context or an altered prompt."""
+    rows = ol.log(spark, sf)
+    questions = rows.select(F.col("seq").alias("snapshot_id"), F.col("memory_id").alias("query_id"), F.concat(F.lit("What is known of "), "subject").alias("text"), F.col("source").alias("answer"))
+    memory = F.struct(F.col("memory_id"), F.col("content"))
+    told = rows.select(
+        F.col("seq").alias("snapshot_id"), F.col("memory_id").alias("query_id"), "key", F.col("source").alias("gold_answer"), F.array(memory).alias("memories"),
+        F.concat(F.lit("What is known of "), "subject").alias("query"), F.array(memory).alias("context"),
+    )
+    told = told.withColumn("prompt", tx.answer_prompt(F.col("query"), F.col("context")))
+    changed = F.transform("context", lambda m: F.struct(m.memory_id.alias("memory_id"), F.concat(m.content, F.lit("!")).alias("content")))
+    damaged = told.withColumns({
+        "query": F.when(F.col("key") % 13 == 4, F.lit("Something else")).otherwise(F.col("query")),
+        "context": F.when(F.col("key") % 7 == 1, changed).otherwise(F.col("context")),
+        "prompt": F.when(F.col("key") % 5 == 2, F.concat("prompt", F.lit(" "))).otherwise(F.col("prompt")),
+    })
+    return checks.content_violations(damaged, questions)
+
+
 @query(
     "b11_handoff_tables",
     with_sql(bk.ITEMS, bk.SNAPSHOTS, bk.FEATURES, "SELECT split, split <> 'test' AS labelled, count(*) AS n, CAST(sum(CASE WHEN split = 'test' THEN NULL ELSE net END) AS BIGINT) AS target FROM feats JOIN snaps USING (snapshot_id) GROUP BY 1, 2"),

@@ -9,6 +9,7 @@ from ledgerkeep.operators import labels as lab
 from ledgerkeep.operators import metrics as met
 from ledgerkeep.operators import selection as sel
 from ledgerkeep.operators import subsets as sub
+from ledgerkeep.operators.checks import intervention_violations
 from ledgerkeep.operators.evaluation import context_controls, context_deletions, read_memories, retrieve_from_sets
 from ledgerkeep.operators.stats import paired_bootstrap, paired_differences
 from ledgerkeep.plans import baskets as bk
@@ -255,6 +256,46 @@ def h7_conditions(spark, sf):
     return labels.select("snapshot_id", "memory_id", "condition", F.round("value", 9).alias("value"), "uncertain", "label")
 
 
+@query(
+    "b10_intervention_rules",
+    with_sql(*CONTEXT_CTES,
+      """told AS (SELECT x.snapshot_id, query_id, seed, 'full' AS condition, CAST(NULL AS BIGINT) AS deleted, a.ids AS memory_ids, storage_ids, context_ids, context_ids AS full_ids FROM fulls x JOIN alls a USING (snapshot_id)
+        UNION ALL SELECT d.snapshot_id, x.query_id, x.seed, 'storage_deletion', d.deleted, a.ids, x.storage_ids, x.context_ids, f.context_ids
+          FROM alone d JOIN answers x ON x.snapshot_id = d.snapshot_id AND x.kept = d.kept JOIN alls a ON a.snapshot_id = d.snapshot_id
+          JOIN fulls f ON f.snapshot_id = d.snapshot_id AND f.query_id = x.query_id AND f.seed = x.seed
+        UNION ALL SELECT c.snapshot_id, query_id, seed, 'context_deletion', deleted, a.ids, storage_ids, after_ids, context_ids FROM cuts c JOIN alls a USING (snapshot_id))""",
+      """damaged AS (SELECT snapshot_id, query_id, seed, condition, deleted, memory_ids, full_ids,
+          CASE WHEN condition = 'full' AND snapshot_id % 11 = 1 THEN list_slice(storage_ids, 2, len(storage_ids)) ELSE storage_ids END AS storage_ids,
+          CASE WHEN condition = 'storage_deletion' AND snapshot_id % 7 = 2 THEN list_append(context_ids, deleted)
+               WHEN condition = 'context_deletion' AND snapshot_id % 5 = 3 THEN list_reverse(context_ids) ELSE context_ids END AS context_ids FROM told)""",
+      """why AS (SELECT *, concat_ws(',', CASE WHEN list_sort(storage_ids) <> CASE condition WHEN 'storage_deletion' THEN list_filter(memory_ids, lambda m: m <> deleted) ELSE memory_ids END THEN 'storage_intervention' END,
+          CASE WHEN condition = 'storage_deletion' AND list_contains(context_ids, deleted) THEN 'context_outside_storage' END,
+          CASE WHEN condition <> 'full' AND list_contains(context_ids, deleted) THEN 'deleted_in_context' END,
+          CASE WHEN condition = 'context_deletion' AND context_ids <> list_filter(full_ids, lambda m: m <> deleted) THEN 'context_changed' END) AS reasons FROM damaged)""",
+      "SELECT snapshot_id, query_id, seed, condition, deleted AS deleted_memory_id, reasons FROM why WHERE reasons <> ''"),
+)
+def b10_interventions(spark, sf):
+    """Interventions with one kind of damage in each condition."""
+    rows = bk.staged_items(spark, sf)
+    full, context = context_cuts(spark, sf, rows)
+    storage = bk.respond(spark, sf, sel.deletion_plans(rows).drop("seed"), (0, 1), rows)
+    everything = full.select("snapshot_id", F.col("storage_ids").alias("memory_ids")).distinct()
+    columns = ["snapshot_id", "query_id", "seed", "condition", "deleted_memory_id", "storage_ids", "context_ids"]
+    none = F.lit(None).cast("long")
+    told = (
+        full.withColumns({"condition": F.lit("full"), "deleted_memory_id": none}).select(columns)
+        .unionByName(storage.withColumn("condition", F.lit("storage_deletion")).select(columns))
+        .unionByName(context.withColumn("condition", F.lit("context_deletion")).select(columns))
+    )
+    at = lambda condition, k, r: (F.col("condition") == condition) & (F.col("snapshot_id") % k == r)
+    damaged = told.withColumns({
+        "storage_ids": F.when(at("full", 11, 1), F.slice("storage_ids", 2, 1000)).otherwise(F.col("storage_ids")),
+        "context_ids": F.when(at("storage_deletion", 7, 2), F.array_append("context_ids", F.col("deleted_memory_id")))
+        .when(at("context_deletion", 5, 3), F.reverse("context_ids")).otherwise(F.col("context_ids")),
+    })
+    return intervention_violations(damaged.join(everything, "snapshot_id"))
+
+
 def repeated(spark, sf):
     return lab.repeated_labels(utilities(spark, sf), 0.1, 0.3, 1.0)
 
