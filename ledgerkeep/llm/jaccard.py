@@ -7,8 +7,9 @@ the places of the shingle; what is left is expanded to members, which must agree
 understate how many shingles differ) and are then verified by their whole sets.
 
 Shingles that one document has alone meet nothing and are left out by a bit table of fixed size. Members are first linked
-to one pivot under each shingle; after that only pairs of different components are looked at, so a group of near copies
-costs a few pairs per member. Long lists are cut into blocks, and each pair of blocks is a unit of work.
+to a few pivots under each shingle; after that only pairs of different components are looked at, so a group of near copies
+costs a few pairs per member. Before whole sets are fetched, a pair must also agree in parity sketches with a bit for each
+shingle. Long lists are cut into blocks, and each pair of blocks is a unit of work.
 """
 
 from __future__ import annotations
@@ -22,18 +23,20 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkeep.llm.common import binary, slices, stage
+from ledgerkeep.llm.common import binary, freed, slices, stage
 from ledgerkeep.llm.graph import components
 from ledgerkeep.llm.rolling import Words, between, bit_table, cuts, holds, mixed, opened, prefix
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that are hashed at once; a longer text is cut between words.
-BUFFER = 4 << 20
+BUFFER = 1 << 20
 #: Shingles whose hash is below this share of all hashes are counted; they come first if no more than COMMON documents have them.
 COUNTED, COMMON = 0.3, 64
 #: Groups of a block, members of a row of a group, and members that are verified against one in a unit.
 BLOCK, MEMBERS, SIDES = 512, 64, 256
 SKETCH = 512
+#: Shingles of a group that are at hand to tell whether a pair has met under an earlier one.
+HEADS = 12
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +97,10 @@ def _counts(docs: DataFrame, size: int) -> DataFrame:
 
 def _profiles(docs: DataFrame, size: int, share: int, shared: Broadcast, common: Broadcast) -> DataFrame:
     """row, doc_id, n, digest of each document, and for those that may meet others: the digest ``gid`` of size and prefix,
-    shingles and places of the prefix that may be shared, sketch and whole set."""
+    shingles and places of the prefix that may be shared, and sketches of 512 bits and of a bit or two for each shingle."""
     below = np.uint64(int(COUNTED * (1 << 64)))
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"row long, doc_id {kind}, n long, digest binary, gid binary, tokens array<long>, places array<int>, sketch binary, whole binary"
+    schema = f"row long, doc_id {kind}, n long, digest binary, gid binary, tokens array<long>, places array<int>, sketch binary, wide binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, often = opened([shared, common])
@@ -118,20 +121,31 @@ def _profiles(docs: DataFrame, size: int, share: int, shared: Broadcast, common:
                 row = {"n": int(n[i]), "digest": xxhash.xxh128_digest(whole.tobytes()) if n[i] else None}
                 kept = slice(cut[i], cut[i + 1])
                 if use[kept].any():
-                    sketch = np.packbits(np.bincount((whole & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1)
+                    wide = parities(whole)
                     row |= {
                         "gid": xxhash.xxh128_digest(n[i : i + 1].tobytes() + heads[kept].tobytes()),
                         "tokens": heads[kept][use[kept]].view(np.int64).tolist(), "places": head_place[kept][use[kept]].tolist(),
-                        "sketch": sketch.tobytes(), "whole": whole.tobytes(),
+                        "sketch": folded(wide, SKETCH).tobytes(), "wide": wide.tobytes(),
                     }
                 rows.append(row)
-            kinds = {"n": pa.int64(), "digest": pa.binary(), "gid": pa.binary(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "sketch": pa.binary(), "whole": pa.binary()}
+            kinds = {"n": pa.int64(), "digest": pa.binary(), "gid": pa.binary(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "sketch": pa.binary(), "wide": pa.binary()}
             arrays = [pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *arrays], ["row", "doc_id", *kinds])
 
     return docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
 
 
+def parities(fp: np.ndarray) -> np.ndarray:
+    """How many shingles fall on each bit, modulo two: at least as many bits as shingles, a power of two."""
+    bits = max(SKETCH, 1 << int(len(fp) - 1).bit_length())
+    return np.packbits(np.bincount((fp & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, bits: int) -> np.ndarray:
+    """The sketch of the same shingles with fewer bits."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, bits // 64), axis=0)
+
+
 def _most_apart(m: np.ndarray, n: np.ndarray, share: int) -> np.ndarray:
     """How many shingles two sets of these sizes may differ in, at most."""
     return m + n - 2 * -(-share * (m + n) // (100 + share))
@@ -145,31 +159,70 @@ def _matrix(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), dtype=np.uint64).reshape(-1, SKETCH // 64)
 
 
-def _pivots(tokens: DataFrame, members: DataFrame, share: int) -> DataFrame:
-    """Pairs (u, v) of the pivot of each shingle, its member of smallest hash, and the other members, by sizes and sketches."""
-    ranked = tokens.select("token", "row", F.xxhash64("row").alias("h"))
-    pivot = ranked.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("h", "row")).alias("p")).where("c > 1")
-    pairs = tokens.join(pivot.select("token", F.col("p.row").alias("u")), "token").where("u <> row").select("u", F.col("row").alias("v")).distinct()
-    size = members.select("row", F.col("n").cast("long").alias("n"), "sketch")
+def _sieved(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """The pairs whose sizes and wide sketches allow the similarity."""
+    size = members.select("row", F.col("n").cast("long").alias("n"), "wide")
     both = pairs.join(size.toDF("u", "m", "s"), "u").join(size.toDF("v", "n", "t"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                m, n = b.column("m").to_numpy(), b.column("n").to_numpy()
-                near = _apart(_matrix(b.column("s")), _matrix(b.column("t"))) <= _most_apart(m, n, share)
-                yield b.select(["u", "v"]).filter(pa.array(near))
+            m, n = b.column("m").to_numpy(), b.column("n").to_numpy()
+            fits = 100 * np.minimum(m, n) >= share * np.maximum(m, n)
+            most = np.where(fits, _most_apart(m, n, share), -1)
+            near = []
+            for x, y, d in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), most.tolist()):
+                bits = 8 * min(len(x), len(y))
+                x, y = (folded(np.frombuffer(z, dtype=np.uint64), bits) for z in (x, y))
+                near.append(int(np.bitwise_count(x ^ y).sum()) <= d)
+            yield b.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     return both.select("u", "v", "m", "n", "s", "t").mapInArrow(run, "u long, v long").distinct()
 
 
-def _verified(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
+def _pivots(tokens: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """Pairs (u, v) of the pivots of each shingle and its other members. Pivots are the member whose prefix holds the
+    fewest shingles of its own, as the text does that others were copied from, and two by hash."""
+    size = F.col("n") - F.ceil(F.col("n") * share / 100) + 1
+    ranked = tokens.join(members.select("row", (size - F.size("tokens")).alias("alone")), "row").withColumns({"h1": F.xxhash64("row"), "h2": F.xxhash64("row", F.lit(1))})
+    first = [F.min(F.struct(*order, "row")).row.alias(f"p{i}") for i, order in enumerate((("alone", "h1"), ("h1",), ("h2",)))]
+    pivots = ranked.groupBy("token").agg(F.count("*").alias("c"), *first).where("c > 1").select("token", F.array_distinct(F.array("p0", "p1", "p2")).alias("p"))
+    met = tokens.join(pivots, "token").select(F.explode("p").alias("u"), F.col("row").alias("v")).where("u <> v")
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _wholes(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """digest, whole: the sets of the documents whose digest is among ``wanted``. They are made anew from the texts, because
+    few of them are ever needed; a bit table of fixed size tells which, and some others."""
+    key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    given = bit_table(wanted.select(key.alias("key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = opened([given])[0], set()
+        for _, fp, begin in _sets(batches, size):
+            sets = [fp[b:e].tobytes() for b, e in zip(begin, begin[1:]) if e > b]
+            digests = [xxhash.xxh128_digest(x) for x in sets]
+            keys = np.array([_key(d) for d in digests], dtype=np.int64).view(np.uint64)
+            found = [(d, x) for d, x, use in zip(digests, sets, holds(table, keys)) if use and d not in seen]
+            seen.update(d for d, _ in found)  # copies in a task: once
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["digest", "whole"])
+
+    made = docs.select("text").mapInArrow(run, "digest binary, whole binary")
+    return made.groupBy("digest").agg(F.first("whole").alias("whole"))
+
+
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, share: int) -> DataFrame:
     """The pairs whose whole sets are similar enough. The sets of ``v`` come to that of ``u``, SIDES of them in a unit."""
-    sets = members.select("row", "whole")
+    ids = members.select("row", "digest")
+    pairs = _staged(pairs.join(ids.toDF("u", "du"), "u").join(ids.toDF("v", "dv"), "v"), "pairs")
+    sets = _wholes(docs, size, pairs.select(F.col("du").alias("digest")).union(pairs.select("dv")))
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / SIDES).cast("int").alias("units"))
-    dealt = pairs.join(many, "u").withColumn("unit", F.pmod(F.xxhash64("v"), F.col("units")).cast("int")).select("u", "unit", "v")
-    heads = dealt.select("u", "unit").distinct().join(sets.toDF("u", "whole"), "u").select("u", "unit", F.lit(None).cast("long").alias("v"), "whole")
-    sides = dealt.join(sets.toDF("v", "whole"), "v").select("u", "unit", "v", "whole")
+    dealt = pairs.join(many, "u").withColumn("unit", F.pmod(F.xxhash64("v"), F.col("units")).cast("int"))
+    heads = dealt.select("u", "unit", F.col("du").alias("digest")).distinct().join(sets, "digest").select("u", "unit", F.lit(None).cast("long").alias("v"), "whole")
+    sides = dealt.select("u", "unit", "v", F.col("dv").alias("digest")).join(sets, "digest").select("u", "unit", "v", "whole")
     placed = heads.union(sides).repartition("u", "unit").sortWithinPartitions("u", "unit", F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +277,13 @@ def _near_pairs(table: pa.Table, share: int) -> Iterator[np.ndarray]:
     inside = members.flatten()
     sid, root = inside.field("row").to_numpy(), inside.field("root").to_numpy()
     sketch = _matrix(inside.field("sketch"))
+    given = rows.column("heads")
+    many = np.diff(given.offsets.to_numpy())
+    some = np.arange(HEADS) < many[:, None]
+    heads = np.zeros((len(token), HEADS), dtype=np.int64)
+    heads[some] = given.flatten().to_numpy()
+    here = (heads == token[:, None]) & some
+    upto = np.where(here.any(axis=1), here.argmax(axis=1), many)  # heads that come before this shingle
     unit = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
 
     def expanded(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -250,6 +310,12 @@ def _near_pairs(table: pa.Table, share: int) -> Iterator[np.ndarray]:
         same = gid[left] == gid[y]
         good &= ~same | ((place[left] == 0) & (a[left] == b[left]) | (place[left] == 0) & (block[left] != block[y]))
         x, y = left[good], y[good]
+        fresh = np.ones(len(x), dtype=bool)
+        for i in range(0, len(x), 1 << 16):  # a pair that shares an earlier shingle has met there
+            p, q = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
+            before = (np.arange(HEADS) < upto[p][:, None])[:, :, None] & some[q][:, None, :]
+            fresh[i : i + (1 << 16)] = ~((heads[p][:, :, None] == heads[q][:, None, :]) & before).any(axis=(1, 2))
+        x, y = x[fresh], y[fresh]
         each = np.cumsum((begin[x + 1] - begin[x]) * (begin[y + 1] - begin[y]))
         step = 0
         while step < len(x):  # about a million member pairs at once
@@ -268,7 +334,7 @@ def _candidates(tokens: DataFrame, members: DataFrame, roots: DataFrame, share:
     wanted = tokens.join(mixed_lists, "token").select("row", "token", "place")
     size = members.groupBy("gid").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("subs"))
     sub = named.join(size, "gid").withColumn("sub", F.pmod(F.xxhash64("row"), F.col("subs")).cast("int"))
-    groups = sub.groupBy("gid", "sub").agg(F.first("n").alias("n"), F.collect_list(F.struct("row", "root", "sketch")).alias("members"))
+    groups = sub.groupBy("gid", "sub").agg(F.first("n").alias("n"), F.first(F.slice("tokens", 1, HEADS)).alias("heads"), F.collect_list(F.struct("row", "root", "sketch")).alias("members"))
     of = wanted.join(members.select("row", "gid"), "row").select("token", "place", "gid").distinct()
     index = of.join(groups, "gid").withColumn("h", F.xxhash64("gid", "sub"))
     full = of.join(groups.select("gid", "sub"), "gid").groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -276,7 +342,7 @@ def _candidates(tokens: DataFrame, members: DataFrame, roots: DataFrame, share:
         index.join(full, "token")
         .withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "place", "n", "gid", "members")
+        .select("token", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "place", "n", "gid", "heads", "members")
         .repartition("token", "a", "b")
         .sortWithinPartitions("token", "a", "b")
     )
@@ -296,6 +362,11 @@ def _candidates(tokens: DataFrame, members: DataFrame, roots: DataFrame, share:
     return placed.mapInArrow(run, "u long, v long").distinct()
 
 
+def _staged(df: DataFrame, label: str) -> DataFrame:
+    with freed(df.sparkSession):
+        return stage(df, label)
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, share: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) of every row of ``docs``.
 
@@ -305,17 +376,19 @@ def near_duplicates(docs: DataFrame, size: int = 4, share: int = 85) -> DataFram
     stay. A null doc_id stays null and names a component only if no other row of it has an id. Shingles are compared by
     64-bit fingerprints, equal sets by 128 bits. An empty table gives no rows; other columns are not read.
     """
-    counts = stage(_counts(docs, size), "shared-shingles")
-    profiles = stage(_profiles(docs, size, share, bit_table(counts), bit_table(counts.where(F.col("c") > COMMON))), "profiles")
+    counts = _staged(_counts(docs, size), "shared-shingles")
+    profiles = _staged(_profiles(docs, size, share, bit_table(counts), bit_table(counts.where(F.col("c") > COMMON))), "profiles")
     first = profiles.where("n > 0").groupBy("digest").agg(F.min("row").alias("sid"))
-    copies = stage(profiles.where("n > 0").select("row", "doc_id", "digest").join(first, "digest").select("row", "doc_id", "sid"), "copies")
+    copies = _staged(profiles.where("n > 0").select("row", "doc_id", "digest").join(first, "digest").select("row", "doc_id", "sid"), "copies")
     firsts = copies.where("row = sid").select("row")
-    members = stage(profiles.where("gid is not null").select("row", "n", "gid", "tokens", "places", "sketch", "whole").join(firsts, "row", "left_semi"), "members")
-    pairs = F.explode(F.arrays_zip("tokens", "places")).alias("t")
-    tokens = members.select("row", pairs).select("row", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    links = stage(_verified(_pivots(tokens, members, share), members, share), "links")
+    columns = ["row", "n", "digest", "gid", "tokens", "places", "sketch", "wide"]
+    members = _staged(profiles.where("gid is not null").select(*columns).join(firsts, "row", "left_semi"), "members")
+    heads = F.explode(F.arrays_zip("tokens", "places")).alias("t")
+    tokens = members.select("row", heads).select("row", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
+    links = _staged(_verified(_sieved(_pivots(tokens, members, share), members, share), members, docs, size, share), "links")
     roots = components(links)
-    more = stage(_verified(_candidates(tokens, members.select("row", "n", "gid", "sketch"), roots, share), members, share), "more-links")
+    near = _candidates(tokens, members.select("row", "n", "gid", "tokens", "sketch"), roots, share)
+    more = _staged(_verified(_sieved(near, members, share), members, docs, size, share), "more-links")
     merged = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     classed = copies.join(merged.toDF("sid", "root"), "sid", "left").select("row", "doc_id", F.coalesce("root", "sid").alias("root"))
     lowest = classed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
