@@ -290,7 +290,7 @@ def condition_summary(rows: DataFrame, baseline: str = "no_memory") -> DataFrame
         .groupBy("condition")
         .agg(F.stddev_pop("m").alias("seed_sd"))
     )
-    return table.join(F.broadcast(spread), "condition")
+    return table.join(spread, "condition")
 
 
 def _if_any(defined: Column, test: Column) -> Column:

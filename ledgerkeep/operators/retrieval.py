@@ -14,6 +14,8 @@ from ledgerkeep.operators.similarity import SCORE_DIGITS, _blocked, unit
 from ledgerkeep.operators.sizing import broadcast_if_small, largest_group
 
 PAIR_LIMIT = 256
+#: Keys over which the empty groups of a ranking are spread.
+EMPTY_SALTS = 64
 
 
 def budgeted_context(hits: DataFrame, keys: list[str], read_budget: int, separator: int = 1) -> DataFrame:
@@ -203,7 +205,10 @@ def target_ranks(scored: DataFrame, queries: DataFrame, keys: Sequence[str] = ()
     whole = counted.join(facts, "query_id") if keys else queries.join(counted, "query_id", "left")
     if keys and groups is not None:
         empty = groups.select(*keys).distinct().join(scored.select(*keys).distinct(), keys, "left_anti")
-        every = queries.withColumn("_one", F.lit(1)).join(broadcast_if_small(empty.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        # every query meets every empty group, as the result asks; the groups are spread over EMPTY_SALTS keys
+        spread = empty.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(EMPTY_SALTS)))
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(EMPTY_SALTS - 1).cast("long")))
+        every = queries.withColumn("_salt", salts).join(spread, "_salt").drop("_salt")
         whole = whole.unionByName(every, allowMissingColumns=True)
     return whole.withColumn(
         "old_first", F.coalesce(F.col("first_fact") == F.col("superseded_memory_id"), F.lit(False))

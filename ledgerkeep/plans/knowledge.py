@@ -89,7 +89,7 @@ def a4(spark, sf):
     )
     lines = ol.log(spark, sf).select("source", line.alias("line"))
     bad = logs.strict_line_violations(lines).groupBy("source").agg(F.count("*").alias("bad"))
-    return lines.groupBy("source").agg(F.count("*").alias("lines")).join(F.broadcast(bad), "source", "left").select(
+    return lines.groupBy("source").agg(F.count("*").alias("lines")).join(bad, "source", "left").select(
         "source", "lines", F.coalesce("bad", F.lit(0)).alias("bad")
     )
 

@@ -52,7 +52,7 @@ def i2(spark, sf):
     feats = bk.features(spark, sf)
     medians = stats.exact_percentiles(feats, ["flag"], "historical_similarity", [0.5])
     holes = feats.groupBy("flag").agg(F.count_if(F.col("historical_similarity").isNull()).alias("missing"))
-    return holes.join(F.broadcast(medians), "flag", "left").select("flag", F.round("percentile", 9).alias("median"), "missing")
+    return holes.join(medians, "flag", "left").select("flag", F.round("percentile", 9).alias("median"), "missing")
 
 
 @query(
