@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,47 +132,107 @@ def read_ids(payload: bytes, begin: int, end: int) -> np.ndarray:
 
 
 class WordTokenizer:
-    """Encodes whole texts as the tokenizer does, once per distinct word.
+    """Encodes whole texts as the tokenizer does, once per distinct word and piece of a word.
 
     Right for tokenizers that drop white space and never join across it, as word-end BPE does: the ids of a text are
-    then the ids of its words one after another. The memory of words is kept in two generations, so that frequent
-    words stay and rare ones go.
+    then the ids of its words one after another. A word is cut further at the vocabulary's own pieces (contractions, letter
+    runs, single digits, other runs), in lower case, where that is safe: only characters that NFC leaves alone and whose
+    lower case is one character. All other words are encoded whole. The memories of words and pieces are kept in two
+    generations, so that frequent ones stay and rare ones go.
     """
 
+    #: Fixed values of the vocabulary: its pieces, and the mark at the end of each piece's last id.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    WORD_END = "</w>"
+    #: Characters that are safe to cut and to lower, as the inside of a character class.
+    PLAIN = "!-~\u00a1-\u012f\u0131-\u017f"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        new = []
-        for w in words:
-            known = self.old.get(w)
-            if known is None:
-                new.append(w)
-            else:
-                self.young[w] = known
+        self.words: list[dict[bytes, bytes]] = [{}, {}]
+        self.pieces: list[dict[str, bytes]] = [{}, {}]
+        size = self.model.get_vocab_size(with_added_tokens=True)
+        self.ends = np.zeros(size, dtype=bool)
+        for token, i in self.model.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith(self.WORD_END)
+        special = regex.escape("".join(sorted({t.content[:1] for t in self.model.get_added_tokens_decoder().values()})))
+        self.whole = regex.compile(rf"^.*(?:[^\n{self.PLAIN}]|[{special}]).*$" if special else rf"^.*[^\n{self.PLAIN}].*$", regex.M)
+        self.cut = regex.compile(self.PIECES + r"|\n")
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of single pieces: all in one text, cut after each id with the mark."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        last = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(last) != len(pieces):
+            raise ValueError("the vocabulary cuts a piece")
+        raw = ids.tobytes()
+        return [raw[b:e] for b, e in zip([0, *last[:-1].tolist()], last.tolist())]
+
+    @staticmethod
+    def _turned(memory: list[dict]) -> dict:
+        """The younger generation, after a full one has become the older one."""
+        if len(memory[0]) > REMEMBERED:
+            memory[:] = [{}, memory[0]]
+        return memory[0]
+
+    @staticmethod
+    def _recall(memory: list[dict], missing: set, learn) -> None:
+        """Put what the younger generation misses into it: from the older one, or learnt."""
+        young, old = memory
+        again = [x for x in missing if x in old]
+        young.update(zip(again, map(old.__getitem__, again)))
+        learn(young, list(missing.difference(again)))
+
+    def _learn_pieces(self, young: dict[str, bytes], new: list[str]) -> None:
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            for w, e in zip(some, self.model.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+            young.update(zip(some, self._encoded(some)))
+
+    def _learn_words(self, young: dict[bytes, bytes], new: list[bytes]) -> None:
+        whole = self.whole.findall(b"\n".join(new).decode("utf-8")) if new else []
+        for i in range(0, len(whole), 4096):
+            some = whole[i : i + 4096]
+            for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
+                young[w.encode()] = np.array(e.ids, dtype="<u4").tobytes()
+        new = [w for w in new if w not in young] if whole else new
+        if not new:
+            return
+        flat = self.cut.findall((b"\n".join(new) + b"\n").decode("utf-8").lower())
+        get = self._turned(self.pieces)
+        pieces = {p for p in set(flat) if p not in get}
+        pieces.discard("\n")
+        self._recall(self.pieces, pieces, self._learn_pieces)
+        ids = [get[p] if p != "\n" else b"" for p in flat]
+        ends = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))[np.fromiter((p == "\n" for p in flat), dtype=bool, count=len(flat))].tolist()
+        raw = b"".join(ids)
+        young.update(zip(new, [raw[b:e] for b, e in zip([0, *ends[:-1]], ends)]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        missing: set[bytes] = set()
-        for words in split:
-            missing.update(words)
-        if len(self.young) > REMEMBERED:
-            self._learn(missing)
-        else:
-            self._learn(missing.difference(self.young))
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        young = self._turned(self.words)
+        found, missing = [], set()
+        for text in texts:
+            words = text.split()
+            ids = list(map(young.get, words))
+            if not all(ids):
+                missing.update(w for w, x in zip(words, ids) if x is None)
+            found.append((words, ids))
+        if missing:
+            self._recall(self.words, missing, self._learn_words)
+        return [b"".join(ids) if all(ids) else b"".join([young[w] if x is None else x for w, x in zip(words, ids)]) for words, ids in found]
+
+
+_workers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The tokenizer of a file; a worker that Spark uses again keeps what its earlier tasks have learnt."""
+    if path not in _workers:
+        _workers.clear()
+        _workers[path] = WordTokenizer(path)
+    return _workers[path]
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, percentile: float = PERCENTILE) -> DataFrame:
@@ -193,7 +254,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, percentile: float = PER
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        words = WordTokenizer(tokenizer)
+        words = tokenizer_of(tokenizer)
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
         names: list[int | None] = []

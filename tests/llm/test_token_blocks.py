@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -55,3 +56,16 @@ def test_empty_table(spark):
     path = staging_path(spark, "tokens")
     tb.write(spark.createDataFrame([], SCHEMA), path, word_tokenizer(), 2)
     assert tb.read_documents(spark, path).collect() == []
+
+
+def test_words_and_pieces_equal_the_tokenizer(monkeypatch):
+    rng = random.Random(1)
+    letters = list("aAbBsStTdDmM'\u2019.,!?-_ 019\u00b2\u00bd\u00aa\u00b5\u00df\u00e9\u00c9\u0300\u0130\u0131\u017f\u0149\u03a3\u03c3\u03c2\u01c5\uff21<|>\u00a0 \x1c\x85\x0b\u6f22\u200d")
+    letters += ["'s", "'ll", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    model = tokenizers.Tokenizer.from_file(word_tokenizer())
+    for remembered in (tb.REMEMBERED, 50):  # the second: generations change with each call
+        monkeypatch.setattr(tb, "REMEMBERED", remembered)
+        words = tb.WordTokenizer(word_tokenizer())
+        got = [x for i in range(0, len(texts), 90) for x in words.encode([t.encode() for t in texts[i : i + 90]])]
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [model.encode(t, add_special_tokens=False).ids for t in texts]
