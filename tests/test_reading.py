@@ -57,6 +57,7 @@ def shuffles(spark, name):
 @pytest.mark.parametrize(("name", "most"), [
     ("b10_intervention_rules", 3),
     ("h7_condition_labels", 6),
+    ("h9_reliability_gate", 8),
 ])
 def test_answers_of_sets_are_not_shuffled(spark, name, most):
     assert shuffles(spark, name) <= most
