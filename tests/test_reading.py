@@ -58,6 +58,7 @@ def shuffles(spark, name):
     ("b10_intervention_rules", 3),
     ("h7_condition_labels", 6),
     ("h9_reliability_gate", 8),
+    ("h7_repeated_labels", 3),
 ])
 def test_answers_of_sets_are_not_shuffled(spark, name, most):
     assert shuffles(spark, name) <= most
