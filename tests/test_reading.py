@@ -59,6 +59,7 @@ def shuffles(spark, name):
     ("h7_condition_labels", 6),
     ("h9_reliability_gate", 8),
     ("h7_repeated_labels", 3),
+    ("g7_hindsight_plans", 3),
 ])
 def test_answers_of_sets_are_not_shuffled(spark, name, most):
     assert shuffles(spark, name) <= most
