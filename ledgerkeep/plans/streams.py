@@ -38,12 +38,12 @@ outcomes AS (SELECT memory_id, payload, count(*) AS n, CAST(payload = any_value(
     with_sql(ol.LOG, kn.WRITES, OUTCOMES, "SELECT memory_id, CAST(sum(first) AS BIGINT) AS accepted, CAST(sum(CASE WHEN first = 1 THEN n - 1 ELSE 0 END) AS BIGINT) AS retries, CAST(sum(CASE WHEN first = 0 THEN n ELSE 0 END) AS BIGINT) AS conflicts FROM outcomes GROUP BY 1"),
 )
 def n2(spark, sf):
-    """Writes arrive in log order, one file per micro-batch, with a restart in between."""
+    """Writes arrive in log order, a slice of the log per micro-batch, with a restart in between."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ls.ROCKSDB)
     source, out = staging_path(spark, "writes"), staging_path(spark, "outcomes")
     for part in slices_by_seq(kn.writes(spark, sf), 2):
-        part.coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema("seq bigint, memory_id string, payload string").option("maxFilesPerTrigger", 1).parquet(source)
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema("seq bigint, memory_id string, payload string").parquet(source)
         ls.run_to_end(ls.idempotent_writes(stream).writeStream.format("parquet").option("path", out).outputMode("append"), f"{out}-state")
     return spark.read.parquet(out).groupBy("memory_id").agg(
         F.sum("accepted").alias("accepted"), F.sum("retries").alias("retries"), F.sum("conflicts").alias("conflicts")

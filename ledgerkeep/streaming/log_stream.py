@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -19,6 +20,29 @@ from ledgerkeep.sources.logs import parse_events
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LINE_SCHEMA = "seq bigint, line string"
+#: Ids are dealt into this many buckets, and a bucket is one key of the state store: calls into Python and into the store
+#: then grow with buckets, not with ids. Part of a stream's checkpoint, so it must not change while the stream lives.
+BUCKETS = 4096
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+
+
+def _load(state) -> dict:
+    """A bucket's entries: the first column by the tuple of the others."""
+    if not state.exists():
+        return {}
+    key, *rest = [c.to_pylist() for c in pa.ipc.open_stream(state.get()[0]).read_all().columns]
+    return dict(zip(key, zip(*rest)))
+
+
+def _store(state, entries: dict, schema: pa.Schema) -> None:
+    columns = [list(entries), *zip(*entries.values())]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_table(pa.table([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema))
+    state.update((sink.getvalue().to_pybytes(),))
 
 
 def read_log_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -43,45 +67,39 @@ def ingest(lines: DataFrame, accepted: str, rejected: str) -> DataStreamWriter:
     return lines.writeStream.foreachBatch(sink)
 
 
-def _combine(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    return pdf.groupby(keys, as_index=False).agg(seq=("seq", "min"), copies=("copies", "sum"))
-
-
 def _combine_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield _combine(pdf, ["memory_id", "payload_hash"])
+        yield pdf.groupby(["memory_id", "payload_hash"], as_index=False, dropna=False, sort=False).agg(seq=("seq", "min"), copies=("copies", "sum"))
 
 
 class FirstPayload(StatefulProcessor):
-    """Per id the first payload seen; later rows are retries of it or conflicts with it."""
+    """Per id of a bucket the first payload seen; later rows are retries of it or conflicts with it."""
+
+    SCHEMA = pa.schema([("memory_id", pa.string()), ("payload_hash", pa.string())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._first = handle.getValueState("first", "payload_hash string")
+        self._first = handle.getValueState("first", "entries binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = self._first.get()[0] if self._first.exists() else None
-        counts: dict[str, tuple[int, int]] = {}
+        counts: dict[str, dict[str, tuple[int, int]]] = {}
         for pdf in rows:
-            for payload, low, n in _combine(pdf, ["payload_hash"]).itertuples(index=False):
-                seen = counts.get(payload)
-                counts[payload] = (min(low, seen[0]), n + seen[1]) if seen else (low, n)
-        fresh = first is None
-        if fresh:
-            first = min(counts, key=lambda p: counts[p][0])
-            self._first.update((first,))
-        yield pd.DataFrame(
-            [
-                {
-                    "memory_id": key[0],
-                    "payload_hash": p,
-                    "first_seq": low,
-                    "accepted": int(fresh and p == first),
-                    "retries": n - int(fresh) if p == first else 0,
-                    "conflicts": 0 if p == first else n,
-                }
-                for p, (low, n) in counts.items()
+            for target, payload, low, n in zip(*[pdf[c].tolist() for c in ("memory_id", "payload_hash", "seq", "copies")]):
+                mine = counts.setdefault(target, {})
+                seen = mine.get(payload)
+                mine[payload] = (min(low, seen[0]), n + seen[1]) if seen else (low, n)
+        known = _load(self._first)
+        out: list[tuple] = []
+        for target, mine in counts.items():
+            fresh = target not in known
+            if fresh:
+                known[target] = (min(mine, key=lambda p: mine[p][0]),)
+            first = known[target][0]
+            out += [
+                (target, p, low, int(fresh and p == first), n - int(fresh) if p == first else 0, 0 if p == first else n)
+                for p, (low, n) in mine.items()
             ]
-        )
+        _store(self._first, known, self.SCHEMA)
+        yield pd.DataFrame(out, columns=["memory_id", "payload_hash", "first_seq", "accepted", "retries", "conflicts"])
 
     def close(self) -> None:
         pass
@@ -97,63 +115,69 @@ def idempotent_writes(writes: DataFrame) -> DataFrame:
     often still reaches its state in few rows. Inside a micro-batch the smallest seq counts as first.
     """
     hashed = writes.select("memory_id", F.sha2("payload", 256).alias("payload_hash"), "seq", F.lit(1).cast("long").alias("copies"))
-    combined = hashed.mapInPandas(_combine_batches, hashed.schema)
-    return combined.groupBy("memory_id").transformWithStateInPandas(FirstPayload(), WRITE_OUTCOME, "Append", "None")
+    combined = hashed.mapInPandas(_combine_batches, hashed.schema).withColumn("bucket", _bucket(F.col("memory_id")))
+    return combined.groupBy("bucket").transformWithStateInPandas(FirstPayload(), WRITE_OUTCOME, "Append", "None")
 
 
 class LogRules(StatefulProcessor):
-    """The replay rules for one id, whatever order its rows arrive in.
+    """The replay rules for the ids of a bucket, whatever order their rows arrive in.
 
-    State: the first own row (settled), the first row that replaces the id, and the rows that named it as their target
+    State per id: the first own row (settled), the first row that replaces the id, and the rows that named it as their target
     before it was there (pending). A row that arrives late can make earlier verdicts wrong: a pending row is cleared
     by an own row with a smaller seq, an own row or a replacement that turns out not to be the first becomes a violation.
-    Such corrections are rows with ``change`` -1 or +1.
+    Such corrections are rows with ``change`` -1 or +1. Pending rows, which one id can have many of, stay in the store one by one.
     """
 
+    SCHEMA = pa.schema([("key", pa.string()), ("own", pa.int64()), ("seq", pa.int64()), ("by", pa.string())])
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._own = handle.getValueState("own", "seq bigint")
-        self._taken = handle.getValueState("taken", "seq bigint, by string")
-        self._pending = handle.getMapState("pending", "seq bigint", "by string")
+        self._known = handle.getValueState("known", "entries binary")
+        self._pending = handle.getMapState("pending", "key string, seq bigint", "by string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        target = key[0]
+        known = _load(self._known)
         for pdf in rows:
             out: list[tuple] = []
-            own = pdf[pdf["by"].isna()]
-            claims = pdf[pdf["by"].notna()]
-            before = self._own.get()[0] if self._own.exists() else None
-            first = before
-            if len(own):
-                low = int(own["seq"].min())
-                first = low if before is None else min(low, before)
-                later = [int(x) for x in own["seq"] if int(x) != first]
-                if before is not None and first != before:
-                    later.append(before)
-                out += [("violation", x, target, "duplicate_id", 1) for x in later]
-                if first != before:
-                    self._own.update((first,))
-            if len(claims):
-                seqs, by = claims["seq"].astype("int64").tolist(), claims["by"].tolist()
-                low = min(range(len(seqs)), key=seqs.__getitem__)
-                taken = self._taken.get() if self._taken.exists() else None
-                win = (seqs[low], by[low]) if taken is None or seqs[low] < taken[0] else (taken[0], taken[1])
-                beaten = [(s, b) for s, b in zip(seqs, by) if s != win[0]]
-                if taken is None:
-                    out.append(("replaced", None, target, None, 1))
-                elif win[0] != taken[0]:
-                    beaten.append((taken[0], taken[1]))
-                out += [("violation", s, b, "already_replaced", 1) for s, b in beaten]
-                self._taken.update(win)
-                for s, b in zip(seqs, by):
-                    if first is None or first >= s:
-                        out.append(("violation", s, b, "unknown_or_later_target", 1))
-                        self._pending.updateValue((s,), (b,))
-            if first is not None and first != before:
-                cleared = [(k[0], v[0]) for k, v in self._pending.iterator() if k[0] > first]
-                for s, b in cleared:
+            arrived: dict[str, tuple[list, list]] = {}
+            for target, seq, by in zip(pdf["key"].tolist(), pdf["seq"].tolist(), pdf["by"].tolist()):
+                own, claims = arrived.setdefault(target, ([], []))
+                if by is None:
+                    own.append(seq)
+                else:
+                    claims.append((seq, by))
+            earlier = {}  # ids whose first own row is new
+            for target, (own, claims) in arrived.items():
+                before, taken, taken_by = known.get(target, (None, None, None))
+                first = before
+                if own:
+                    first = min(own) if before is None else min(before, *own)
+                    later = [s for s in own if s != first]
+                    if first != before:
+                        earlier[target] = first
+                        later += [] if before is None else [before]
+                    out += [("violation", s, target, "duplicate_id", 1) for s in later]
+                if claims:
+                    low = min(claims, key=lambda c: c[0])
+                    win = low if taken is None or low[0] < taken else (taken, taken_by)
+                    beaten = [c for c in claims if c[0] != win[0]]
+                    if taken is None:
+                        out.append(("replaced", None, target, None, 1))
+                    elif win[0] != taken:
+                        beaten.append((taken, taken_by))
+                    out += [("violation", s, b, "already_replaced", 1) for s, b in beaten]
+                    taken, taken_by = win
+                    for s, b in claims:
+                        if first is None or first >= s:
+                            out.append(("violation", s, b, "unknown_or_later_target", 1))
+                            self._pending.updateValue((target, s), (b,))
+                known[target] = (first, taken, taken_by)
+            if earlier:
+                cleared = [(k, v[0]) for k, v in self._pending.iterator() if k[0] in earlier and k[1] > earlier[k[0]]]
+                for (target, s), b in cleared:
                     out.append(("violation", s, b, "unknown_or_later_target", -1))
-                    self._pending.removeKey((s,))
+                    self._pending.removeKey((target, s))
             yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype=t) for i, (c, t) in enumerate(_CHANGE_TYPES)})
+        _store(self._known, known, self.SCHEMA)
 
     def close(self) -> None:
         pass
@@ -170,8 +194,8 @@ def rule_changes(records: DataFrame) -> DataFrame:
     own = F.struct(F.col("memory_id").alias("key"), "seq", F.lit(None).cast("string").alias("by"))
     claim = F.struct(F.col("supersedes").alias("key"), "seq", F.col("memory_id").alias("by"))
     both = F.when(F.col("supersedes").isNull(), F.array(own)).otherwise(F.array(own, claim))
-    messages = records.select(F.explode(both).alias("m")).select("m.key", "m.seq", "m.by")
-    return messages.groupBy("key").transformWithStateInPandas(LogRules(), CHANGES, "Append", "None")
+    messages = records.select(F.explode(both).alias("m")).select("m.key", "m.seq", "m.by", _bucket(F.col("m.key")))
+    return messages.groupBy("bucket").transformWithStateInPandas(LogRules(), CHANGES, "Append", "None")
 
 
 def read_violations(spark: SparkSession, folder: str) -> DataFrame:
