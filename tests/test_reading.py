@@ -67,6 +67,8 @@ def shuffles(spark, name):
     ("g7_hindsight_plans", 3),
     ("h25_subset_scores", 1),
     ("h27_pairwise_interaction", 2),
+    ("h17_primary_average", 5),
+    ("h29_cohort_summary", 5),
 ])
 def test_answers_of_sets_are_not_shuffled(spark, name, most):
     assert shuffles(spark, name) <= most
