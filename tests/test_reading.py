@@ -68,6 +68,7 @@ def shuffles(spark, name):
     ("h25_subset_scores", 1),
     ("h27_pairwise_interaction", 2),
     ("h17_primary_average", 5),
+    ("h21_failure_taxonomy", 5),
     ("h29_cohort_summary", 5),
 ])
 def test_answers_of_sets_are_not_shuffled(spark, name, most):
