@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,7 +39,9 @@ BLOCK = 128
 #: A segment is closed once it holds this many ids.
 SEGMENT_IDS = 1 << 16
 PERCENTILE = 0.9
-#: Words a task remembers with their ids, in each of two generations.
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
+#: Words and pieces of words, each, that a worker remembers with their ids.
 REMEMBERED = 500_000
 
 SEGMENTS = "part int, seq int, first long, n_ids int, doc_ids array<long>, doc_lens array<int>, payload binary"
@@ -131,14 +134,36 @@ def read_ids(payload: bytes, begin: int, end: int) -> np.ndarray:
     return _unpack(payload, first, -(-end // BLOCK))[begin - first * BLOCK : end - first * BLOCK]
 
 
+class Remembered:
+    """Names and their ids as Arrow arrays, most recently met first; beyond ``REMEMBERED`` the longest unseen go."""
+
+    def __init__(self) -> None:
+        self.names, self.ids = pa.array([], pa.large_string()), _lists([])
+
+    def recall(self, names: pa.Array, learn: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """The ids of distinct names, a list each: known, or learnt from an array of the new ones."""
+        at = pc.index_in(names, value_set=self.names)
+        new = names.filter(at.is_null())
+        known = pa.concat_arrays([self.ids, learn(new)]) if len(new) else self.ids
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        unseen = np.ones(len(self.names), dtype=bool)
+        unseen[place[place >= 0]] = False
+        place[place < 0] = np.arange(len(self.names), len(known))
+        ids = known.take(pa.array(place))
+        rest = np.flatnonzero(unseen)[: max(0, REMEMBERED - len(names))]
+        self.names = pa.concat_arrays([names[:REMEMBERED], self.names.take(pa.array(rest))])
+        self.ids = pa.concat_arrays([ids[:REMEMBERED], self.ids.take(pa.array(rest))])
+        return ids
+
+
 class WordTokenizer:
     """Encodes whole texts as the tokenizer does, once per distinct word and piece of a word.
 
     Right for tokenizers that drop white space and never join across it, as word-end BPE does: the ids of a text are
     then the ids of its words one after another. A word is cut further at the vocabulary's own pieces (contractions, letter
     runs, single digits, other runs), in lower case, where that is safe: only characters that NFC leaves alone and whose
-    lower case is one character. All other words are encoded whole. The memories of words and pieces are kept in two
-    generations, so that frequent ones stay and rare ones go.
+    lower case is one character. All other words are encoded whole. Words are told apart, remembered and put together as
+    Arrow arrays, so that neither a place in a text nor a remembered word is a Python object.
     """
 
     #: Fixed values of the vocabulary: its pieces, and the mark at the end of each piece's last id.
@@ -151,8 +176,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.words: list[dict[bytes, bytes]] = [{}, {}]
-        self.pieces: list[dict[str, bytes]] = [{}, {}]
+        self.words, self.pieces = Remembered(), Remembered()
         size = self.model.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(size, dtype=bool)
         for token, i in self.model.get_vocab(with_added_tokens=False).items():
@@ -161,67 +185,67 @@ class WordTokenizer:
         self.whole = regex.compile(rf"^.*(?:[^\n{self.PLAIN}]|[{special}]).*$" if special else rf"^.*[^\n{self.PLAIN}].*$", regex.M)
         self.cut = regex.compile(self.PIECES + r"|\n")
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        """The ids of single pieces: all in one text, cut after each id with the mark."""
-        ids = np.array(self.model.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
-        last = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(last) != len(pieces):
-            raise ValueError("the vocabulary cuts a piece")
-        raw = ids.tobytes()
-        return [raw[b:e] for b, e in zip([0, *last[:-1].tolist()], last.tolist())]
-
-    @staticmethod
-    def _turned(memory: list[dict]) -> dict:
-        """The younger generation, after a full one has become the older one."""
-        if len(memory[0]) > REMEMBERED:
-            memory[:] = [{}, memory[0]]
-        return memory[0]
-
-    @staticmethod
-    def _recall(memory: list[dict], missing: set, learn) -> None:
-        """Put what the younger generation misses into it: from the older one, or learnt."""
-        young, old = memory
-        again = [x for x in missing if x in old]
-        young.update(zip(again, map(old.__getitem__, again)))
-        learn(young, list(missing.difference(again)))
-
-    def _learn_pieces(self, young: dict[str, bytes], new: list[str]) -> None:
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            young.update(zip(some, self._encoded(some)))
-
-    def _learn_words(self, young: dict[bytes, bytes], new: list[bytes]) -> None:
-        whole = self.whole.findall(b"\n".join(new).decode("utf-8")) if new else []
+    def _learn_pieces(self, new: pa.Array) -> pa.Array:
+        """The ids of single pieces, and none for a line feed. ASCII stands for itself in the vocabulary and goes to the
+        model; the others are encoded in one text that is cut after each id with the mark."""
+        names = new.to_pylist()
+        found = [b"" if p == "\n" else None for p in names]
+        tokenize = self.model.model.tokenize
+        others = []
+        for i, p in enumerate(names):
+            if not p.isascii():
+                others.append(i)
+            elif p != "\n":
+                ids = [t.id for t in tokenize(p)]
+                found[i] = struct.pack(f"<{len(ids)}I", *ids)
+        for i in range(0, len(others), 4096):
+            some = others[i : i + 4096]
+            ids = np.array(self.model.encode_batch_fast([" ".join([names[k] for k in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(some):
+                raise ValueError("the vocabulary cuts a piece")
+            for k, part in zip(some, np.split(ids, last[:-1])):
+                found[k] = part.tobytes()
+        return _lists(found)
+
+    def _cut(self, words: list[str]) -> pa.Array:
+        """The ids of words that are safe to cut, a list each."""
+        pieces = pa.array(self.cut.findall("\n".join([*words, ""]).lower()), pa.large_string()).dictionary_encode()
+        ids = self.pieces.recall(pieces.dictionary, self._learn_pieces).take(pieces.indices)
+        mark = pc.index(pieces.dictionary, "\n").as_py()
+        ends = np.flatnonzero(pieces.indices.to_numpy() == mark)
+        return pa.LargeListArray.from_arrays(ids.offsets.take(pa.array(np.concatenate([[0], ends]))), ids.values)
+
+    def _learn_words(self, new: pa.Array) -> pa.Array:
+        """The ids of words, a list each."""
+        names = new.to_pylist()
+        whole = list(dict.fromkeys(self.whole.findall("\n".join(names))))
+        if not whole:
+            return self._cut(names)
+        place = dict(zip(whole, range(len(whole))))
+        plain = [w for w in names if w not in place]
+        place.update(zip(plain, range(len(whole), len(names))))
+        encoded = []
         for i in range(0, len(whole), 4096):
-            some = whole[i : i + 4096]
-            for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                young[w.encode()] = np.array(e.ids, dtype="<u4").tobytes()
-        new = [w for w in new if w not in young] if whole else new
-        if not new:
-            return
-        flat = self.cut.findall((b"\n".join(new) + b"\n").decode("utf-8").lower())
-        get = self._turned(self.pieces)
-        pieces = {p for p in set(flat) if p not in get}
-        pieces.discard("\n")
-        self._recall(self.pieces, pieces, self._learn_pieces)
-        ids = [get[p] if p != "\n" else b"" for p in flat]
-        ends = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))[np.fromiter((p == "\n" for p in flat), dtype=bool, count=len(flat))].tolist()
-        raw = b"".join(ids)
-        young.update(zip(new, [raw[b:e] for b, e in zip([0, *ends[:-1]], ends)]))
+            encoded += [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(whole[i : i + 4096], add_special_tokens=False)]
+        lists = [_lists(encoded), *([self._cut(plain)] if plain else [])]
+        return pa.concat_arrays(lists).take(pa.array([place[w] for w in names], pa.int64()))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        young = self._turned(self.words)
-        found, missing = [], set()
-        for text in texts:
-            words = text.split()
-            ids = list(map(young.get, words))
-            if not all(ids):
-                missing.update(w for w, x in zip(words, ids) if x is None)
-            found.append((words, ids))
-        if missing:
-            self._recall(self.words, missing, self._learn_words)
-        return [b"".join(ids) if all(ids) else b"".join([young[w] if x is None else x for w, x in zip(words, ids)]) for words, ids in found]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        ids = self.words.recall(words.dictionary, self._learn_words).take(words.indices)
+        ends = ids.offsets.to_numpy()[split.offsets.to_numpy()].tolist()
+        raw = ids.values.to_numpy().astype("<u4", copy=False).tobytes()
+        return [raw[4 * b : 4 * e] for b, e in zip(ends, ends[1:])]
+
+
+def _lists(raw: list[bytes]) -> pa.Array:
+    """Little-endian unsigned 32-bit integers as Arrow lists."""
+    sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+    values = np.frombuffer(b"".join(raw), dtype="<u4")
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(values, pa.uint32()))
 
 
 _workers: dict[str, WordTokenizer] = {}
@@ -270,7 +294,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, percentile: float = PER
                 ["part", "seq", "first", "n_ids", "doc_ids", "doc_lens", "payload"],
             )
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             for name, got in zip(batch.column("doc_id").to_pylist(), words.encode(binary(batch, "text"))):
                 ids.append(got + end)
                 names.append(name)

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,3 +71,23 @@ def test_words_and_pieces_equal_the_tokenizer(monkeypatch):
         words = tb.WordTokenizer(word_tokenizer())
         got = [x for i in range(0, len(texts), 90) for x in words.encode([t.encode() for t in texts[i : i + 90]])]
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_empty_calls():
+    words = tb.WordTokenizer(word_tokenizer())
+    assert words.encode([]) == [] and words.encode([b"", b" \n\t"]) == [b"", b""]
+    assert [len(x) for x in words.encode([b"", b" a\n", b""])] == [0, 4, 0]
+
+
+def test_remembered_words_take_little_memory():
+    words = tb.WordTokenizer(word_tokenizer())
+    words.encode([b"start"])
+    texts = [" ".join(f"{a}{b}{c}," for b in "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz").encode() for a in ("qu", "tro", "mi", "ska", "ble", "ow", "gri", "pe") * 8]
+    texts = [t.replace(b",", b"x" * (i // 8) + b",") for i, t in enumerate(texts)]
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for t in texts:
+        words.encode([t])
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 150 * len({w for t in texts for w in t.split()})  # 240 bytes a word as Python objects, 79 as arrays
