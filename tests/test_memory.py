@@ -49,6 +49,31 @@ def test_a_long_chain_takes_logarithmic_rounds(spark, monkeypatch):
     assert len(calls) <= 14 + 14
 
 
+def test_rounds_of_batch_admission_write_undecided_rows_only(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, f"m{i if rng.random() < 0.8 else i // 2}", f"m{i + 1}" if rng.random() < 0.2 else f"m{max(0, i - rng.randrange(1, 40))}" if i > 20 else None) for i in rng.sample(range(1000), 1000)]
+    rows = [(seq, mid, target) for seq, (_, mid, target) in enumerate(rows)]
+    written = []
+
+    def counted(df, cut=mem.cut):
+        table = cut(df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(mem, "cut", counted)
+    got = {r.seq: r.admitted for r in mem.admit_batch(spark.createDataFrame(rows, LOG)).collect()}
+    assert got == sequential(rows)
+    assert sum(written) <= 8 * len(rows)
+
+
+def test_batch_admission_with_groups_of_any_size_and_odd_rows(spark):
+    wide = [(2**62 + 5 * i, "a" if i < 3 else "b" if i < 9 else f"c{i}", [None, "b", "a", "q"][i % 4]) for i in range(40)]
+    odd = [(-7, "q", "q"), (-6, "b", "nobody"), (-5, "s", None), (-4, "t", "s"), (-3, "u", "s"), (-2, "t", None), (-1, "u", "t"), (0, "e", None), (1, "v", "e"), (2, "w", "e")]
+    got = {r.seq: r.admitted for r in mem.admit_batch(spark.createDataFrame(wide + odd, LOG)).collect()}
+    assert got == sequential(wide + odd)
+    assert mem.admit_batch(spark.createDataFrame([], LOG)).collect() == []
+
+
 def test_supersession(spark):
     log = spark.createDataFrame([(1, "old", None), (2, "new", "old")], LOG)
     assert [r.memory_id for r in mem.active_view(log).collect()] == ["new"]
