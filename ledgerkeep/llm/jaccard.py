@@ -179,14 +179,20 @@ def _sieved(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
     return both.select("u", "v", "m", "n", "s", "t").mapInArrow(run, "u long, v long").distinct()
 
 
-def _pivots(tokens: DataFrame, members: DataFrame, share: int) -> DataFrame:
+def _tokens(members: DataFrame, *columns: str) -> DataFrame:
+    """A row for each shingle of a member's prefix: these columns, token and place. Spark sizes it by the file and one entry
+    an array, far too low, and would broadcast it; so joins of it are told to merge."""
+    return members.select(*columns, F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(*columns, F.col("t.tokens").alias("token"), F.col("t.places").alias("place")).hint("merge")
+
+
+def _pivots(members: DataFrame, share: int) -> DataFrame:
     """Pairs (u, v) of the pivots of each shingle and its other members. Pivots are the member whose prefix holds the
     fewest shingles of its own, as the text does that others were copied from, and two by hash."""
     size = F.col("n") - F.ceil(F.col("n") * share / 100) + 1
-    ranked = tokens.join(members.select("row", (size - F.size("tokens")).alias("alone")), "row").withColumns({"h1": F.xxhash64("row"), "h2": F.xxhash64("row", F.lit(1))})
+    ranked = _tokens(members.withColumn("alone", size - F.size("tokens")), "row", "alone").withColumns({"h1": F.xxhash64("row"), "h2": F.xxhash64("row", F.lit(1))})
     first = [F.min(F.struct(*order, "row")).row.alias(f"p{i}") for i, order in enumerate((("alone", "h1"), ("h1",), ("h2",)))]
     pivots = ranked.groupBy("token").agg(F.count("*").alias("c"), *first).where("c > 1").select("token", F.array_distinct(F.array("p0", "p1", "p2")).alias("p"))
-    met = tokens.join(pivots, "token").select(F.explode("p").alias("u"), F.col("row").alias("v")).where("u <> v")
+    met = _tokens(members, "row").join(pivots, "token").select(F.explode("p").alias("u"), F.col("row").alias("v")).where("u <> v")
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -327,11 +333,11 @@ def _near_pairs(table: pa.Table, share: int) -> Iterator[np.ndarray]:
         left = left[unit[left] == unit[left + k]]
 
 
-def _candidates(tokens: DataFrame, members: DataFrame, roots: DataFrame, share: int) -> DataFrame:
+def _candidates(members: DataFrame, roots: DataFrame, share: int) -> DataFrame:
     """Pairs (u, v) of members of different components that pass the filters."""
     named = members.join(roots.toDF("row", "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    mixed_lists = tokens.join(named.select("row", "root"), "row").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    wanted = tokens.join(mixed_lists, "token").select("row", "token", "place")
+    mixed_lists = _tokens(named, "root").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    wanted = _tokens(members, "row").join(mixed_lists, "token").select("row", "token", "place")
     size = members.groupBy("gid").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("subs"))
     sub = named.join(size, "gid").withColumn("sub", F.pmod(F.xxhash64("row"), F.col("subs")).cast("int"))
     groups = sub.groupBy("gid", "sub").agg(F.first("n").alias("n"), F.first(F.slice("tokens", 1, HEADS)).alias("heads"), F.collect_list(F.struct("row", "root", "sketch")).alias("members"))
@@ -383,11 +389,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, share: int = 85) -> DataFram
     firsts = copies.where("row = sid").select("row")
     columns = ["row", "n", "digest", "gid", "tokens", "places", "sketch", "wide"]
     members = _staged(profiles.where("gid is not null").select(*columns).join(firsts, "row", "left_semi"), "members")
-    heads = F.explode(F.arrays_zip("tokens", "places")).alias("t")
-    tokens = members.select("row", heads).select("row", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    links = _staged(_verified(_sieved(_pivots(tokens, members, share), members, share), members, docs, size, share), "links")
+    links = _staged(_verified(_sieved(_pivots(members, share), members, share), members, docs, size, share), "links")
     roots = components(links)
-    near = _candidates(tokens, members.select("row", "n", "gid", "tokens", "sketch"), roots, share)
+    near = _candidates(members.select("row", "n", "gid", "tokens", "places", "sketch"), roots, share)
     more = _staged(_verified(_sieved(near, members, share), members, docs, size, share), "more-links")
     merged = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     classed = copies.join(merged.toDF("sid", "root"), "sid", "left").select("row", "doc_id", F.coalesce("root", "sid").alias("root"))

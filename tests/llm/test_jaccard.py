@@ -103,3 +103,28 @@ def test_filters_lose_no_pair():
             for bits in {512, 64 * min(map(len, wide))}:
                 a, b = (jc.folded(w, bits)[None] for w in wide)
                 assert jc._apart(a, b)[0] <= len(x ^ y) <= jc._most_apart(len(x), len(y), 85)
+
+
+def test_shingle_rows_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes an exploded array by one entry, so it would take the shingles of a large table for a small one."""
+    plans, staged = [], jc._staged
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return staged(df, label)
+
+    monkeypatch.setattr(jc, "_staged", seen)
+    rows = corpus(5)
+    assert got(spark, rows) == brute(rows)
+    depth = lambda line: len(line) - len(line.lstrip(" :|+-*"))
+    shingles = 0
+    for lines in plans:
+        above = []  # exchanges on the way to a line; a shuffle's real size is known before what reads it is planned anew
+        for line in lines:
+            above = [x for x in above if x[0] < depth(line)]
+            if "Exchange" in line:
+                above.append((depth(line), line))
+            if "Generate explode(arrays_zip" in line:
+                shingles += 1
+                assert above and "Broadcast" not in above[-1][1], "\n".join(lines)
+    assert shingles >= 4
