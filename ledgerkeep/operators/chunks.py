@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,18 @@ def chunk_ranges(length: Column, size: int, overlap: int) -> Column:
 
 def chunks(pages: DataFrame, size: int, overlap: int, token_column: str = "token_ids") -> DataFrame:
     """page_id, start, end and the tokens of each chunk; empty pages give none."""
-    ranged = pages.where(F.size(token_column) > 0).withColumn(
-        "range", F.explode(chunk_ranges(F.size(token_column), size, overlap))
-    )
-    start, end = F.col("range.start"), F.col("range.end")
-    return ranged.select(
-        "page_id", start.alias("start"), end.alias("end"),
-        F.slice(token_column, (start + 1).cast("int"), (end - start).cast("int")).alias("chunk_tokens"),
-    )
+
+    def cut(tokens: Column) -> Column:
+        piece = lambda r: F.struct(r.start.alias("start"), r.end.alias("end"), F.slice(tokens, (r.start + 1).cast("int"), (r.end - r.start).cast("int")).alias("chunk_tokens"))
+        return F.when(F.size(tokens) > 0, F.transform(chunk_ranges(F.size(tokens), size, overlap), piece))
+
+    # a page's tokens are made once and stay in its row; outer, because Spark would put a filter below an inner one and make them twice
+    return pages.select("page_id", F.inline_outer(bound(F.col(token_column), cut))).where(F.col("start").isNotNull())
+
+
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), made), 0)
 
 
 def page_scores(scores: DataFrame) -> DataFrame:

@@ -191,16 +191,26 @@ def target_ranks(scored: DataFrame, queries: DataFrame, keys: Sequence[str] = ()
     place = F.struct((-F.col("score")).alias("neg"), F.col("memory_id").alias("memory_id"))
     facts = broadcast_if_small(queries)
     rows = scored.join(facts, "query_id").withColumn("place", place)
+    # what an aggregate keeps are numbers, which need no sort; a target's id is known, so its place follows from its score
+    is_target = F.col("memory_id") == F.col("target_memory_id")
     marks = rows.groupBy(*keys, "query_id").agg(
-        F.min(F.when(F.col("memory_id") == F.col("target_memory_id"), F.col("place"))).alias("exact_place"),
+        F.count_if(is_target).alias("targets"),
+        F.count_if(is_target & F.col("score").isNull()).alias("unscored"),
+        F.min(F.when(is_target, F.col("place.neg"))).alias("exact_neg"),
         F.min(F.when(F.col("canonical_id") == F.col("target_canonical_id"), F.col("place"))).alias("fact_place"),
         F.min_by("canonical_id", "place").alias("first_fact"),
     )
-    counted = rows.join(broadcast_if_small(marks), [*keys, "query_id"]).groupBy(*keys, "query_id").agg(
-        F.when(F.first("exact_place").isNotNull(), F.count_if(F.col("place") < F.col("exact_place")) + 1).alias("exact_rank"),
-        F.when(F.first("fact_place").isNotNull(), F.count_if(F.col("place") < F.col("fact_place")) + 1).alias("fact_rank"),
-        F.first("first_fact").alias("first_fact"),
+    marks = broadcast_if_small(marks.withColumn("exact_neg", F.when(F.col("unscored") == 0, F.col("exact_neg"))).drop("unscored"))
+    exact_place = F.struct(F.col("exact_neg").alias("neg"), F.col("target_memory_id").alias("memory_id"))
+    counted = rows.join(marks, [*keys, "query_id"]).groupBy(*keys, "query_id").agg(
+        F.count_if(F.col("place") < exact_place).alias("before_exact"), F.count_if(F.col("place") < F.col("fact_place")).alias("before_fact")
     )
+    counted = counted.join(marks, [*keys, "query_id"]).select(
+        *keys, "query_id",
+        F.when(F.col("targets") > 0, F.col("before_exact") + 1).alias("exact_rank"),
+        F.when(F.col("fact_place").isNotNull(), F.col("before_fact") + 1).alias("fact_rank"),
+        "first_fact",
+    )
     # with keys, every query met every kept record, so all (keys, query) pairs of non-empty groups are already there
     whole = counted.join(facts, "query_id") if keys else queries.join(counted, "query_id", "left")
     if keys and groups is not None:

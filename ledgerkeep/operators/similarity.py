@@ -46,17 +46,31 @@ def _partial(scores: np.ndarray, memory: np.ndarray, names: np.ndarray, keep: in
     return pd.DataFrame({"query_id": names[columns], "memory_id": memory[rows], "score": scores[rows, columns]})
 
 
-def _scan(records: DataFrame, queries: DataFrame, keep: int | None) -> DataFrame:
+def _best_parts(scores: np.ndarray, memory: np.ndarray, part: np.ndarray, names: np.ndarray, label: str) -> pd.DataFrame:
+    """``_partial`` of records that are parts of memories: for each memory and query its best part, ties by the smaller part."""
+    order = np.lexsort((part, memory))
+    memory, part, scores = memory[order], part[order], scores[order]
+    begin = np.flatnonzero(np.concatenate([[True], memory[1:] != memory[:-1]]))
+    best = np.maximum.reduceat(scores, begin, axis=0)
+    reached = ~(scores < np.repeat(best, np.diff(np.append(begin, len(memory))), axis=0))
+    first = np.minimum.reduceat(np.where(reached, np.arange(len(memory))[:, None], len(memory)), begin, axis=0)
+    return pd.DataFrame(
+        {"query_id": np.tile(names, len(begin)), "memory_id": np.repeat(memory[begin], len(names)), "score": best.ravel(), label: part[first.ravel()]}
+    )
+
+
+def _scan(records: DataFrame, queries: DataFrame, keep: int | None, part: str | None = None) -> DataFrame:
     """Up to ``BROADCAST_QUERIES`` queries go to every task at once; more meet the records block by block."""
     few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    return _scan_broadcast(records, queries, keep) if few else _scan_blocks(records, queries, keep)
+    return (_scan_broadcast if few else _scan_blocks)(records, queries, keep, part=part)
 
 
-def _scan_schema(records: DataFrame, queries: DataFrame) -> str:
-    return f"query_id {dict(queries.dtypes)['query_id']}, memory_id {dict(records.dtypes)['memory_id']}, score double"
+def _scan_schema(records: DataFrame, queries: DataFrame, part: str | None = None) -> str:
+    kinds = dict(records.dtypes)
+    return f"query_id {dict(queries.dtypes)['query_id']}, memory_id {kinds['memory_id']}, score double" + (f", `{part}` {kinds[part]}" if part else "")
 
 
-def _scan_broadcast(records: DataFrame, queries: DataFrame, keep: int | None) -> DataFrame:
+def _scan_broadcast(records: DataFrame, queries: DataFrame, keep: int | None, part: str | None = None) -> DataFrame:
     rows = queries.orderBy("query_id").toPandas()  # bounded by the caller's check
     shared = records.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), unit(rows["vector"])))
 
@@ -66,23 +80,27 @@ def _scan_broadcast(records: DataFrame, queries: DataFrame, keep: int | None) ->
         for batch in batches:
             if len(batch) and len(names):
                 scores = np.round(unit(batch["vector"]) @ q.T, SCORE_DIGITS)
-                part = _partial(scores, batch["memory_id"].to_numpy(), names, keep)
+                if part:
+                    yield _best_parts(scores, batch["memory_id"].to_numpy(), batch[part].to_numpy(), names, part)
+                    continue
+                found = _partial(scores, batch["memory_id"].to_numpy(), names, keep)
                 if keep is None:
-                    yield part
+                    yield found
                     continue
-                both = part if running is None else pd.concat([running, part])
+                both = found if running is None else pd.concat([running, found])
                 running = both.sort_values(["query_id", "score", "memory_id"], ascending=[True, False, True]).groupby("query_id").head(keep)
         if running is not None:
             yield running
 
-    return records.select("memory_id", "vector").mapInPandas(scan, _scan_schema(records, queries))
+    return records.select("memory_id", "vector", *filter(None, [part])).mapInPandas(scan, _scan_schema(records, queries, part))
 
 
-def _scan_blocks(records: DataFrame, queries: DataFrame, keep: int | None, block_rows: int | None = None) -> DataFrame:
+def _scan_blocks(records: DataFrame, queries: DataFrame, keep: int | None, block_rows: int | None = None, part: str | None = None) -> DataFrame:
     """Record block × query block products in tasks, for query sets too large to broadcast."""
     size = block_rows or BLOCK_ROWS
     scope = F.lit(0).alias("scope")
-    r = _blocked(records.select(scope, "memory_id", "vector"), ["scope"], size)
+    own = [part] if part else []
+    r = _blocked(records.select(scope, "memory_id", "vector", *own), ["scope"], size)
     q = _blocked(queries.select(scope, F.col("query_id").alias("memory_id"), "vector"), ["scope"], size)
     rb = r.groupBy("scope").agg(F.first("_blocks").alias("_other"))
     qb = q.groupBy("scope").agg(F.first("_blocks").alias("_other"))
@@ -90,25 +108,31 @@ def _scan_blocks(records: DataFrame, queries: DataFrame, keep: int | None, block
     # the unused id is filled, not NULL: a NULL would turn large integer ids into floats inside pandas
     types = dict(records.dtypes)["memory_id"], dict(queries.dtypes)["query_id"]
     left = r.join(F.broadcast(qb), "scope").select(
-        "memory_id", F.lit(0).cast(types[1]).alias("query_id"), F.lit(False).alias("asks"), "vector", F.col("_b").alias("_i"), every.alias("_j")
+        "memory_id", F.lit(0).cast(types[1]).alias("query_id"), F.lit(False).alias("asks"), "vector", F.col("_b").alias("_i"), every.alias("_j"), *own
     )
     right = q.join(F.broadcast(rb), "scope").select(
-        F.lit(0).cast(types[0]).alias("memory_id"), F.col("memory_id").alias("query_id"), F.lit(True).alias("asks"), "vector", every.alias("_i"), F.col("_b").alias("_j")
-    )
+        F.lit(0).cast(types[0]).alias("memory_id"), F.col("memory_id").alias("query_id"), F.lit(True).alias("asks"), "vector", every.alias("_i"), F.col("_b").alias("_j"),
+        *[F.lit(0).cast(dict(records.dtypes)[c]).alias(c) for c in own],
+    )
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         asks, known = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         if not len(asks) or not len(known):
-            return pd.DataFrame({"query_id": [], "memory_id": [], "score": []})
+            return pd.DataFrame({c: [] for c in ["query_id", "memory_id", "score", *own]})
         scores = np.round(unit(known["vector"]) @ unit(asks["vector"]).T, SCORE_DIGITS)
+        if part:
+            return _best_parts(scores, known["memory_id"].to_numpy(), known[part].to_numpy(), asks["query_id"].to_numpy(), part)
         return _partial(scores, known["memory_id"].to_numpy(), asks["query_id"].to_numpy(), keep)
 
-    return left.unionByName(right).groupBy("_i", "_j").applyInPandas(meet, _scan_schema(records, queries))
+    return left.unionByName(right).groupBy("_i", "_j").applyInPandas(meet, _scan_schema(records, queries, part))
+
 
+def score_all(records: DataFrame, queries: DataFrame, part: str | None = None) -> DataFrame:
+    """Cosine of every record with every query: (query_id, memory_id, score).
 
-def score_all(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of every record with every query: (query_id, memory_id, score)."""
-    return _scan(records, queries, None)
+    With ``part`` records are parts of memories, numbered by that column: of the parts that a task meets together, each
+    memory's best one for each query moves on, with its number; ties go to the smaller number. A memory can have several rows."""
+    return _scan(records, queries, None, part)
 
 
 def top_k(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:

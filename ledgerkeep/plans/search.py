@@ -429,14 +429,13 @@ def e7(spark, sf):
 
 
 def modality_scores(spark, sf):
-    """Scores of documents for each passage by their best chunk, and as a whole."""
-    rows = page_chunks(spark, sf).select(F.concat_ws(":", "page_id", "start").alias("memory_id"), F.array_join("chunk_tokens", " ").alias("text"))
+    """Scores of documents for each passage by their best chunks, and as a whole."""
+    rows = page_chunks(spark, sf).select(F.col("page_id").alias("memory_id"), "start", F.array_join("chunk_tokens", " ").alias("text"))
     asks = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     qv = cut(dense_vectors(asks, "query_id", "text"))
-    by_chunk = sim.score_all(dense_vectors(rows, "memory_id", "text"), qv).select(
-        "query_id", F.split("memory_id", ":")[0].cast("long").alias("page_id"), F.split("memory_id", ":")[1].cast("long").alias("start"), "score"
-    )
-    whole = pages(spark, sf).where(F.size("token_ids") > 0).select(F.col("page_id").alias("memory_id"), F.array_join("token_ids", " ").alias("text"))
+    by_chunk = sim.score_all(dense_vectors(rows, "memory_id", "text", "start"), qv, part="start").withColumnRenamed("memory_id", "page_id")
+    joined = ch.bound(F.col("token_ids"), lambda t: F.when(F.size(t) > 0, F.array(F.array_join(t, " "))))
+    whole = pages(spark, sf).select(F.col("page_id").alias("memory_id"), F.explode_outer(joined).alias("text")).where(F.col("text").isNotNull())
     flat = sim.score_all(dense_vectors(whole, "memory_id", "text"), qv).withColumnRenamed("memory_id", "page_id")
     return by_chunk, flat
 

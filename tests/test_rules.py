@@ -153,3 +153,19 @@ def test_the_second_tolerance_rule_and_ignored_columns(spark):
     actual = spark.createDataFrame([(1, 100.9, "z"), (2, 0.4, "b")], "id long, x double, note string")
     assert checks.table_diff(actual, expected, ["id"], rtol=0.005, atol=0.5, rule="sum", ignored=["note"]).collect() == []
     assert [(r.id, r.column) for r in checks.table_diff(actual, expected, ["id"], rtol=0.005, atol=0.5, ignored=["note"]).collect()] == [(1, "x")]
+
+
+def test_dense_vectors_equal_the_hashed_bag(spark, monkeypatch):
+    from ledgerkeep.functions import hashing as hs
+
+    texts = [(i, t) for i, t in enumerate(["K9 İx 中文a1", "鿿ꀀ䷿ \U0001f600b", "Straße ΣAΣ", "a" * 500 + " b-b", None, "", "é å"])]
+    texts.append((99, "word w2 中 " * 90_000))
+    df = spark.createDataFrame(texts, "id long, text string")
+    sparse = {}
+    for r in bag_of_words(df, "id", "text").collect():
+        sparse.setdefault(r.id, {})[r.bucket] = r.weight
+    dense = {r.id: r.vector for r in dense_vectors(df, "id", "text").collect()}
+    assert dense == {i: [sparse.get(i, {}).get(b, 0.0) for b in range(DIMENSION)] for i, _ in texts}
+    assert len(texts[-1][1].encode()) > hs.LONG_TEXT
+    plan = dense_vectors(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan

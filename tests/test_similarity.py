@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerkeep.operators import cells
+from ledgerkeep.operators import chunks as ch
 from ledgerkeep.operators import retrieval as ret
 from ledgerkeep.operators import similarity as sim
 
@@ -139,3 +142,48 @@ def test_target_ranks_examples(spark):
     assert (r.exact_rank, r.fact_rank, r.old_first) == (7, 7, True)
     gone = ret.target_ranks(scored.where("memory_id <> 't'"), queries).first()
     assert gone.exact_rank is None and gone.fact_rank is None
+
+
+def test_exact_ranks_need_no_sort(spark):
+    """Numbers fit a hash aggregate; a struct would sort all scored rows, twice."""
+    queries = spark.createDataFrame([(1, 5, 5, -1)], "query_id long, target_memory_id long, target_canonical_id long, superseded_memory_id long")
+    scores = [(1, i, s) for i, s in enumerate([0.5, 0.7, None, 0.5, 0.9, 0.5])]
+    scored = spark.createDataFrame(scores, "query_id long, memory_id long, score double").selectExpr("*", "memory_id canonical_id", "'x' modality")
+    ranks = ret.target_ranks(scored, queries, ["modality"])
+    assert ranks.first().exact_rank == ranks.first().fact_rank == 6  # a missing score comes first
+    narrow = ranks.select("query_id", "exact_rank")
+    assert "SortAggregate" not in narrow._jdf.queryExecution().executedPlan().toString()
+    unscored = scored.withColumn("score", F.when(F.col("memory_id") < 5, F.col("score")))
+    assert [r.exact_rank for r in ret.target_ranks(unscored, queries, ["modality"]).collect()] == [2]
+
+
+def test_parts_of_a_memory_move_on_as_its_best(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = [(int(m), int(p), [float(x) for x in rng.choice([-1.0, 0.0, 1.0], 3)]) for m in range(9) for p in (0, 112, 224)[: 1 + m % 3]]
+    asks = [(q, [float(x) for x in rng.choice([0.0, 1.0, 2.0], 3)]) for q in range(4)]
+    records = spark.createDataFrame(parts, "memory_id long, start long, vector array<double>").repartition(2)
+    queries = spark.createDataFrame(asks, "query_id long, vector array<double>")
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-12)
+    expected = {}
+    for m, p, v in parts:
+        for q, w in asks:
+            score = round(float(unit(v) @ unit(w)), 9)
+            expected[q, m] = max(expected.get((q, m), (-9.0, 0)), (score, -p))
+    for most in (4096, 1):
+        monkeypatch.setattr(sim, "BROADCAST_QUERIES", most)
+        rows = sim.score_all(records, queries, part="start").collect()
+        got = {}
+        for r in rows:
+            got[r.query_id, r.memory_id] = max(got.get((r.query_id, r.memory_id), (-9.0, 0)), (round(r.score, 9) + 0.0, -r.start))
+        assert got == expected
+        if most > 1:
+            assert len(sim.score_all(records.coalesce(1), queries, part="start").collect()) == 9 * 4
+
+
+def test_chunks_do_not_repeat_their_page(spark):
+    pages = spark.createDataFrame([(1, list("abcdefg")), (2, []), (3, None), (4, ["x"])], "page_id long, token_ids array<string>")
+    cut = ch.chunks(pages, 4, 1)
+    assert sorted((r.page_id, r.start, r.end, "".join(r.chunk_tokens)) for r in cut.collect()) == [(1, 0, 4, "abcd"), (1, 3, 7, "defg"), (4, 0, 1, "x")]
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    beside = re.findall(r", \[([^\]]*)\], (?:true|false), \[", plan)
+    assert len(beside) == 1 and "page_id" in beside[0] and "token_ids" not in beside[0]
