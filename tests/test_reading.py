@@ -73,3 +73,23 @@ def shuffles(spark, name):
 ])
 def test_answers_of_sets_are_not_shuffled(spark, name, most):
     assert shuffles(spark, name) <= most
+
+
+def test_slim_answers_give_the_same_failures(spark):
+    from ledgerkeep.operators import metrics as met
+    from ledgerkeep.operators.evaluation import answer_rows, answers_of_sets
+    from ledgerkeep.plans import baskets as bk
+    from ledgerkeep.plans import retention
+
+    folder = "/root/testdata/sf0.001"
+    read = answers_of_sets(retention.planned_cases(spark, folder), bk.TOP_K, bk.READ_BUDGET)
+    costs = F.map_from_entries(F.transform("memories", lambda m: F.struct(m.memory_id, m.cost)))
+    whole = met.failure_table(bk.scored(answer_rows(read.withColumns({"costs": costs, "seed": F.lit(0).cast("long")}))))
+    slim = retention.failures(spark, folder, by_trajectory=True)
+    columns = sorted(c for c in slim.columns if c in whole.columns)
+    assert {"category", "minimum_support_tokens", "nothing_fits", "record_count", "query_id", "hit_but_wrong"} <= set(columns)
+    one = lambda df: sorted(map(repr, df.select(columns).collect()))
+    assert one(slim) == one(whole)
+    plan = slim._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan.index("RepartitionByExpression [trajectory_id")
+    assert plan.rindex("Generate inline(arrays_zip") < moved  # what moves is one row a snapshot
